@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .embedding_dedup import embedding_components
 from .minhash_dedup import Settings, near_duplicates
+from .suffix_dedup import repeated_spans
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +21,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=2))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op9_minhash_near_dedup, op10_suffix_array_dedup)}
 
 
 _COMPONENTS = """, reach(node, other) AS (
@@ -68,5 +75,23 @@ FROM s LEFT JOIN comp c ON s.doc_id = c.node
 )
 
 
+OP10 = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50),
+g AS (SELECT p.doc_id, p.i, md5_number(substr(d.h, (2 * p.i + 1)::BIGINT, 100)) AS s FROM p JOIN d USING (doc_id)),
+m AS (SELECT s, min(doc_id) AS low FROM g GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+f AS (SELECT g.doc_id, g.i FROM g JOIN m USING (s) WHERE g.doc_id > m.low),
+j AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM f),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM j),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+t AS (SELECT d.doc_id, r.a, r.b, lag(r.b, 1, 0) OVER (PARTITION BY d.doc_id ORDER BY r.a) AS last, d.h, d.n FROM d JOIN r USING (doc_id)),
+u AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS tail,
+  string_agg(substr(h, (2 * last + 1)::BIGINT, (2 * (a - last))::BIGINT), '' ORDER BY a) AS kept FROM t GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(u.removed, 0)::BIGINT AS n_removed, coalesce(u.spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(u.kept, '') || substr(d.h, (2 * coalesce(u.tail, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN u USING (doc_id)
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op9_minhash_near_dedup": OP9}
+    return {"op1_embedding_near_dedup": OP1, "op9_minhash_near_dedup": OP9, "op10_suffix_array_dedup": OP10}
