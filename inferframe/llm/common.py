@@ -25,6 +25,29 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def held_out(ident, modulus: int = 5, remainder: int = 0):
+    """Whether crc32 of the id as text has this remainder; null ids are never held out."""
+    return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], keep) -> tuple[list[str], np.ndarray]:
+    """Whole texts and 0/1 labels of a bounded sample: of each class the first most[class] documents in order of a hash.
+
+    Only labels that keep (a condition on doc_id) allows are read; several labels of one document are averaged. The bound is on
+    rows, so what reaches the driver doesn't grow with the corpus.
+    """
+    y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull())
+    y = y.where(keep(F.col("id"))).groupBy("id").agg(F.round(F.avg("y")).cast("int").alias("y"))
+    picked = [y.where(F.col("y") == c).orderBy(F.xxhash64("id", F.lit(label)), "id").limit(n).collect() for c, n in most.items()]
+    rows = sorted((r["id"], r["y"]) for p in picked for r in p)
+    if not rows:
+        return [], np.zeros(0)
+    chosen = docs.sparkSession.createDataFrame(rows, "id long, y int")
+    got = documents(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: r["id"])
+    return [r["text"] or "" for r in got], np.array([r["y"] for r in got], np.float64)
+
+
 # ---------------------------------------------------------------- durable tables
 
 _local: dict[str, str] = {}
@@ -102,8 +125,8 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batches, size: int = 4 << 20, column: str = "text"):
-    """Record batches cut into runs of rows of about size bytes of text; one longer text is a piece of its own."""
+def pieces(batches, size: int = 4 << 20, rows: int = 1 << 30, column: str = "text"):
+    """Record batches cut into runs of at most rows rows and about size bytes of text; one longer text is a piece of its own."""
     for b in batches:
         if b.num_rows == 0:
             continue
@@ -111,7 +134,7 @@ def pieces(batches, size: int = 4 << 20, column: str = "text"):
         i = 0
         while i < b.num_rows:
             j = int(np.searchsorted(off, off[i] + size, "right")) - 1
-            j = min(max(j, i + 1), b.num_rows)
+            j = min(max(j, i + 1), i + rows, b.num_rows)
             yield b.slice(i, j - i)
             i = j
 

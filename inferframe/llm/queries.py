@@ -2,21 +2,61 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language, quality, toxicity
+from .common import held_out, shared_dir, table
 from .embedding_dedup import embedding_components
+from .line_dedup import repeated_units
 from .minhash_dedup import Settings, near_duplicates
+from .mixing import mix_sources
 from .suffix_dedup import repeated_spans
+from .tokens import read_tokens, write_tokens
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("sentences").alias("n_offending"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy_no", "n_copies", "shuffle_key")
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path, with_ids=False)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = repeated_units(table(spark, sf_dir, "documents"))
+    return units.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=2))
 
@@ -27,7 +67,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op9_minhash_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_quality, op5_mixing, op6_token_output, op7_line_dedup, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup)}
 
 
 _COMPONENTS = """, reach(node, other) AS (
@@ -54,6 +94,30 @@ FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON
 )
 
 
+OP5 = """
+WITH c AS (SELECT source, count(*)::DOUBLE AS n, pow(count(*)::DOUBLE, 0.5) AS w FROM documents GROUP BY source),
+r AS (SELECT source, w * (sum(n) OVER () / sum(w) OVER ()) / n AS rate FROM c),
+p AS (SELECT r.source, r.rate, k.k, exp(k.k * ln(r.rate) - r.rate - lgamma(k.k + 1)) AS p FROM r, range(0, 100) k(k)),
+f AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
+d AS (SELECT *, ('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+n AS (SELECT d.doc_id, count(*) FILTER (WHERE f.cdf <= d.u)::INT AS n_copies FROM d JOIN f ON d.source = f.source GROUP BY d.doc_id)
+SELECT x.doc_id, x.text, x.lang, x.source, x.n_chars, x.copy_no, x.n_copies,
+  ('0x' || substr(md5('mix-1:' || x.doc_id || ':' || x.copy_no), 1, 13))::BIGINT AS shuffle_key
+FROM (SELECT documents.*, n.n_copies, unnest(range(1, n.n_copies + 1))::INT AS copy_no FROM documents JOIN n USING (doc_id)) x
+"""
+
+OP7 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, trim(regexp_replace(lower(line), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS norm FROM l),
+r AS (SELECT *, len(norm) > 0 AND len(string_split(norm, ' ')) >= 5
+  AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM k),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept, count(*) FILTER (WHERE gone) AS n FROM r GROUP BY doc_id)
+SELECT d.doc_id, octet_length(encode(coalesce(d.text, '')))::BIGINT AS n_bytes,
+  (octet_length(encode(coalesce(d.text, ''))) - octet_length(encode(coalesce(t.kept, ''))))::BIGINT AS n_removed,
+  coalesce(t.n, 0)::BIGINT AS n_spans, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
 OP9 = (
     r"""
 WITH RECURSIVE w AS (
@@ -94,4 +158,4 @@ FROM d LEFT JOIN u USING (doc_id)
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op9_minhash_near_dedup": OP9, "op10_suffix_array_dedup": OP10}
+    return {"op1_embedding_near_dedup": OP1, "op5_mixing": OP5, "op7_line_dedup": OP7, "op9_minhash_near_dedup": OP9, "op10_suffix_array_dedup": OP10}

@@ -28,7 +28,7 @@ def gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     power, h = {1: POWER}, {1: BYTE[data]}
     step = 1
     while step * 2 <= max(sizes):
-        power[2 * step] = power[step] * power[step]
+        power[2 * step] = np.uint64(int(power[step]) ** 2 & 0xFFFFFFFFFFFFFFFF)
         h[2 * step] = h[step][: max(0, n - 2 * step + 1)] * power[step] + h[step][step : step + max(0, n - 2 * step + 1)]
         step *= 2
     for size in sizes:
