@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import language, quality, toxicity
 from .common import held_out, shared_dir, table
+from .decontaminate import contaminated
 from .embedding_dedup import embedding_components
 from .line_dedup import repeated_units
 from .minhash_dedup import Settings, near_duplicates
@@ -42,6 +43,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy_no", "n_copies", "shuffle_key")
 
@@ -67,7 +72,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_quality, op5_mixing, op6_token_output, op7_line_dedup, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_quality, op4_decontamination, op5_mixing, op6_token_output, op7_line_dedup, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup)}
 
 
 _COMPONENTS = """, reach(node, other) AS (
