@@ -9,17 +9,22 @@ from ..functions import response
 from ..functions.text import truncated
 
 
-def full(results: DataFrame, timestamp: bool = True) -> DataFrame:
-    """request_id, model_output, additional_data, with a timestamp unless told otherwise, and error."""
+def now() -> Column:
+    """The query's time in ISO form."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def full(results: DataFrame, timestamp: bool = True, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """request_id, model_output, additional_data, with a timestamp unless told otherwise, and error; carry: further columns to keep."""
     cols = ["request_id", "model_output", "additional_data"]
-    stamp = [F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")] if timestamp else []
-    return results.select(*cols, *stamp, "error")
+    stamp = [now().alias("timestamp")] if timestamp else []
+    return results.select(*cols, *stamp, "error", *carry)
 
 
-def minimal(results: DataFrame) -> DataFrame:
+def minimal(results: DataFrame, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """First choice's content and finish reason, all choices' as arrays, usage, additional_data, error."""
     v = response.output("model_output")
-    return results.select(*response.minimal(F.col("request_id"), response.choices(v), response.usage(v)), "additional_data", "error")
+    return results.select(*response.minimal(F.col("request_id"), response.choices(v), response.usage(v)), "additional_data", "error", *carry)
 
 
 def only(df: DataFrame, fields: list[str] | None) -> DataFrame:
