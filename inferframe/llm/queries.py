@@ -113,10 +113,13 @@ FROM (SELECT documents.*, n.n_copies, unnest(range(1, n.n_copies + 1))::INT AS c
 
 OP7 = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-k AS (SELECT *, trim(regexp_replace(lower(line), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS norm FROM l),
-r AS (SELECT *, len(norm) > 0 AND len(string_split(norm, ' ')) >= 5
-  AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM k),
-t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept, count(*) FILTER (WHERE gone) AS n FROM r GROUP BY doc_id)
+s AS (SELECT doc_id, i, line, string_split(line, '. ') AS parts,
+  list_transform(string_split(line, '. '), lambda x: rtrim(trim(regexp_replace(lower(x), '[\x09-\x0D\x20]+', ' ', 'g'), ' '), '.!? ')) AS norms FROM l),
+u AS (SELECT doc_id, i, -1 AS j, line AS part, array_to_string(list_filter(norms, lambda x: x <> ''), ' ') AS norm FROM s WHERE len(list_filter(norms, lambda x: x <> '')) > 1
+  UNION ALL SELECT doc_id, i, generate_subscripts(parts, 1) - 1 AS j, unnest(parts) AS part, unnest(norms) AS norm FROM s),
+r AS (SELECT *, len(norm) > 0 AND len(string_split(norm, ' ')) >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i, j) > 1 AS gone FROM u),
+g AS (SELECT doc_id, i, bool_or(gone AND j = -1) AS whole, string_agg(part, '. ' ORDER BY j) FILTER (WHERE j >= 0 AND NOT gone) AS kept, count(*) FILTER (WHERE gone AND j >= 0) AS n FROM r GROUP BY doc_id, i),
+t AS (SELECT doc_id, coalesce(string_agg(kept, chr(10) ORDER BY i) FILTER (WHERE NOT whole AND kept IS NOT NULL), '') AS kept, sum(CASE WHEN whole THEN 1 ELSE n END) AS n FROM g GROUP BY doc_id)
 SELECT d.doc_id, octet_length(encode(coalesce(d.text, '')))::BIGINT AS n_bytes,
   (octet_length(encode(coalesce(d.text, ''))) - octet_length(encode(coalesce(t.kept, ''))))::BIGINT AS n_removed,
   coalesce(t.n, 0)::BIGINT AS n_spans, sha256(coalesce(t.kept, '')) AS kept_sha256
