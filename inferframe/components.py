@@ -36,7 +36,7 @@ def _built(items: DataFrame, p: dict, multimodal: bool = False, **more) -> DataF
 @register_source("JSONLDataLoader")
 def jsonl(spark: SparkSession, p: dict, multimodal: bool = False) -> DataFrame:
     mode = "PERMISSIVE" if p.get("streaming", True) else "FAILFAST"
-    return _built(files.jsonl(spark, p["file_path"], mode, **_chunk(p)), p, multimodal)
+    return _built(files.jsonl(spark, p["file_path"], mode, p.get("id_field", "id"), **_chunk(p)), p, multimodal)
 
 
 @register_source("JSONDataLoader")
@@ -58,7 +58,7 @@ def prompt_list(spark: SparkSession, p: dict) -> DataFrame:
 
 @register_source("DirectoryJSONLDataLoader")
 def directory(spark: SparkSession, p: dict, multimodal: bool = False) -> DataFrame:
-    return _built(files.directory_jsonl(spark, p["input_dir"], p.get("file_pattern", "conv.jsonl"), p.get("recursive", True), **_chunk(p)), p | ({} if not multimodal or p.get("image_base_dir") else {"image_base_dir": None}), multimodal)
+    return _built(files.directory_jsonl(spark, p["input_dir"], p.get("file_pattern", "conv.jsonl"), p.get("recursive", True), p.get("id_field", "id"), **_chunk(p)), p | ({} if not multimodal or p.get("image_base_dir") else {"image_base_dir": None}), multimodal)
 
 
 @register_source("TextLinesLoader")
@@ -80,7 +80,7 @@ def multimodal_json(spark: SparkSession, p: dict) -> DataFrame:
 def multimodal_directory(spark: SparkSession, p: dict) -> DataFrame:
     from pyspark.sql import functions as F
 
-    items = files.directory_jsonl(spark, p["input_dir"], p.get("file_pattern", "conv.jsonl"), p.get("recursive", True), **_chunk(p))
+    items = files.directory_jsonl(spark, p["input_dir"], p.get("file_pattern", "conv.jsonl"), p.get("recursive", True), p.get("id_field", "id"), **_chunk(p))
     f = _fields(p, True)
     requests = normalize.requests(items, f, p.get("hooks") or normalize.Hooks())
     if not f.encode_images:

@@ -46,6 +46,14 @@ class Fields:
     hidden: tuple[str, ...] = field(default=())
 
 
+def parsed_item(raw: str | Column) -> Column:
+    """A JSON object as map<string, variant>; of a repeated key the last value counts. Null for anything else."""
+    m = F.from_json(raw, "map<string,variant>")
+    keys = F.map_keys(m)
+    last = F.filter(F.map_entries(m), lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(last)).otherwise(m)
+
+
 def text_of(item: Column, name: str) -> Column:
     """A field as text; null where it is missing or null. Objects and lists come as JSON."""
     v = F.try_element_at(item, F.lit(name))
@@ -85,10 +93,10 @@ def additional(item: Column, f: Fields) -> Column:
     return F.when(F.size(rest) > 0, F.to_json(rest))
 
 
-def fan_out(lines: DataFrame) -> DataFrame:
+def fan_out(lines: DataFrame, id_field: str = "id") -> DataFrame:
     """Rows of source_file, source_dir, line_num and value to items: a list is one row for each entry, an object is one row.
 
-    Other JSON values and malformed text give no row. An entry that isn't an object is dropped, but counts in positions.
+    n_same counts the items of a line that share the item's id (its content where it has none). Other JSON values and malformed text give no row. An entry that isn't an object is dropped, but counts in positions.
     """
     v = F.try_parse_json("value")
     is_list = F.col("value").rlike(r"^\s*\[")
@@ -99,13 +107,16 @@ def fan_out(lines: DataFrame) -> DataFrame:
     keys = F.map_keys(F.from_json("value", "map<string,string>"))
     sound = v.isNotNull() | (F.size(F.array_distinct(keys)) < F.size(keys))
     raws = F.when(is_list, entries).when(sound, F.array("value"))
-    rows = lines.select("source_file", "source_dir", "line_num", F.posexplode(raws).alias("item_idx", "raw"), F.size(raws).alias("n_items"))
-    return rows.where(F.col("raw").rlike(r"^\s*\{")).select("source_file", "source_dir", "line_num", "item_idx", "n_items", "raw")
+    named = F.transform(raws, lambda r: F.struct(r.alias("raw"), F.when(F.size(raws) > 1, F.coalesce(F.from_json(r, "map<string,string>")[id_field], r)).alias("id")))
+    rows = lines.select("source_file", "source_dir", "line_num", named.alias("_all")).select("*", F.posexplode("_all").alias("item_idx", "_one"))
+    same = F.size(F.filter("_all", lambda x: x["id"] == F.col("_one.id")))
+    rows = rows.select("source_file", "source_dir", "line_num", "item_idx", F.when(F.size("_all") > 1, same).otherwise(1).alias("n_same"), F.col("_one.raw").alias("raw"))
+    return rows.where(F.col("raw").rlike(r"^\s*\{")).select("source_file", "source_dir", "line_num", "item_idx", "n_same", "raw")
 
 
 def explode_field(items: DataFrame, name: str, prompt: str = "prompt", ident: str = "id", index: str = "_variation_index") -> DataFrame:
     """Fan out over a list field of each item: an entry becomes the prompt, the id gets _var_{i}, other fields stay."""
-    item = F.from_json("raw", "map<string,variant>")
+    item = parsed_item("raw")
     base = F.map_filter(item, lambda k, v: ~k.isin(name, prompt, ident, index))
     rows = items.select("*", F.posexplode_outer(strings_of(item, name)).alias("_i", "_v")).where(F.col("_v").isNotNull())
     own = F.to_json(F.named_struct(F.lit(prompt), F.col("_v"), F.lit(ident), F.concat(text_of(item, ident), F.lit("_var_"), F.col("_i").cast("string")), F.lit(index), F.col("_i")))
@@ -119,11 +130,11 @@ def requests(items: DataFrame, fields: Fields = Fields(), hooks: Hooks = Hooks()
     """Source items to REQUEST rows.
 
     Rows without a prompt go, as do those that hooks.skip holds true for. The id is the id field as text, else a hash of
-    the item's content; where one line holds several items with the same id, _{item_idx} follows it. additional_data keeps
+    the item's content; where several items of a line have the same id, _{item_idx} follows it. additional_data keeps
     every other field. parsed: items have a column item map<string, variant> of their own.
     """
     f, h = fields, hooks
-    df = items if parsed else items.withColumn("item", F.from_json("raw", "map<string,variant>"))
+    df = items if parsed else items.withColumn("item", parsed_item("raw"))
     item = F.col("item")
     df = df.where(item.isNotNull())
     if h.skip is not None:
@@ -139,7 +150,7 @@ def requests(items: DataFrame, fields: Fields = Fields(), hooks: Hooks = Hooks()
     hashed = df.where(F.col("_given").isNull()).withColumn("request_id", ids.content_hash("raw", f.prompt, f.id))
     df = named.unionByName(hashed)
     # siblings of one line that share an id
-    twin = (F.col("n_items") > 1) & ~F.col("request_id").endswith(F.concat(F.lit("_"), F.col("item_idx").cast("string")))
+    twin = (F.col("n_same") > 1) & ~F.col("request_id").endswith(F.concat(F.lit("_"), F.col("item_idx").cast("string")))
     if h.request_id is None:
         df = df.withColumn("request_id", F.when(twin, F.concat("request_id", F.lit("_"), F.col("item_idx").cast("string"))).otherwise(F.col("request_id")))
     df = df.withColumn("additional_data", (h.additional_data or (lambda i: additional(i, f)))(item))

@@ -202,7 +202,7 @@ def q_fanout_variations(spark, sf):
     """A list field of JSON items becomes one request for each entry."""
     c = table(spark, sf, "conversations").where("turn = 0 and text is not null")
     raw = F.to_json(F.struct(F.col("conv_id").alias("id"), F.split("text", r"\. ").alias("variations")))
-    items = c.select(F.lit("conversations").alias("source_file"), F.lit("").alias("source_dir"), F.col("conv_id").alias("line_num"), F.lit(0).alias("item_idx"), F.lit(1).alias("n_items"), raw.alias("raw"))
+    items = c.select(F.lit("conversations").alias("source_file"), F.lit("").alias("source_dir"), F.col("conv_id").alias("line_num"), F.lit(0).alias("item_idx"), F.lit(1).alias("n_same"), raw.alias("raw"))
     r = normalize.requests(normalize.explode_field(items, "variations"))
     return r.select("request_id", "prompt", F.col("item_idx").cast("bigint").alias("variation"))
 

@@ -8,7 +8,7 @@ CHOICES = "array<struct<content:string,finish_reason:string>>"
 USAGE = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>"
 
 #: What a source yields: one row for each parsed item of a line, record or list entry.
-ITEM = "source_file string, source_dir string, line_num bigint, item_idx int, n_items int, raw string"
+ITEM = "source_file string, source_dir string, line_num bigint, item_idx int, n_same int, raw string"
 
 #: One chat request. content or parts of a message is set, never both; additional_data is JSON text or null.
 REQUEST = f"request_id string, prompt string, messages array<{MESSAGE}>, images array<string>, additional_data string, source_file string, source_dir string, line_num bigint, item_idx int, dispatch_cost double"

@@ -64,6 +64,8 @@ def write_json(results: DataFrame, path: str, pretty: bool = True, **shape) -> N
         for b in batches:
             out = []
             for v in b.column(0).to_pylist():
+                if v is None:
+                    continue
                 if pretty:
                     v = "\n".join("  " + x for x in json.dumps(json.loads(v), indent=2, ensure_ascii=False).split("\n"))
                 out.append(("[" if first else ",") + ("\n" if pretty else "") + v)
@@ -71,7 +73,8 @@ def write_json(results: DataFrame, path: str, pretty: bool = True, **shape) -> N
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
 
-    rows.coalesce(1).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+    mark = results.sparkSession.createDataFrame([(None,)], "value string")  # so that an empty result has a partition, too
+    rows.union(mark).coalesce(1).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def show(results: DataFrame, details: bool = False, separator: str = "-" * 60) -> None:

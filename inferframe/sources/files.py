@@ -86,10 +86,10 @@ def malformed(lines_: DataFrame) -> DataFrame:
     return lines_.where(v.isNull() & ~F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False)))
 
 
-def jsonl(spark: SparkSession, path: str, mode: str = "PERMISSIVE", **chunk) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, mode: str = "PERMISSIVE", id_field: str = "id", **chunk) -> DataFrame:
     """Items of a JSONL file. Lines that aren't JSON are left out, or are an error (FAILFAST), as is a file without items then."""
     found = lines(spark, path, **chunk)
-    items = normalize.fan_out(found)
+    items = normalize.fan_out(found, id_field)
     if mode == "FAILFAST":
         bad = malformed(found).select("source_file", "line_num").first()
         if bad:
@@ -99,9 +99,9 @@ def jsonl(spark: SparkSession, path: str, mode: str = "PERMISSIVE", **chunk) ->
     return items
 
 
-def directory_jsonl(spark: SparkSession, input_dir: str, file_pattern: str = "conv.jsonl", recursive: bool = True, **chunk) -> DataFrame:
+def directory_jsonl(spark: SparkSession, input_dir: str, file_pattern: str = "conv.jsonl", recursive: bool = True, id_field: str = "id", **chunk) -> DataFrame:
     """Items of all JSONL files below a folder."""
-    return normalize.fan_out(lines(spark, input_dir, file_pattern, recursive, **chunk))
+    return normalize.fan_out(lines(spark, input_dir, file_pattern, recursive, **chunk), id_field)
 
 
 def json_array(spark: SparkSession, path: str, num_chunks: int = 1, chunk_index: int = 0) -> DataFrame:
@@ -117,7 +117,7 @@ def json_array(spark: SparkSession, path: str, num_chunks: int = 1, chunk_index:
     rows = entries.where(F.col("raw").rlike(r"^\s*\{"))
     if num_chunks > 1:
         rows = rows.where(chunks.in_chunk(F.col("pos"), num_chunks, chunk_index))
-    return rows.select(F.lit(path).alias("source_file"), F.lit(path.rpartition("/")[0]).alias("source_dir"), (F.col("pos") + 1).cast("bigint").alias("line_num"), F.lit(0).alias("item_idx"), F.lit(1).alias("n_items"), "raw")
+    return rows.select(F.lit(path).alias("source_file"), F.lit(path.rpartition("/")[0]).alias("source_dir"), (F.col("pos") + 1).cast("bigint").alias("line_num"), F.lit(0).alias("item_idx"), F.lit(1).alias("n_same"), "raw")
 
 
 def csv(spark: SparkSession, path: str, prompt_field: str = "prompt", encoding: str = "UTF-8") -> DataFrame:
@@ -147,7 +147,7 @@ def text_lines(spark: SparkSession, path: str, pattern: str | None = "*.txt") ->
     """Items of plain text: each line that isn't blank is a prompt with the id {file name}:{line}."""
     r = lines(spark, path, pattern)
     raw = F.to_json(F.struct(F.concat_ws(":", file_name("source_file"), F.col("line_num")).alias("id"), F.col("value").alias("prompt"), "source_file"))
-    return r.select("source_file", "source_dir", "line_num", F.lit(0).alias("item_idx"), F.lit(1).alias("n_items"), raw.alias("raw"))
+    return r.select("source_file", "source_dir", "line_num", F.lit(0).alias("item_idx"), F.lit(1).alias("n_same"), raw.alias("raw"))
 
 
 def table_items(df: DataFrame, source: str = "table") -> DataFrame:
@@ -156,7 +156,7 @@ def table_items(df: DataFrame, source: str = "table") -> DataFrame:
 
 
 def _unplaced(raw: DataFrame, source: str | None = None) -> DataFrame:
-    return raw.select(F.lit(source).cast("string").alias("source_file"), F.lit(None).cast("string").alias("source_dir"), F.lit(None).cast("bigint").alias("line_num"), F.lit(None).cast("int").alias("item_idx"), F.lit(1).alias("n_items"), "raw")
+    return raw.select(F.lit(source).cast("string").alias("source_file"), F.lit(None).cast("string").alias("source_dir"), F.lit(None).cast("bigint").alias("line_num"), F.lit(None).cast("int").alias("item_idx"), F.lit(1).alias("n_same"), "raw")
 
 
 # ---------------------------------------------------------------- what earlier runs wrote

@@ -38,7 +38,7 @@ def run_stream(spark: SparkSession, s: Stream, model: Callable[[DataFrame], Data
     def batch(df: DataFrame, batch_id: int) -> None:
         own = df.sparkSession
         lines = files.placed(own, files.numbered(df), s.input_dir, True)
-        requests = normalize.requests(normalize.fan_out(lines), fields, hooks)
+        requests = normalize.requests(normalize.fan_out(lines, fields.id), fields, hooks)
         if _exists(own, f"{work}/resume"):
             requests = resume.pending(requests, own.read.schema(LOG).parquet(f"{work}/resume"))
         answered = model(requests)

@@ -162,7 +162,7 @@ def test_images_beside_their_file_are_encoded(spark, tmp_path):
 def test_variations(spark):
     items = files.prompt_list(spark, [])
     raw = spark.createDataFrame([('{"id":"a","variations":["x","y"],"k":1}',), ('{"id":"b"}',)], "raw string")
-    items = items.unionByName(raw.select(F.lit("f").alias("source_file"), F.lit("").alias("source_dir"), F.lit(1).cast("long").alias("line_num"), F.lit(0).alias("item_idx"), F.lit(1).alias("n_items"), "raw"))
+    items = items.unionByName(raw.select(F.lit("f").alias("source_file"), F.lit("").alias("source_dir"), F.lit(1).cast("long").alias("line_num"), F.lit(0).alias("item_idx"), F.lit(1).alias("n_same"), "raw"))
     r = sorted(normalize.requests(normalize.explode_field(items, "variations")).collect(), key=lambda x: x["request_id"])
     assert [(x["request_id"], x["prompt"], json.loads(x["additional_data"])) for x in r] == [("a_var_0", "x", {"k": 1, "_variation_index": 0}), ("a_var_1", "y", {"k": 1, "_variation_index": 1})]
 
