@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -87,7 +88,8 @@ def _clean() -> None:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
 
-    The driver's garbage is collected afterwards, so that Spark's cleaner removes shuffle files no plan needs any more.
+    The driver's garbage is collected afterwards, so that Spark's cleaner removes shuffle files no plan needs any more. Python's
+    references reach the JVM from a thread of the bridge; a short wait lets them go first.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -96,6 +98,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     out._saved_path = path
     del df
     gc.collect()
+    time.sleep(0.4)
     spark.sparkContext._jvm.System.gc()
     return out
 
