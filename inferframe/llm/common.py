@@ -142,6 +142,12 @@ def pieces(batches, size: int = 4 << 20, rows: int = 1 << 30, column: str = "tex
             i = j
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct integers, ascending; a plain sort, which numpy does many times faster than unique()."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def column(batch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
