@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, held_out, labelled_sample, pieces, text_bytes
+from .common import column, distinct, held_out, labelled_sample, pieces, text_bytes
 from .shingles import LOWER
 from .suffix_dedup import gram_hashes
 
@@ -53,10 +53,22 @@ def _instances(data, off, weights):
     at, h = grams(data, off)
     hit = weights[h] != 0
     s = np.searchsorted(start, at[hit], "right") - 1
-    pair = np.unique((s << BITS) | h[hit])
+    pair = distinct((s << BITS) | h[hit])
     return start, np.searchsorted(off, start, "right") - 1, pair >> BITS, pair & ((1 << BITS) - 1)
 
 
+def _runs(sizes: list[int], most: int):
+    """Ranges of consecutive texts of about most bytes, at least one text each."""
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if i > lo and held + n > most:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if sizes:
+        yield lo, len(sizes)
+
+
 def train(texts: list[str], y: np.ndarray, features: int = 4000, rounds: int = 300, l2: float = 1e-3) -> Model:
     """Noisy-or likelihood of document labels, by Adam; features: the grams whose document frequencies differ most by class."""
     weights = np.zeros(1 << BITS, np.float32)
@@ -64,9 +76,10 @@ def train(texts: list[str], y: np.ndarray, features: int = 4000, rounds: int = 3
         return Model(weights, 20.0 if len(y) and y[0] == 1 else -20.0)
     df = np.zeros((2, 1 << BITS), np.float32)
     raw = [t.encode() for t in texts]
+    del texts
     for t, c in zip(raw, y, strict=True):
-        df[int(c)][np.unique(grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1])] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
+        df[int(c)][distinct(grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1])] += 1
+    n = np.array([(y == 0).sum(), (y == 1).sum()], np.float32)
     odds = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
     z = odds / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
     z[df[1] < 4] = 0
@@ -75,14 +88,18 @@ def train(texts: list[str], y: np.ndarray, features: int = 4000, rounds: int = 3
     weights[best] = 1
     index = np.zeros(1 << BITS, np.int64)
     index[best] = np.arange(len(best))
-    data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw]))
-    start, doc, s, g = _instances(data, off, weights)
-    g = index[g]
+    doc, s, g, count = [], [], [], 0
+    for lo, hi in _runs([len(t) for t in raw], 1 << 20):  # a run at a time, as hashes take many times the text's memory
+        data, off = np.frombuffer(b"".join(raw[lo:hi]), np.uint8), np.append(0, np.cumsum([len(t) for t in raw[lo:hi]]))
+        start, own, sentence, gram = _instances(data, off, weights)
+        doc.append((own + lo).astype(np.int32)), s.append((sentence + count).astype(np.int32)), g.append(index[gram].astype(np.int32))
+        count += len(start)
+    doc, s, g = (np.concatenate(x) for x in (doc, s, g))
     w, b = np.clip(odds[best].astype(np.float64), 0, 4), -6.0
     share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        x = np.bincount(s, w[g], len(start)) + b
+        x = np.bincount(s, w[g], count) + b
         p = 1 / (1 + np.exp(-x))
         none = np.bincount(doc, -np.logaddexp(0, x), len(raw))
         pull = np.where(y == 1, np.exp(none) / np.maximum(-np.expm1(none), 1e-9), -1.0) * share
