@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import sys
+import types
 import zlib
 from dataclasses import dataclass
 
@@ -11,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, ints, pieces
+from .common import column, ints, pieces, text_bytes
+from .shingles import mix
 
 MAGIC = b"DAC1"
 BLOCK = 512  # bits of a bitmap for each entry of its rank directory
@@ -81,89 +85,213 @@ class Segment:
         return out
 
 
+#: White space beside the space and the newline, as UTF-8 (fixed values).
+ODD = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+
+
+#: ASCII letters, and ASCII marks but for the apostrophe, with which a piece of letters may begin.
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+MARK[[c for c in b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~']] = True
+
+
+class Known:
+    """Token ids of chunks seen before, in arrays: an open-addressing table from a chunk's key to its place.
+
+    A chunk is told by its length, its first and its last eight bytes, and a hash of what lies between.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.slots = 1 << max(10, (2 * most - 1).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = np.full(self.slots, -1, np.int32)
+        self.keys, self.head, self.end = (np.zeros(self.most, np.uint64) for _ in range(3))
+        self.at, self.count = np.zeros(self.most + 1, np.int64), np.zeros(self.most, np.int32)
+        self.ids, self.n = np.zeros(4 * self.most, np.uint32), 0
+
+    def find(self, key: np.ndarray, head: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of chunks; -1 for those that aren't known."""
+        out, left, slot = np.full(len(key), -1, np.int32), np.arange(len(key)), (key & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(left):
+            got = self.table[slot]
+            place = np.maximum(got, 0)
+            same = (got >= 0) & (self.keys[place] == key[left]) & (self.head[place] == head[left]) & (self.end[place] == end[left])
+            out[left[same]] = got[same]
+            on = (got >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, key: np.ndarray, head: np.ndarray, end: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct chunks that aren't known yet, with their ids one after another; there must be room."""
+        a, b = self.n, self.n + len(key)
+        self.keys[a:b], self.head[a:b], self.end[a:b], self.count[a:b] = key, head, end, count
+        self.at[a + 1 : b + 1] = self.at[a] + np.cumsum(count)
+        while self.at[b] > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
+        self.ids[self.at[a] : self.at[b]] = ids
+        left, slot = np.arange(a, b), (key & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]  # of several for one slot the last stays
+            on = self.table[slot] != left
+            left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
+        self.n = b
+
+
 class Encoder:
-    """The tokenizers library behind a bounded cache of word-like chunks.
+    """The tokenizers library behind a bounded memory of word-like chunks.
 
-    Byte-level BPE splits a text before it merges, and never inside a chunk cut before a single space (or newline) that stands between two
-    other characters; so a chunk has the same ids alone as in its text. Chunks not seen lately are encoded by the library,
-    many in one call, and told apart by the bytes of their tokens. Texts with a special token's string, or with a carriage
-    return or another white-space mark that the cut doesn't treat, are encoded whole.
+    Byte-level BPE splits a text before it merges: always before a single space or around a single newline that stands between two
+    other characters, and between a letter and a mark that isn't an apostrophe. Cut there, a chunk has the same ids alone as in its text. Chunks not seen lately are encoded
+    by the library, many in one call, and told apart by the bytes of their tokens. Texts with a special token's string, with runs of white space
+    or with white space that the cut doesn't treat are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1 << 21):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.tok, self.known = Tokenizer.from_file(path), Known(most)
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # each character of a token stands for a byte
             self.size[i] = len(token)
-        self.kind = "<u2" if len(self.size) <= 65536 else "<u4"
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-        for lo in range(0, len(new), 3200):
-            part = new[lo : lo + 3200]
-            # only chunks that begin with a space may stand after another without merging into it
-            spaced, bare = [c for c in part if c[0] == " "], [[c] for c in part if c[0] != " "]
-            groups = bare + [spaced[i : i + 64] for i in range(0, len(spaced), 64)]
-            for group, got in zip(groups, self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, np.int64)
-                ends = np.cumsum(self.size[ids])
-                cut = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in group])) + 1
-                ids = ids.astype(self.kind)
-                for chunk, a, b in zip(group, np.append(0, cut[:-1]), cut, strict=True):
-                    self.known[chunk] = ids[a:b].tobytes()
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        plain, whole = [], []
-        for i, t in enumerate(texts):
-            (whole if "  " in t or " \n" in t or "\n\n" in t or "\n " in t or t[-1:].isspace() or not set(t[:1]).isdisjoint(" \n") or any(s in t for s in self.special) or any(c in t for c in _ODD) else plain).append(i)
-        for i in plain:
-            chunks = _cut(texts[i])
-            try:
-                out[i] = b"".join([self.known[c] for c in chunks])
-            except KeyError:
-                new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-                if len(self.known) + len(new) > self.most:  # a text of more chunks than fit is encoded whole
-                    self.known.clear()
-                    new = list(dict.fromkeys(chunks))
-                if len(new) > self.most:
-                    whole.append(i)
-                    continue
-                self.learn(new)
-                out[i] = b"".join([self.known[c] for c in chunks])
-        if whole:
-            for i, got in zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-                out[i] = np.array(got.ids, self.kind).tobytes()
-        return [np.frombuffer(x, self.kind).astype(np.uint32) for x in out]
-
-
-#: White space beside the space and the newline.
-_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
-
-
-def _cut(text: str) -> list[str]:
-    """Chunks that begin with the space or newline before a word; the newline alone is a chunk, as the pattern takes only spaces along."""
-    if not text:
-        return []
-    first, *rest = text.split(" ")
-    chunks = [first, *[" " + x for x in rest]]
-    if "\n" in text:
-        out = []
-        for c in chunks:
-            if "\n" in c:
-                head, *tail = c.split("\n")
-                out.append(head)
-                for x in tail:
-                    out += ["\n", x]
-            else:
-                out.append(c)
-        chunks = [c for c in out if c]
-    return chunks
+
+    @staticmethod
+    def cached(path: str) -> Encoder:
+        """One for each worker process, kept from task to task."""
+        kept = sys.modules.setdefault("_inferframe_encoders", types.ModuleType("_inferframe_encoders")).__dict__
+        if path not in kept:
+            kept[path] = Encoder(path)
+        return kept[path]
+
+    def _whole(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Texts that the cut doesn't treat."""
+        white = (data == 32) | (data == 10)
+        bad = np.zeros(len(data), bool)
+        bad[:-1] = white[:-1] & white[1:]
+        for c in ODD:
+            bad |= data == c
+        raw = data.tobytes()
+        for c in (*(w for w in WIDE if w in raw), *(w for w in self.special if w in raw)):
+            at = raw.find(c)
+            while at >= 0:
+                bad[at] = True
+                at = raw.find(c, at + 1)
+        out = np.zeros(len(off) - 1, bool)
+        out[np.searchsorted(off, np.flatnonzero(bad), "right") - 1] = True
+        some = np.flatnonzero(np.diff(off))
+        out[some] |= white[off[some]] | white[off[some + 1] - 1]
+        return out
+
+    def _learn(self, data: np.ndarray, key, head, end, start, length) -> None:
+        spaced = data[start] == 32
+        # a chunk that doesn't begin with a space stands behind a newline, which is a chunk of its own, or is one
+        lone = (length == 1) & (data[start] == 10)
+        group = np.flatnonzero(~lone)
+        sizes = length + np.where(spaced, 0, 1)
+        ids, count = [], np.zeros(len(key), np.int64)
+        for lo in range(0, len(group), 4096):
+            g = group[lo : lo + 4096]
+            n = sizes[g]
+            text = np.full(n.sum(), 10, np.uint8)
+            begin = np.cumsum(n) - n + np.where(spaced[g], 0, 1)
+            text[_places(begin, length[g])] = data[_places(start[g], length[g])]
+            got = np.array(self.tok.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.int64)
+            last = np.cumsum(self.size[got])
+            cut = np.searchsorted(last, begin + length[g]) + 1
+            first = np.searchsorted(last, begin, "right")
+            count[g] = cut - first
+            ids.append(got[_places(first, count[g])].astype(np.uint32))
+        if lone.any():
+            newline = np.array(self.tok.encode("\n", add_special_tokens=False).ids, np.uint32)
+            order, count[lone] = np.append(group, np.flatnonzero(lone)), len(newline)
+            ids += [newline] * int(lone.sum())
+        else:
+            order = group
+        self.known.add(key[order], head[order], end[order], count[order], np.concatenate(ids))
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of each text's); texts are UTF-8 bytes from off to off."""
+        n = len(off) - 1
+        whole = self._whole(data, off)
+        begin = np.zeros(len(data), bool)
+        newline = data == 10
+        begin |= newline | (data == 32)
+        begin[1:] |= newline[:-1] | (LETTER[data[:-1]] & MARK[data[1:]])
+        begin[off[:-1][off[:-1] < off[1:]]] = True
+        start = np.flatnonzero(begin)
+        doc = np.searchsorted(off, start, "right") - 1
+        length = np.diff(np.append(start, len(data)))
+        if whole.any():
+            on = ~whole[doc]
+            start, doc, length = start[on], doc[on], length[on]
+        key, head, end = _chunk_keys(data, start, length)
+        place = self.known.find(key, head, end)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            one = new[_first_of(key[new], head[new], end[new])]
+            if self.known.n + len(one) > self.known.most:
+                self.known.clear()
+                if len(one) > self.known.most or len(start) > self.known.most:  # more chunks than fit: the library takes the texts whole
+                    return self._by_library(data, off)
+                return self.encode(data, off)
+            self._learn(data, key[one], head[one], end[one], start[one], length[one])
+            place[new] = self.known.find(key[new], head[new], end[new])
+        size = self.known.count[place].astype(np.int64)
+        ids = self.known.ids[_places(self.known.at[place], size)]
+        total = np.bincount(doc, size, n).astype(np.int64)
+        if not whole.any():
+            return ids, total
+        where = np.flatnonzero(whole)
+        got = self.tok.encode_batch_fast([data[off[i] : off[i + 1]].tobytes().decode() for i in where], add_special_tokens=False)
+        at, parts = np.append(0, np.cumsum(total)), [ids[:0]]
+        last = 0
+        for i, g in zip(where, got, strict=True):
+            parts += [ids[at[last] : at[i]], np.array(g.ids, np.uint32)]
+            total[i], last = len(g.ids), i
+        return np.concatenate([*parts, ids[at[last] :]]), total
+
+    def _by_library(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = self.tok.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:], strict=True)], add_special_tokens=False)
+        return np.concatenate([np.zeros(0, np.uint32), *[np.array(g.ids, np.uint32) for g in got]]), np.array([len(g.ids) for g in got], np.int64)
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] of them, then those of the next."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _chunk_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first eight bytes, last eight bytes) of chunks. Up to 16 bytes these and the length, which is in the key, tell a chunk exactly."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))  # the eight bytes from each position
+    short = np.minimum(length, 8).astype(np.uint64) * np.uint64(8)
+    mask = np.where(length >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(short, np.uint64(63))) - np.uint64(1))
+    head = eight[start + 8] & mask
+    end = np.where(length > 8, eight[np.maximum(start + length, 0)], np.uint64(0))
+    key = mix(head * np.uint64(0x9E3779B97F4A7C15) + mix(end + length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    at, left = 8, np.flatnonzero(length > 16)
+    while len(left):
+        key[left] = mix(key[left] * np.uint64(0xD6E8FEB86659FD93) + eight[start[left] + 8 + at])
+        at += 8
+        left = left[length[left] > at + 8]
+    return key, head, end
+
+
+def _first_of(*cols: np.ndarray) -> np.ndarray:
+    """Places of the first row of each distinct combination."""
+    order = np.lexsort(cols)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return order[new]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, segment_ids: int = 1 << 20) -> None:
@@ -175,30 +303,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     doc_ids are ordered by text. An empty table writes no segment.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def write(batches):
         from pyspark import TaskContext
 
-        part, seq, before, enc = TaskContext.get().partitionId(), 0, 0, Encoder(tokenizer)
-        ids: list[np.ndarray] = []
-        names: list[int | None] = []
-        held = 0
+        part, seq, before, enc = TaskContext.get().partitionId(), 0, 0, Encoder.cached(tokenizer)
+        held: list[tuple[np.ndarray, np.ndarray, list]] = []
+        size = 0
 
         def segment():
-            lengths = np.array([len(x) for x in ids], np.int64)
-            blob = encode(np.concatenate(ids), lengths)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([blob], pa.binary())], ["part", "seq", "before", "n_tokens", "doc_ids", "blob"])
+            lengths = np.concatenate([x[1] for x in held])
+            blob = encode(np.concatenate([x[0] for x in held]), lengths)
+            names = [i for x in held for i in x[2]]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([blob], pa.binary())], ["part", "seq", "before", "n_tokens", "doc_ids", "blob"])
 
         for b in pieces(batches, 1 << 20):
-            for name, x in zip(column(b, "doc_id").to_pylist(), enc.ids(column(b, "text").to_pylist()), strict=True):
-                x = np.concatenate([x, tail])
-                if ids and held + len(x) > segment_ids:
+            ids, n = enc.encode(*text_bytes(column(b, "text")))
+            if end_id is not None:
+                ids, n = np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
+            names, at, i = column(b, "doc_id").to_pylist(), np.append(0, np.cumsum(n)), 0
+            while i < len(names):
+                # whole documents until the segment is full; the first one always fits
+                j = int(np.searchsorted(at, at[i] + segment_ids - size, "right")) - 1
+                j = min(max(j, i + (not held)), len(names))
+                if j > i:
+                    held.append((ids[at[i] : at[j]], n[i:j], names[i:j]))
+                    size, i = size + int(at[j] - at[i]), j
+                if i < len(names):
                     yield segment()
-                    seq, before, held, ids, names = seq + 1, before + held, 0, [], []
-                ids.append(x), names.append(name)
-                held += len(x)
-        if ids:
+                    seq, before, size, held = seq + 1, before + size, 0, []
+        if held:
             yield segment()
 
     out = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, seq int, before long, n_tokens long, doc_ids array<long>, blob binary")
