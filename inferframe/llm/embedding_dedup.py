@@ -43,8 +43,8 @@ def embedding_components(vectors: DataFrame, least: float = 0.98, cell_rows: int
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included) and
     kept. A vector that is null, empty, zero, or holds a null or non-finite component, or whose label is null, links with
-    nothing; vectors of different dimension never link. Repeated rows are rows of their own and link with each other;
-    a null vec_id keeps its row, with null component_id and kept. An empty table gives an empty result.
+    nothing; vectors of different dimension never link. Repeated rows are rows of their own and link with each other; rows
+    that share a vec_id with different vectors are one node of the components, each with its own n_links; a null vec_id keeps its row, with null component_id and kept. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     label = F.col("label").cast("string") if same_label else F.lit("")
@@ -52,7 +52,7 @@ def embedding_components(vectors: DataFrame, least: float = 0.98, cell_rows: int
     sound = F.col("label").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("x", lambda c: c != 0)
     v = v.withColumn("x", F.when(F.coalesce(sound, F.lit(False)), F.col("x")))
     good = v.where(F.col("x").isNotNull() & F.col("vec_id").isNotNull())
-    classes = saved(good.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("x")), "classes")
+    classes = saved(good.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("x")).withColumn("cid", F.xxhash64("label", "x")), "classes")
 
     # pivots: a bounded number, chosen by hash, at most one for each cell_rows classes of a (label, dimension)
     n = classes.count()
@@ -88,27 +88,27 @@ def embedding_components(vectors: DataFrame, least: float = 0.98, cell_rows: int
                 out.append((at[i], j, np.zeros(len(i), bool)))
             at = np.concatenate([o[0] for o in out])
             yield pa.RecordBatch.from_arrays(
-                [column(b, "label").take(pa.array(at)), pa.array(dims[at].astype(np.int32)), pa.array(np.concatenate([o[1] for o in out]).astype(np.int64)), pa.array(np.concatenate([o[2] for o in out])), column(b, "rep").take(pa.array(at)), column(b, "copies").take(pa.array(at)), column(b, "x").take(pa.array(at))],
-                ["label", "dim", "pivot", "home", "rep", "copies", "x"],
+                [column(b, "label").take(pa.array(at)), pa.array(dims[at].astype(np.int32)), pa.array(np.concatenate([o[1] for o in out]).astype(np.int64)), pa.array(np.concatenate([o[2] for o in out])), column(b, "rep").take(pa.array(at)), column(b, "cid").take(pa.array(at)), column(b, "copies").take(pa.array(at)), column(b, "x").take(pa.array(at))],
+                ["label", "dim", "pivot", "home", "rep", "cid", "copies", "x"],
             )
 
-    dealt = classes.select("label", "dim", "rep", "copies", "x").mapInArrow(deal, "label string, dim int, pivot long, home boolean, rep long, copies long, x array<double>")
+    dealt = classes.select("label", "dim", "rep", "cid", "copies", "x").mapInArrow(deal, "label string, dim int, pivot long, home boolean, rep long, cid long, copies long, x array<double>")
     dealt = saved(dealt.withColumn("cell", F.xxhash64("label", "dim", "pivot")), "dealt")
     sizes = saved(dealt.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks")), "sizes")
-    rows = dealt.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
+    rows = dealt.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    rows = rows.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "home", "rep", "copies", "dim", "label", "pivot", "x")
+    rows = rows.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "home", "rep", "cid", "copies", "dim", "label", "pivot", "x")
 
     def compare(t, starts):
-        reps, blocks, home, copies, dims = ints(t, "rep"), ints(t, "block"), ints(t, "home").astype(bool), ints(t, "copies"), ints(t, "dim")
+        reps, cids, blocks, home, copies, dims = ints(t, "rep"), ints(t, "cid"), ints(t, "block"), ints(t, "home").astype(bool), ints(t, "copies"), ints(t, "dim")
         labels, pivot = np.asarray(column(t, "label").to_pylist(), object), ints(t, "pivot")
         first = ints(t, "i")
-        got = ([], [], [])
+        got = ([], [], [], [])
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             for dim, lab, piv in {(dims[k], labels[k], pivot[k]) for k in range(s, e)} if e > s else ():  # one, but for a clash of hashes
                 at = np.arange(s, e)[(dims[s:e] == dim) & (labels[s:e] == lab) & (pivot[s:e] == piv)]
                 u = _unit(_matrix(column(t, "x").take(pa.array(at)), int(dim)))
-                h, left, c, r = home[at], blocks[at] == first[s], copies[at], reps[at]
+                h, left, c, r, ids = home[at], blocks[at] == first[s], copies[at], reps[at], cids[at]
                 within = bool(left.all())
                 a, o = (np.arange(len(at)), np.arange(len(at))) if within else (np.flatnonzero(left), np.flatnonzero(~left))
                 m = _linked(u[a], u[o], least) & (h[a][:, None] | h[o][None, :])
@@ -126,15 +126,15 @@ def embedding_components(vectors: DataFrame, least: float = 0.98, cell_rows: int
                     low[o] = np.minimum(low[o], np.where(m, low[a][:, None], big).min(0, initial=big))
                     if (low == old).all():
                         break
-                for k, x in zip(got, (r, links, low), strict=True):
+                for k, x in zip(got, (r, ids, links, low), strict=True):
                     k.append(x[links > 0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in got], ["rep", "links", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in got], ["rep", "cid", "links", "low"])
 
-    found = saved(in_groups(rows, ["cell", "i", "j"], compare, "rep long, links long, low long"), "found")
+    found = saved(in_groups(rows, ["cell", "i", "j"], compare, "rep long, cid long, links long, low long"), "found")
     reached = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    counts = saved(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
+    counts = saved(found.groupBy("rep", "cid").agg(F.sum("links").alias("links")), "links")
     of_class = saved(
-        classes.select("label", "x", "rep", "copies").join(counts, "rep", "left").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        classes.select("label", "x", "rep", "cid", "copies").join(counts, ["rep", "cid"], "left").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select(F.col("label").alias("l"), F.col("x").alias("y"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
         "of_class",
     )
