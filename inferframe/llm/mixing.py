@@ -50,8 +50,9 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 13), 16, 10).cast("long")
 
     u = digest(F.col("doc_id")) / F.lit(float(1 << 52))
-    out = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col("of")))
+    whole = docs.select(F.struct(*names).alias("row"), F.col("source").cast("string").alias("source"), "doc_id")
+    out = whole.join(rates, F.col("source").eqNullSafe(F.col("of")))
     out = out.withColumn("u", u).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("u"))))
     out = out.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     out = out.withColumn("shuffle_key", digest(F.col("doc_id"), F.col("copy_no")))
-    return out.select(*names, "copy_no", "n_copies", "rate", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return out.select("row.*", "copy_no", "n_copies", "rate", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -97,11 +97,12 @@ def train(texts: list[str], y: np.ndarray, features: int = 4000, rounds: int = 3
     doc, s, g = (np.concatenate(x) for x in (doc, s, g))
     w, b = np.clip(odds[best].astype(np.float64), 0, 4), -6.0
     share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    heard = np.bincount(s, minlength=count) > 0
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
         x = np.bincount(s, w[g], count) + b
-        p = 1 / (1 + np.exp(-x))
-        none = np.bincount(doc, -np.logaddexp(0, x), len(raw))
+        p = heard / (1 + np.exp(-x))
+        none = np.bincount(doc, -np.logaddexp(0, x) * heard, len(raw))
         pull = np.where(y == 1, np.exp(none) / np.maximum(-np.expm1(none), 1e-9), -1.0) * share
         gs = pull[doc] * p
         grad = np.append(np.bincount(g, gs[s], len(w)) - l2 * w / max(1, len(w)), gs.sum())
@@ -120,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 1500, most_nega
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Per row: doc_id, score (noisy-or over sentences of the whole text), predicted and sentences array<struct<start, end, score>>, those at or
-    above threshold with byte offsets.
+    above threshold with byte offsets, or the worst one of a text that only its sentences together bring there.
 
     A null, empty or wordless text has no sentence that can offend and scores 0 (1 if every label learned was toxic). Repeated rows and null ids are scored like others; an
     empty table gives an empty result; other columns are ignored.
@@ -133,13 +134,19 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             data, off = text_bytes(column(b, "text"))
             start, doc, s, g = _instances(data, off, m.weights)
             x = np.bincount(s, m.weights[g].astype(np.float64), len(start)) + m.bias if len(start) else np.zeros(0)
+            if m.bias < 0:
+                x[np.bincount(s, minlength=len(start)) == 0] = -np.inf  # a sentence without any known gram speaks for nothing, however many there are
             total = -np.expm1(np.bincount(doc, -np.logaddexp(0, x), b.num_rows)) if len(start) else np.zeros(b.num_rows)
             if m.bias > 0:
                 total[np.diff(off) == 0] = 1
             total = np.clip(total, 0.0, 1.0)
             p, end = 1 / (1 + np.exp(-x)), np.append(start[1:], len(data))
             found: list[list[dict]] = [[] for _ in range(b.num_rows)]
-            for i in np.flatnonzero(p >= threshold):
+            offends = p >= threshold
+            for d in np.flatnonzero((total >= threshold) & (np.bincount(doc, offends, b.num_rows) == 0)):  # several doubtful sentences: the worst one
+                own = np.flatnonzero(doc == d)
+                offends[own[p[own].argmax()] if len(own) else []] = True
+            for i in np.flatnonzero(offends):
                 found[doc[i]].append({"start": int(start[i] - off[doc[i]]), "end": int(end[i] - off[doc[i]]), "score": float(p[i])})
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(total), pa.array((total >= threshold).astype(np.int32)), pa.array(found, kind)], ["doc_id", "score", "predicted", "sentences"])

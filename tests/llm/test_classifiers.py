@@ -11,17 +11,17 @@ from tests.llm.tables import crowded, documents
 SF = "/root/testdata/sf0.01"
 
 
-def held_out(spark, name):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    return llm_queries()[name](spark, SF).where("held_out").join(labels, "doc_id")
+def held_out(spark, name, sf=SF):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return llm_queries()[name](spark, sf).where("held_out").join(labels, "doc_id")
 
 
 def test_toxicity(spark):
     all_rows = llm_queries()["op2_toxicity"](spark, SF)
     assert all_rows.where("score is null or score < 0 or score > 1 or predicted <> cast(score >= 0.5 as int)").count() == 0
-    assert all_rows.where("predicted = 1 and n_offending = 0 and score > 0.9").count() == 0
-    rows = held_out(spark, "op2_toxicity").where("toxic is not null").collect()
-    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.9
+    assert all_rows.where("(predicted = 1) <> (n_offending > 0)").count() == 0
+    rows = held_out(spark, "op2_toxicity", "/root/testdata/sf0.1").where("toxic is not null").collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.95
     assert np.mean([r["predicted"] for r in rows if r["toxic"]]) > 0.8
 
 

@@ -18,7 +18,7 @@ PIECES = [" ", "  ", "\n", "\n\n", "\t", "a", "word", "Don't", "'s", "'", "’",
 
 def ids_of(texts, enc):
     raw = [t.encode() for t in texts]
-    ids, n = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+    ids, n = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw], dtype=np.int64)))
     off = np.append(0, np.cumsum(n))
     return [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)]
 
