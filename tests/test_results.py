@@ -254,6 +254,17 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert {(r["source_file"], r["line_num"], r["item_idx"]) for r in log.collect()} == {("a/conv.jsonl", 1, 0), ("a/conv.jsonl", 3, 0), ("a/conv.jsonl", 3, 1), ("b/conv.jsonl", 1, 0), ("conv.jsonl", 1, 0)}
 
 
+@pytest.fixture
+def plain_logging():
+    import logging
+
+    root = logging.getLogger()
+    kept, level = root.handlers[:], root.level
+    yield
+    root.handlers[:] = kept
+    root.setLevel(level)
+
+
 def conf(tmp_path, **runner):
     c = {"loader": {"class": "PromptListLoader", "params": {"prompts": ["a", "b"]}}, "saver": {"class": "JSONLResultSaver", "params": {"output_path": str(tmp_path / "out"), "output_projection": "minimal"}}, "runner": runner}
     p = tmp_path / "c.json"
@@ -261,17 +272,16 @@ def conf(tmp_path, **runner):
     return str(p)
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, plain_logging):
     path = conf(tmp_path, model_name="m")
-    stop = spark.stop
     assert cli.main(["-c", path, "--mock"]) == 0
-    assert stop and sorted(x["request_id"] for x in text(tmp_path / "out")) == ["prompt_0", "prompt_1"]
+    assert sorted(x["request_id"] for x in text(tmp_path / "out")) == ["prompt_0", "prompt_1"]
     assert cli.main(["-c", path, "--mock"]) == 0 and len(text(tmp_path / "out")) == 2
     assert cli.main(["-c", conf(tmp_path, nonsense=1), "--mock"]) == 1
     assert cli.main(["-c", str(tmp_path / "none.yaml"), "--mock"]) == 1
 
 
-def test_command_line_with_servers(spark, tmp_path):
+def test_command_line_with_servers(spark, tmp_path, plain_logging):
     s = Fake()
     (tmp_path / "servers").mkdir()
     (tmp_path / f"servers/server_127.0.0.1_{s.server.server_port}").write_text("")
