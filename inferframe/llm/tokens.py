@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, ints, pieces, text_bytes
@@ -340,14 +340,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     docs.sparkSession.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n")).write.parquet(f"{path}/totals")
 
 
+#: Writing tasks (16 bytes each) up to which their starts are broadcast.
+BROADCAST_TASKS = 500_000
+
+
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    totals = spark.read.parquet(f"{path}/totals").orderBy("part").collect()  # one row for each writing task
-    base, at = [], 0
-    for r in totals:
-        base.append((r["part"], at))
-        at += r["n"]
-    starts = F.create_map(*[F.lit(x) for pair in base for x in pair]) if base else F.create_map().cast("map<int,bigint>")
-    return spark.read.parquet(f"{path}/segments").withColumn("start", (F.element_at(starts, F.col("part")) + F.col("before")).cast("long"))
+    """Segments with the number of ids before them; the running sum goes over one row for each writing task."""
+    totals = spark.read.parquet(f"{path}/totals")
+    base = totals.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    if totals.count() <= BROADCAST_TASKS:
+        base = F.broadcast(base)
+    return spark.read.parquet(f"{path}/segments").join(base, F.col("part") == F.col("p")).withColumn("start", (F.col("base") + F.col("before")).cast("long"))
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
