@@ -5,7 +5,10 @@ its anchor, the smallest k-gram hash inside it, so equal windows have equal anch
 form a run. (1) Runs are grouped by hash: a run that an earlier document holds in full is a copy. (2) Of the rest, only runs
 whose anchor several documents share can hold a copied window; their bytes are grouped by anchor, the windows are put in
 suffix order and the longest-previous-factor array tells which of them an earlier document has. Texts travel twice, runs as
-15 bytes each, and bytes only where a repeat begins or ends.
+17 bytes each, and bytes only where a repeat begins or ends.
+
+A passage that very many documents hold doesn't gather in one task: a task sends a run once, for its smallest document, and settles its
+other documents itself; and an anchor with very many different runs is dealt by windows instead, again once for a task.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, in_groups, ints, pieces, saved, text_bytes
+from .common import column, discard, distinct, in_groups, ints, pieces, saved, text_bytes
 from .shingles import BYTE, POWER, mix
 
 #: Bytes of text for each bucket and shard.
@@ -119,6 +122,11 @@ def _has(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] of them, then those of the next."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def _deal(part: np.ndarray, make) -> list[tuple[int, bytes]]:
     """(part, make(rows of it)) for each part."""
     if not len(part):
@@ -143,12 +151,12 @@ def _prime(n: int) -> int:
 PART = "kind int, part long, blob binary"
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 4096) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also starts in a document with a smaller doc_id.
 
     Texts are UTF-8 bytes; strings never cross documents, may overlap, and are judged on the input. Returns, per row, doc_id,
     n_bytes, n_removed, spans array<struct<start long, end long>> (maximal removed runs, offsets in the original) and kept
-    binary (what remains, in order). A null or empty text has no bytes. Rows that share a doc_id, same text or not, are
+    binary (what remains, in order). An anchor of more than hot different runs is dealt by windows. A null or empty text has no bytes. Rows that share a doc_id, same text or not, are
     judged each on their own and never against each other. A null doc_id has no rank: its row stays whole and is no source.
     An empty table gives an empty result. Other columns are ignored.
     """
@@ -163,16 +171,20 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24) -> DataFrame:
         for b in pieces(batches):
             doc, first, last, a, w = runs(*text_bytes(column(b, "text")), length, k)
             ids = ints(b, "doc_id")[doc]
-            got = np.zeros(len(a), [("a", "<u8"), ("w", "<u8"), ("d", "<i8")])
-            got["a"], got["w"], got["d"] = a, w, ids
-            got = np.unique(got)
+            order = np.lexsort((ids, w, a))
+            a, w, d = a[order], w[order], ids[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])) if len(a) else np.zeros(0, bool)
+            copy = d > d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(a) else new  # of a smaller document of this batch
+            flags, where = _key(d[copy], w[copy]), d[copy]
+            a, w, d = a[new], w[new], d[new]
 
             def make(at):
-                docs_, n = np.unique(got["d"][at], return_inverse=True)
-                high = got["a"][at] >> np.uint64(16)
-                return np.int64([len(docs_), len(at)]).tobytes() + docs_.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() + high.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + got["w"][at].tobytes()
+                docs_, n = np.unique(d[at], return_inverse=True)  # noqa: B023
+                high = a[at] >> np.uint64(16)  # noqa: B023
+                return np.int64([len(docs_), len(at)]).tobytes() + docs_.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() + high.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + w[at].tobytes()  # noqa: B023
 
-            yield _batch(0, _deal((got["a"] % np.uint64(parts)).astype(np.int64), make))
+            yield _batch(0, _deal((a % np.uint64(parts)).astype(np.int64), make))
+            yield _batch(1, _deal(where % parts, lambda at: distinct(flags[at]).tobytes()))  # noqa: B023
 
     def _read(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d, n = np.frombuffer(blob, np.int64, 2)
@@ -183,9 +195,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24) -> DataFrame:
         return high.view(np.uint64).ravel(), np.frombuffer(blob, np.uint64, n, at + 9 * n), np.frombuffer(blob, np.int64, d, 16)[ref.view(np.uint32).ravel()]
 
     def first_holder(t, starts):
-        blobs = column(t, "blob")
+        blobs, kinds, part = column(t, "blob"), ints(t, "kind"), ints(t, "part")
         for s, e in zip(starts[:-1], starts[1:], strict=True):
-            a, w, d = (np.concatenate(x) for x in zip(*(_read(blobs[i].as_py()) for i in range(s, e)), strict=True))
+            settled = [(int(part[i]), blobs[int(i)].as_py()) for i in s + np.flatnonzero(kinds[s:e] == 1)]
+            yield _batch(1, settled)
+            runs_ = s + np.flatnonzero(kinds[s:e] == 0)
+            if not len(runs_):
+                continue
+            a, w, d = (np.concatenate(x) for x in zip(*(_read(blobs[int(i)].as_py()) for i in runs_), strict=True))
             order = np.lexsort((d, w, a))
             a, w, d = a[order], w[order], d[order]
             new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]))
@@ -196,10 +213,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24) -> DataFrame:
             # of first holders, anchors that several documents share
             a, d = a[new], d[new]
             cut = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            several = np.repeat(np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut), np.diff(np.append(cut, len(a))))
-            shared = _key(d[several], a[several])
+            size = np.diff(np.append(cut, len(a)))
+            several = np.repeat(np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut), size)
+            many = np.repeat(size > hot, size) & several
+            shared, crowd = _key(d[several], a[several]), _key(d[many], a[many])
             yield _batch(1, _deal(where % parts, lambda at: flags[at].tobytes()))  # noqa: B023
             yield _batch(2, _deal(d[several] % parts, lambda at: shared[at].tobytes()))  # noqa: B023
+            yield _batch(5, _deal(d[many] % parts, lambda at: crowd[at].tobytes()))  # noqa: B023
 
     held = saved(in_groups(ranked.select("doc_id", "text").mapInArrow(anchors, PART), ["part"], first_holder, PART), "held")
 
@@ -221,7 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24) -> DataFrame:
 
     def look(t, starts):
         for s, e in zip(starts[:-1], starts[1:], strict=True):
-            flags, shared = (np.unique(known(t, s, e, kind, np.uint64)) for kind in (1, 2))
+            flags, shared, crowd = (distinct(known(t, s, e, kind, np.uint64)) for kind in (1, 2, 5))
             for b in pieces(text_rows(t, s, e)[0]):
                 data, off = text_bytes(column(b, "text"))
                 doc, first, last, a, w = runs(data, off, length, k)
@@ -230,13 +250,35 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24) -> DataFrame:
                 edge = ~copy & _has(shared, _key(ids, a >> np.uint64(16)))
                 span = np.stack([ids, rid, first - off[doc], last - off[doc]], 1)
                 yield _batch(3, _deal(ids[copy] % parts, lambda at: span[copy][at].tobytes()))  # noqa: B023
-                a, first, last, span = a[edge], first[edge], last[edge], span[edge]
+                by_window = edge & _has(crowd, _key(ids, a >> np.uint64(16)))
 
                 def context(at):
                     size = (last - first)[at] + length  # noqa: B023
-                    where = np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())  # noqa: B023
-                    return np.int64([len(at)]).tobytes() + span[at].tobytes() + data[where].tobytes()  # noqa: B023
-
+                    return np.int64([len(at)]).tobytes() + span[at].tobytes() + data[_places(first[at], size)].tobytes()  # noqa: B023
+
+                if by_window.any():
+                    size = (last - first + 1)[by_window]
+                    at = _places(first[by_window], size)
+                    own = np.repeat(span[by_window], size, axis=0)
+                    own[:, 2] = own[:, 3] = at - off[np.repeat(doc[by_window], size)]
+                    h = gram_hashes(data, (length,))[0][at]
+                    order = np.lexsort((own[:, 0], h))
+                    at, own, h = at[order], own[order], h[order]
+                    new = np.append(True, h[1:] != h[:-1])
+                    # hashes of 64 bits could clash: a copy is settled here only if the bytes are the same
+                    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                    copy_ = np.flatnonzero(own[:, 0] > own[lead, 0])
+                    copy_ = copy_[[data[at[i] : at[i] + length].tobytes() == data[at[lead[i]] : at[lead[i]] + length].tobytes() for i in copy_]] if len(copy_) else copy_
+                    rest = np.setdiff1d(np.arange(len(at)), copy_)
+                    yield _batch(3, _deal(own[copy_, 0] % parts, lambda x: own[copy_[x]].tobytes()))  # noqa: B023
+
+                    def window(x):
+                        x = rest[x]  # noqa: B023
+                        return np.int64([len(x)]).tobytes() + own[x].tobytes() + data[_places(at[x], np.full(len(x), length))].tobytes()  # noqa: B023
+
+                    yield _batch(4, _deal((h[rest] % np.uint64(parts)).astype(np.int64), window))
+                edge &= ~by_window
+                a, first, last, span = a[edge], first[edge], last[edge], span[edge]
                 yield _batch(4, _deal((a % np.uint64(parts)).astype(np.int64), context))
 
     found = saved(in_groups(meet(held), ["part"], look, PART, order=["kind"]), "found")

@@ -37,14 +37,16 @@ def found(df):
     return sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in df.collect())
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
 @pytest.mark.parametrize(("length", "k", "letters"), [(50, 24, "abcdefgh "), (50, 24, "ab"), (9, 4, "ab")])
-def test_brute_force(spark, length, k, letters):
+def test_brute_force(spark, length, k, letters, hot):
     rng = random.Random(length + len(letters))
     parts = ["".join(rng.choices(letters, k=rng.randint(length // 2, 2 * length))) for _ in range(8)]
     rows = []
     for i in rng.sample(range(-50, 500), 40):
         rows.append((i, "".join(rng.choice(parts) if rng.random() < 0.5 else "".join(rng.choices(letters + "é", k=rng.randint(0, length))) for _ in range(rng.randint(0, 6)))))
-    assert found(repeated_spans(spark.createDataFrame(rows, SHAPE), length, k)) == brute(rows, length)
+    for df in (spark.createDataFrame(rows, SHAPE), spark.createDataFrame(rows, SHAPE).repartition(9)):
+        assert found(repeated_spans(df, length, k, hot)) == brute(rows, length)
 
 
 def test_periodic_text(spark):
@@ -52,6 +54,15 @@ def test_periodic_text(spark):
     assert found(repeated_spans(spark.createDataFrame(rows, SHAPE))) == brute(rows, 50)
 
 
+def test_passage_in_very_many_documents(spark):
+    """Each document has it between words of its own; its ends have as many different runs as there are documents."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=120))
+    rows = [(i, f"{rng.random()} begins{i}" + passage[rng.randint(0, 9) :] + f"{rng.random()} ends{i}") for i in range(120)]
+    for hot in (8, 4096):
+        assert found(repeated_spans(spark.createDataFrame(rows, SHAPE).repartition(5), hot=hot)) == brute(rows, 50)
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
