@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+
+def call(fn: Callable[[], T], max_retries: int = 3, delay: float = 1.0, base: float = 2.0, most: float = 60.0, errors: tuple[type[BaseException], ...] = (Exception,), sleep: Callable[[float], None] = time.sleep) -> T:
+    """fn(), tried again after growing waits while it raises one of errors; the last error is raised on."""
+    for attempt in range(max_retries + 1):
+        try:
+            return fn()
+        except errors:
+            if attempt == max_retries:
+                raise
+            sleep(min(delay * base**attempt, most))
+    raise AssertionError
+
+
 def backoff(delay: float, attempt: Column, base: float = 2.0, most: float | None = None) -> Column:
     """Seconds to wait after the attempt (0-based)."""
     wait = F.lit(float(delay)) * F.pow(F.lit(float(base)), attempt)

@@ -112,8 +112,10 @@ def route(servers: DataFrame, by: list[str], p: Policy, start: str | None = None
 
     load = effective_load(F.col("active"), F.col("inflight_cost"), F.col("_rate"))
     score = cost_score(F.col("active"), F.col("inflight_cost"), F.col("_n"), F.col("_rate"), p.window)
-    if p.strategy in ("round_robin", "random"):
+    if p.strategy == "round_robin":
         df, order = distance(df), [F.col("_far")]
+    elif p.strategy == "random":  # by a hash that reruns repeat
+        order = [F.xxhash64(F.lit("random"), *[F.col(c) for c in by], F.col("server")), F.col("pos")]
     elif p.strategy == "least_connections":
         df, order = distance(preferred(flag(df))), [load, F.col("active"), F.col("_far")]
     elif p.strategy == "adaptive_round_robin":

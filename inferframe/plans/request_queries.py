@@ -194,6 +194,17 @@ def q_fanout_lines(spark, sf):
     return rows.select("doc_id", F.col("item_idx").cast("bigint").alias("item_idx"), F.concat_ws("_", "doc_id", "item_idx").alias("request_id"), "prompt")
 
 
+@query("""
+SELECT conv_id, (turn - 1)::BIGINT AS item_idx, text AS prompt FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, text FROM conversations)
+WHERE text IS NOT NULL""")
+def q_fanout_lists(spark, sf):
+    """Lines that hold a list: one request for each entry, with its place."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.expr(TURNS).alias("t"))
+    value = F.to_json(F.transform("t", lambda m: F.struct(m["text"].alias("prompt"), m["turn"].alias("turn"))))
+    lines = c.select(F.lit("conversations").alias("source_file"), F.lit("").alias("source_dir"), F.col("conv_id").alias("line_num"), value.alias("value"))
+    return normalize.requests(normalize.fan_out(lines)).select(F.col("line_num").alias("conv_id"), F.col("item_idx").cast("bigint").alias("item_idx"), "prompt")
+
+
 @query(r"""
 WITH v AS (SELECT conv_id, string_split(text, '. ') AS parts FROM conversations WHERE turn = 0 AND text IS NOT NULL),
 e AS (SELECT conv_id, unnest(parts) AS prompt, generate_subscripts(parts, 1) - 1 AS i FROM v)

@@ -68,6 +68,23 @@ def q_simple_response(spark, sf):
     return r.select("event_id", F.col("r.choices")[0]["content"].alias("content"), F.col("r.choices")[0]["finish_reason"].alias("finish_reason"), F.col("r.usage.total_tokens").alias("total_tokens"))
 
 
+@query(_RESULTS + "SELECT request_id AS id, coalesce(content, '') AS response, total_tokens AS tokens, error IS NULL AS success FROM r")
+def q_custom_shape(spark, sf):
+    """A saver's own shape: id, response, tokens, success."""
+    r = _responses(spark, sf)
+    v = response.output("model_output")
+    return r.select(F.col("request_id").alias("id"), F.coalesce(response.first(response.choices(v), "content"), F.lit("")).alias("response"), response.total_tokens(v).alias("tokens"), F.col("error").isNull().alias("success"))
+
+
+@query("""
+SELECT conv_id, array_to_string(CASE WHEN conv_id % 3 = 0 THEN ['a.png', 'b' || conv_id] WHEN conv_id % 3 = 1 THEN ['c.png'] END, ' ') AS input_images FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def q_input_images(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id").distinct()
+    many = F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("a.png"), F.concat(F.lit("b"), F.col("conv_id").cast("string"))))
+    one = F.when(F.col("conv_id") % 3 == 1, F.lit("c.png"))
+    return c.select("conv_id", F.array_join(project.input_images(many, one), " ").alias("input_images"))
+
+
 # ---------------------------------------------------------------- statistics
 
 
@@ -83,6 +100,13 @@ def q_token_sum(spark, sf):
     return _usage(spark, sf).groupBy("lang").agg(F.sum(F.coalesce("total_tokens", F.lit(0))).alias("total_tokens"), F.count("*").alias("n"))
 
 
+@query("""SELECT CASE WHEN c > 512 THEN 'long' ELSE 'short' END AS category, count(*)::BIGINT AS n, sum(c)::DOUBLE AS cost FROM (
+  SELECT greatest(1, coalesce(length(text), 0) // 4) AS c FROM documents) GROUP BY 1""")
+def q_cost_histogram(spark, sf):
+    c = table(spark, sf, "documents").select(cost.dispatch_cost("text").alias("c"))
+    return c.groupBy(F.when(F.col("c") > 512, "long").otherwise("short").alias("category")).agg(F.count("*").alias("n"), F.sum("c").alias("cost"))
+
+
 @query(_TOKENS + """SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE doc_id % 11 <> 0)::BIGINT AS completed, count(*) FILTER (WHERE doc_id % 11 = 0)::BIGINT AS failed,
   sum(CASE WHEN doc_id % 11 = 0 THEN 3 ELSE 0 END)::BIGINT AS retried, sum(CASE WHEN doc_id % 11 <> 0 THEN total_tokens ELSE 0 END)::BIGINT AS total_tokens,
   round(count(*) FILTER (WHERE doc_id % 11 <> 0) / count(*), 6)::DOUBLE AS success_rate FROM u""")

@@ -166,6 +166,11 @@ def q_p2c_hashed(spark, sf):
     return routing.route(s, BY, p, sampled="sampled").withColumn("cost_score", F.round("cost_score", 6))
 
 
+@query()
+def q_random(spark, sf):
+    return _decide(spark, sf, "random")
+
+
 @query(SNAP + """, x AS (SELECT *, (error > 1)::INT AS out FROM h), y AS (SELECT *, min(out) OVER (PARTITION BY snap) AS all_out FROM x)
 SELECT snap, start, server FROM y WHERE out = 0 OR all_out = 1""")
 def q_candidate_exclusion(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,14 +57,18 @@ def scan(spark: SparkSession, path: str | Sequence[str], pattern: str | None = N
     return text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def lines(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = True, num_chunks: int = 1, chunk_index: int = 0) -> DataFrame:
+def lines(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = True, num_chunks: int = 1, chunk_index: int = 0, skip_source: Callable[[Column], Column] | None = None) -> DataFrame:
     """source_file, source_dir, line_num and value (stripped) of the lines that aren't blank.
 
     path is a file, or a folder whose files match pattern; source_file is relative to the folder, or the file's given path.
     A chunk takes every num_chunks-th physical line over all files in path order; files are numbered by their sizes, not by what
-    earlier chunks kept, so chunks are disjoint and complete.
+    earlier chunks kept, so chunks are disjoint and complete. skip_source is a condition on a file's URL; files that it holds for aren't
+    opened, and don't count.
     """
-    return placed(spark, numbered(scan(spark, path, pattern)), path, pattern is not None, recursive, num_chunks, chunk_index)
+    rows = scan(spark, path, pattern)
+    if skip_source is not None:
+        rows = rows.where(~skip_source(F.col("_file")))
+    return placed(spark, numbered(rows), path, pattern is not None, recursive, num_chunks, chunk_index)
 
 
 def placed(spark: SparkSession, rows: DataFrame, path: str, folder: bool, recursive: bool = True, num_chunks: int = 1, chunk_index: int = 0) -> DataFrame:

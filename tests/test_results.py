@@ -254,6 +254,27 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert {(r["source_file"], r["line_num"], r["item_idx"]) for r in log.collect()} == {("a/conv.jsonl", 1, 0), ("a/conv.jsonl", 3, 0), ("a/conv.jsonl", 3, 1), ("b/conv.jsonl", 1, 0), ("conv.jsonl", 1, 0)}
 
 
+def test_stream_progress(spark, tmp_path):
+    import time
+
+    from inferframe.streaming.progress import Progress
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/conv.jsonl").write_text('{"id":1,"prompt":"x"}\n')
+    seen, ends = [], []
+    listener = Progress(lambda b, n, rate: seen.append((b, n)), on_end=ends.append)
+    spark.streams.addListener(listener)
+    try:
+        run_stream(spark, Stream(str(tmp_path / "in"), "conv.jsonl", str(tmp_path / "w")), mock.complete, lambda df: df.count()).awaitTermination()
+        for _ in range(50):
+            if ends:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert seen and seen[0][0] == 0 and seen[0][1] >= 1 and ends == [None]
+
+
 @pytest.fixture
 def plain_logging():
     import logging

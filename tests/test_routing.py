@@ -132,3 +132,26 @@ def test_attempts_stop_at_success_or_limit(spark):
     log = spark.createDataFrame([("a", 0, False), ("a", 1, True), ("a", 2, True), *[("b", i, False) for i in range(6)]], "r string, t int, ok boolean")
     acc = {r["r"]: (r["attempts"], r["retries"], r["succeeded"]) for r in retry.accounting(retry.attempts(log, "r", ["t"], F.col("ok"), 3), "r").collect()}
     assert acc == {"a": (2, 1, True), "b": (4, 3, False)}
+
+
+def test_random_is_repeatable_and_spread(spark):
+    df = spark.sql("select a.id as k, s as server, cast(s as int) as pos, 0L as active, 0.0D as inflight_cost, 0L as success, 0L as error from range(200) a lateral view explode(sequence(0, 3)) t as s")
+    got = [tuple(r) for r in routing.route(df, ["k"], Policy("random")).select("k", "server").orderBy("k").collect()]
+    assert got == [tuple(r) for r in routing.route(df.repartition(7), ["k"], Policy("random")).select("k", "server").orderBy("k").collect()]
+    assert {s for _, s in got} == {0, 1, 2, 3} and len(got) == 200
+
+
+def test_calls_are_tried_again():
+    waits, tries = [], []
+
+    def fn():
+        tries.append(1)
+        if len(tries) < 4:
+            raise ValueError
+        return "ok"
+
+    assert retry.call(fn, 3, 1.0, 3.0, 5.0, sleep=waits.append) == "ok" and waits == [1.0, 3.0, 5.0]
+    with pytest.raises(ZeroDivisionError):
+        retry.call(lambda: 1 // 0, 1, errors=(ZeroDivisionError,), sleep=waits.append)
+    with pytest.raises(ZeroDivisionError):
+        retry.call(lambda: 1 // 0, 5, errors=(KeyError,), sleep=lambda _: pytest.fail("waited"))

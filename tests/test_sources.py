@@ -133,6 +133,21 @@ def test_line_numbers_over_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_skipped_sources(spark, tmp_path):
+    for f in "ab":
+        write(tmp_path / f / "conv.jsonl", jl({"id": f, "prompt": "p"}))
+    rows = files.lines(spark, str(tmp_path), "conv.jsonl", skip_source=lambda f: f.contains("/a/"))
+    assert [r["source_file"] for r in rows.collect()] == ["b/conv.jsonl"]
+
+
+def test_fan_out_in_sql(spark):
+    from inferframe.sources import udtf
+
+    udtf.register(spark)
+    rows = spark.sql("""SELECT n, item_idx, raw FROM VALUES (1, '[{"a":1},2,{"b":"é"}]'), (2, '{"c":3}'), (3, 'x'), (4, null) AS t(n, v), LATERAL fan_out(v) ORDER BY n, item_idx""").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, '{"a": 1}'), (1, 2, '{"b": "é"}'), (2, 0, '{"c": 3}')]
+
+
 def test_text_lines(spark, tmp_path):
     write(tmp_path / "d/a.txt", "first\n\n third \n")
     assert [(x["request_id"], x["prompt"]) for x in load(spark, "TextLinesLoader", input_dir=str(tmp_path))] == [("a.txt:1", "first"), ("a.txt:3", "third")]
