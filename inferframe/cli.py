@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,10 @@ def pipeline(spark: SparkSession, c: config.Config, model: Callable[[DataFrame],
     r = c.runner
     requests = registry.get("source", c.loader["class"])(spark, c.loader["params"])
     sink = registry.get("sink", c.saver["class"])(c.saver["params"], c.loader["params"])
-    adapter = registry.get("adapter", r.adapter_class)(**{k: v for k, v in r.adapter_params.items() if k != "api_key"}) if not r.adapter_params.get("api_key") else registry.get("adapter", r.adapter_class)(headers=(("Authorization", f"Bearer {r.adapter_params['api_key']}"),))
+    options = dict(r.adapter_params)
+    if key := options.pop("api_key", None):
+        options["headers"] = (("Authorization", f"Bearer {key}"),)
+    adapter = registry.get("adapter", r.adapter_class)(**options)
     if model is None:
         pool = [(s["name"], s["url"]) for s in servers.discover(spark, r.servers_dir, r.server_pattern).collect()]  # a fleet, not data
         tasks = min(spark.sparkContext.defaultParallelism, max(1, r.max_concurrency))
@@ -63,7 +67,8 @@ def pipeline(spark: SparkSession, c: config.Config, model: Callable[[DataFrame],
 
     path = c.saver["params"].get("output_dir") or (components.output_path(c.saver["params"], c.loader["params"]) if "output_path" in c.saver["params"] else None)
     done = files.completed(spark, path, components.FORMATS[c.saver["class"]]) if r.resume and path and c.saver["class"] in components.FORMATS else None
-    return Pipeline(requests, model, sink, r.work_dir or f"{path or '/tmp/inferframe-console'}.work", done, r.resume)
+    work = r.work_dir or (f"{path}.work" if path else f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='inferframe-')}/{spark.sparkContext.applicationId}.work")
+    return Pipeline(requests, model, sink, work, done, r.resume)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -145,10 +145,9 @@ def requests(items: DataFrame, fields: Fields = Fields(), hooks: Hooks = Hooks()
         df = df.withColumn("prompt", h.transform_prompt(F.col("prompt"), item))
     given = h.request_id(item) if h.request_id is not None else text_of(item, f.id)
     df = df.withColumn("_given", given)
-    # the hash needs Python: only rows without an id go there
-    named = df.where(F.col("_given").isNotNull()).withColumn("request_id", F.col("_given"))
-    hashed = df.where(F.col("_given").isNull()).withColumn("request_id", ids.content_hash("raw", f.prompt, f.id))
-    df = named.unionByName(hashed)
+    # the hash needs Python, which gets the text of rows without an id only; one pass over the source serves both kinds
+    hashed = ids.content_hash(F.when(F.col("_given").isNull(), F.col("raw")), f.prompt, f.id)
+    df = df.withColumn("request_id", F.coalesce("_given", hashed))
     # siblings of one line that share an id
     twin = (F.col("n_same") > 1) & ~F.col("request_id").endswith(F.concat(F.lit("_"), F.col("item_idx").cast("string")))
     if h.request_id is None:
