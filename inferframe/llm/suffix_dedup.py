@@ -127,6 +127,14 @@ def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def _same(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    """Whether the length bytes from x and from y are the same."""
+    out, step = np.ones(len(x), bool), np.arange(length)
+    for lo in range(0, len(x), 20_000):
+        out[lo : lo + 20_000] = (data[x[lo : lo + 20_000, None] + step] == data[y[lo : lo + 20_000, None] + step]).all(1)
+    return out
+
+
 def _deal(part: np.ndarray, make) -> list[tuple[int, bytes]]:
     """(part, make(rows of it)) for each part."""
     if not len(part):
@@ -151,7 +159,7 @@ def _prime(n: int) -> int:
 PART = "kind int, part long, blob binary"
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65536) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also starts in a document with a smaller doc_id.
 
     Texts are UTF-8 bytes; strings never cross documents, may overlap, and are judged on the input. Returns, per row, doc_id,
@@ -268,7 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 40
                     # hashes of 64 bits could clash: a copy is settled here only if the bytes are the same
                     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
                     copy_ = np.flatnonzero(own[:, 0] > own[lead, 0])
-                    copy_ = copy_[[data[at[i] : at[i] + length].tobytes() == data[at[lead[i]] : at[lead[i]] + length].tobytes() for i in copy_]] if len(copy_) else copy_
+                    copy_ = copy_[_same(data, at[copy_], at[lead[copy_]], length)]
                     rest = np.setdiff1d(np.arange(len(at)), copy_)
                     yield _batch(3, _deal(own[copy_, 0] % parts, lambda x: own[copy_[x]].tobytes()))  # noqa: B023
 
