@@ -54,6 +54,12 @@ def parsed_item(raw: str | Column) -> Column:
     return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(last)).otherwise(m)
 
 
+def fenced(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows for which condition holds, tested on columns as they are. Pushed below them, it would parse each text once more for every column it
+    names; no predicate is pushed through a projection that numbers its rows."""
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
+
+
 def text_of(item: Column, name: str) -> Column:
     """A field as text; null where it is missing or null. Objects and lists come as JSON."""
     v = F.try_element_at(item, F.lit(name))
@@ -98,20 +104,22 @@ def fan_out(lines: DataFrame, id_field: str = "id") -> DataFrame:
 
     n_same counts the items of a line that share the item's id (its content where it has none). Other JSON values and malformed text give no row. An entry that isn't an object is dropped, but counts in positions.
     """
-    v = F.try_parse_json("value")
-    is_list = F.col("value").rlike(r"^\s*\[")
+    lines = lines.select("source_file", "source_dir", "line_num", "value", F.col("value").rlike(r"^\s*\[").alias("_list"), F.try_parse_json("value").alias("_v"))
     texts = F.from_json("value", "array<string>")
-    objects = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
-    entries = F.transform(texts, lambda t, i: F.when(F.coalesce(F.get(objects, i), F.lit(True)), t))
+    objects = F.transform(F.try_variant_get("_v", "$", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+    entries = F.when(F.col("_list"), F.transform(F.arrays_zip(texts.alias("t"), objects.alias("o")), lambda e: F.when(F.coalesce(e["o"], F.lit(True)), e["t"])))
     # an object that isn't a variant is malformed, unless it repeats a key
     keys = F.map_keys(F.from_json("value", "map<string,string>"))
-    sound = v.isNotNull() | (F.size(F.array_distinct(keys)) < F.size(keys))
-    raws = F.when(is_list, entries).when(sound, F.array("value"))
-    named = F.transform(raws, lambda r: F.struct(r.alias("raw"), F.when(F.size(raws) > 1, F.coalesce(F.from_json(r, "map<string,string>")[id_field], r)).alias("id")))
-    rows = lines.select("source_file", "source_dir", "line_num", named.alias("_all")).select("*", F.posexplode("_all").alias("item_idx", "_one"))
-    same = F.size(F.filter("_all", lambda x: x["id"] == F.col("_one.id")))
-    rows = rows.select("source_file", "source_dir", "line_num", "item_idx", F.when(F.size("_all") > 1, same).otherwise(1).alias("n_same"), F.col("_one.raw").alias("raw"))
-    return rows.where(F.col("raw").rlike(r"^\s*\{")).select("source_file", "source_dir", "line_num", "item_idx", "n_same", "raw")
+    twice = F.when(F.col("_v").isNull(), F.size(F.array_distinct(keys)) < F.size(keys))
+    lines = lines.withColumn("_raws", F.when(F.col("_list"), F.coalesce(entries, texts)).when(F.col("_v").isNotNull() | twice, F.array("value")))
+    lines = fenced(lines, F.size("_raws") > 0)
+    several = F.size("_raws") > 1
+    names = F.when(several, F.transform("_raws", lambda r: F.coalesce(F.from_json(r, "map<string,string>")[id_field], r)))
+    rows = lines.select("source_file", "source_dir", "line_num", "_raws", names.alias("_ids")).select("*", F.posexplode("_raws").alias("item_idx", "raw"))
+    own = F.get("_ids", F.col("item_idx"))
+    same = F.when(F.col("_ids").isNull(), 1).otherwise(F.size(F.filter("_ids", lambda x: x == own)))
+    rows = rows.select("source_file", "source_dir", "line_num", "item_idx", same.alias("n_same"), "raw")
+    return rows.where(F.col("raw").rlike(r"^\s*\{"))
 
 
 def explode_field(items: DataFrame, name: str, prompt: str = "prompt", ident: str = "id", index: str = "_variation_index") -> DataFrame:
@@ -136,9 +144,7 @@ def requests(items: DataFrame, fields: Fields = Fields(), hooks: Hooks = Hooks()
     f, h = fields, hooks
     df = items if parsed else items.withColumn("item", parsed_item("raw"))
     item = F.col("item")
-    df = df.where(item.isNotNull())
-    if h.skip is not None:
-        df = df.where(~F.coalesce(h.skip(item), F.lit(False)))
+    df = fenced(df, item.isNotNull() if h.skip is None else item.isNotNull() & ~F.coalesce(h.skip(item), F.lit(False)))
     df = df.withColumn("prompt", (h.prompt or (lambda i: text_of(i, f.prompt)))(item))
     df = df.where(F.col("prompt").isNotNull() if f.empty_prompt else F.coalesce(F.col("prompt"), F.lit("")) != "")
     if h.transform_prompt is not None:
