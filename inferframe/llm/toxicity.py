@@ -108,7 +108,7 @@ def train(texts: list[str], y: np.ndarray, features: int = 4000, rounds: int = 3
         grad = np.append(np.bincount(g, gs[s], len(w)) - l2 * w / max(1, len(w)), gs.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-10)
-        w, b = w + step[:-1], b + step[-1]
+        w, b = w + step[:-1], min(b + step[-1], -2.0)  # without evidence against a sentence, none for it
     weights[:] = 0
     weights[best] = w
     return Model(weights, float(b))
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             data, off = text_bytes(column(b, "text"))
             start, doc, s, g = _instances(data, off, m.weights)
             x = np.bincount(s, m.weights[g].astype(np.float64), len(start)) + m.bias if len(start) else np.zeros(0)
-            if m.bias < 0:
+            if m.bias <= 0:  # a positive bias stands for a model of one class
                 x[np.bincount(s, minlength=len(start)) == 0] = -np.inf  # a sentence without any known gram speaks for nothing, however many there are
             total = -np.expm1(np.bincount(doc, -np.logaddexp(0, x), b.num_rows)) if len(start) else np.zeros(b.num_rows)
             if m.bias > 0:
