@@ -89,7 +89,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
 
     The driver's garbage is collected afterwards, so that Spark's cleaner removes shuffle files no plan needs any more. Python's
-    references reach the JVM from a thread of the bridge; a short wait lets them go first.
+    references reach the JVM from a thread of the bridge, and the listeners' queue holds plans for a while; so this is done in rounds.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -97,9 +97,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     del df
-    gc.collect()
-    time.sleep(0.4)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
