@@ -69,3 +69,9 @@ def test_near_dedup_keeps_rows_without_words(spark, sf):
     left = {r["doc_id"] for r in cp.near_dedup(spark, docs, sf).collect()}
     low = {r["doc_id"]: r["kept"] for r in near_duplicates(docs, Settings(words=5)).collect()}
     assert {3, 4, 5} <= left and {i for i, k in low.items() if k} == {i for i in left if i is not None}
+
+
+def test_near_dedup_keeps_rows_without_an_id(spark, sf):
+    rows = [(None, "a text without an id"), (None, None), (3, "one text that two documents hold"), (5, "one text that two documents hold"), (5, "another text that one alone holds"), (7, "one text that two documents hold")]
+    got = cp.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert Counter(r["doc_id"] for r in got) == {None: 2, 3: 1, 5: 2}  # an id stays if one of its texts does
