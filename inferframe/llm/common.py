@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -21,8 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that Spark hands to a Python worker at a time (one longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bound Arrow batches by bytes, not only by rows, where the session leaves Spark's 64 MB: 10,000 long texts don't fit a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id long and text string only, so that other columns can't clash with an operator's own."""
+    bounded(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -31,21 +43,35 @@ def held_out(ident, modulus: int = 5, remainder: int = 0):
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], keep) -> tuple[list[str], np.ndarray]:
-    """Whole texts and 0/1 labels of a bounded sample: of each class the first most[class] documents in order of a hash.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], keep) -> DataFrame | None:
+    """id, y (0 or 1) and whole text of a bounded sample: of each class the first most[class] documents in order of a hash.
 
-    Only labels that keep (a condition on doc_id) allows are read; several labels of one document are averaged. The bound is on
-    rows, so what reaches the driver doesn't grow with the corpus.
+    Only labels that keep (a condition on doc_id) allows are read; several labels of one document are averaged. None if there are no labels.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull())
     y = y.where(keep(F.col("id"))).groupBy("id").agg(F.round(F.avg("y")).cast("int").alias("y"))
     picked = [y.where(F.col("y") == c).orderBy(F.xxhash64("id", F.lit(label)), "id").limit(n).collect() for c, n in most.items()]
     rows = sorted((r["id"], r["y"]) for p in picked for r in p)
     if not rows:
-        return [], np.zeros(0)
+        return None
     chosen = docs.sparkSession.createDataFrame(rows, "id long, y int")
-    got = documents(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text")).collect()
-    got.sort(key=lambda r: r["id"])
+    return documents(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], keep, most_bytes: int = 64 << 20) -> tuple[list[str], np.ndarray]:
+    """Whole texts and labels of labelled_rows() on the driver, bounded by rows and by bytes: where a class has more than its share of
+    most_bytes, its longest texts are left out of the sample."""
+    rows = labelled_rows(docs, labels, label, most, keep)
+    if rows is None:
+        return [], np.zeros(0)
+    sizes = rows.select("id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
+    longest = {}
+    for c in most:
+        n = np.sort([r["n"] for r in sizes if r["y"] == c])
+        fit = int(np.searchsorted(np.cumsum(n), most_bytes // len(most), "right"))
+        longest[c] = int(n[fit - 1]) if fit else -1
+    limit = F.coalesce(*[F.when(F.col("y") == c, F.lit(n)) for c, n in longest.items()], F.lit(-1))
+    got = sorted(rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= limit).collect(), key=lambda r: r["id"])
     return [r["text"] or "" for r in got], np.array([r["y"] for r in got], np.float64)
 
 
@@ -55,10 +81,12 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The application's folder under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The application's folder under spark.checkpoint.dir; in local mode, where that is unset (tests), under a temporary folder."""
+    base = bounded(spark).sparkContext.getConf().get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that the driver and all executors share")
         base = _local.setdefault(app, tempfile.mkdtemp(prefix="inferframe-"))
     out = f"{base.rstrip('/')}/inferframe-{app}"
     if out not in _folders:
@@ -85,22 +113,28 @@ def _clean() -> None:
                 print(f"left {path}: {e}")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
+#: Lets Spark remove the shuffle files of a query when it ends; without it they stay until the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The driver's garbage is collected afterwards, so that Spark's cleaner removes shuffle files no plan needs any more. Python's
-    references reach the JVM from a thread of the bridge, and the listeners' queue holds plans for a while; so this is done in rounds.
-    """
+
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession):
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, a lost executor costs no recomputation and the shuffles go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with shuffles_go(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
-    del df
-    for _ in range(3):
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -129,7 +163,7 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batches, size: int = 4 << 20, rows: int = 1 << 30, column: str = "text"):
+def pieces(batches, size: int = 1 << 20, rows: int = 1 << 30, column: str = "text"):
     """Record batches cut into runs of at most rows rows and about size bytes of text; one longer text is a piece of its own."""
     for b in batches:
         if b.num_rows == 0:
@@ -149,6 +183,11 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] of them, then those of the next."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def column(batch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
@@ -160,9 +199,11 @@ def ints(batch, name: str) -> np.ndarray:
     return np.asarray(c.to_numpy(zero_copy_only=False))
 
 
-def in_groups(df: DataFrame, keys: list[str], fn, schema: str, order: list[str] = ()) -> DataFrame:
+def in_groups(df: DataFrame, keys: list[str], fn, schema: str, order: list[str] = (), parts: int | None = None) -> DataFrame:
     """Rows of equal keys (non-null longs) meet in one task, in runs; fn(table, starts) gets whole groups, several at once.
 
+    parts is the number of tasks, where the caller knows what the groups weigh; else the session's.
+
     starts holds the first row of each group and the number of rows. Only the group being read and one batch are in
     memory; callers bound the size of a group by splitting it into blocks first.
     """
@@ -205,7 +246,8 @@ def in_groups(df: DataFrame, keys: list[str], fn, schema: str, order: list[str]
         if held:
             yield from flush(pa.Table.from_batches(held).combine_chunks())
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- components

@@ -55,7 +55,7 @@ def test_large_groups(spark):
             words[rng.randrange(80)] = f"v{i}"
         rows.append((1000 - i, " ".join(words)))
     rows += [(5000 + i, rows[0][1]) for i in range(40)]
-    assert sorted_rows(near_duplicates(spark.createDataFrame(rows, SHAPE), Settings(words=2, small=8))) == brute(rows)
+    assert sorted_rows(near_duplicates(spark.createDataFrame(rows, SHAPE), Settings(words=2, block=8))) == brute(rows)
 
 
 def test_odd_rows(spark):
