@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, distinct, in_groups, ints, pieces, saved, text_bytes
+from .common import column, discard, distinct, in_groups, ints, pieces, places, saved, text_bytes
 from .shingles import BYTE, POWER, mix
 
 #: Bytes of text for each bucket and shard.
@@ -122,11 +122,6 @@ def _has(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... size[0] of them, then those of the next."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 def _same(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
     """Whether the length bytes from x and from y are the same."""
     out, step = np.ones(len(x), bool), np.arange(length)
@@ -262,11 +257,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65
 
                 def context(at):
                     size = (last - first)[at] + length  # noqa: B023
-                    return np.int64([len(at)]).tobytes() + span[at].tobytes() + data[_places(first[at], size)].tobytes()  # noqa: B023
+                    return np.int64([len(at)]).tobytes() + span[at].tobytes() + data[places(first[at], size)].tobytes()  # noqa: B023
 
                 if by_window.any():
                     size = (last - first + 1)[by_window]
-                    at = _places(first[by_window], size)
+                    at = places(first[by_window], size)
                     own = np.repeat(span[by_window], size, axis=0)
                     own[:, 2] = own[:, 3] = at - off[np.repeat(doc[by_window], size)]
                     h = gram_hashes(data, (length,))[0][at]
@@ -282,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65
 
                     def window(x):
                         x = rest[x]  # noqa: B023
-                        return np.int64([len(x)]).tobytes() + own[x].tobytes() + data[_places(at[x], np.full(len(x), length))].tobytes()  # noqa: B023
+                        return np.int64([len(x)]).tobytes() + own[x].tobytes() + data[places(at[x], np.full(len(x), length))].tobytes()  # noqa: B023
 
                     yield _batch(4, _deal((h[rest] % np.uint64(parts)).astype(np.int64), window))
                 edge &= ~by_window

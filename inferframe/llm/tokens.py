@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, ints, pieces, text_bytes
-from .shingles import mix
+from .common import column, documents, ints, pieces, places, shuffles_go, text_bytes
+from .shingles import _windows, mix
 
 MAGIC = b"DAC1"
 BLOCK = 512  # bits of a bitmap for each entry of its rank directory
@@ -93,6 +93,8 @@ WIDE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\
 #: ASCII letters, and ASCII marks but for the apostrophe, with which a piece of letters may begin.
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
+BLANK = np.zeros(256, bool)
+BLANK[32] = True
 MARK[[c for c in b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~']] = True
 
 
@@ -148,14 +150,15 @@ class Encoder:
     Byte-level BPE splits a text before it merges: always before a single space or around a single newline that stands between two
     other characters, and between a letter and a mark that isn't an apostrophe. Cut there, a chunk has the same ids alone as in its text. Chunks not seen lately are encoded
     by the library, many in one call, and told apart by the bytes of their tokens. Texts with a special token's string, with runs of white space
-    or with white space that the cut doesn't treat are encoded whole.
+    or with white space that the cut doesn't treat go to the library whole. Either way a long text goes in windows, which end before a
+    single space (between two letters for the library), so that only its ids take memory beside it.
     """
 
-    def __init__(self, path: str, most: int = 1 << 21):
+    def __init__(self, path: str, most: int = 1 << 19, window: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), Known(most)
+        self.tok, self.known, self.window = Tokenizer.from_file(path), Known(most), window
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -201,13 +204,13 @@ class Encoder:
             n = sizes[g]
             text = np.full(n.sum(), 10, np.uint8)
             begin = np.cumsum(n) - n + np.where(spaced[g], 0, 1)
-            text[_places(begin, length[g])] = data[_places(start[g], length[g])]
+            text[places(begin, length[g])] = data[places(start[g], length[g])]
             got = np.array(self.tok.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.int64)
             last = np.cumsum(self.size[got])
             cut = np.searchsorted(last, begin + length[g]) + 1
             first = np.searchsorted(last, begin, "right")
             count[g] = cut - first
-            ids.append(got[_places(first, count[g])].astype(np.uint32))
+            ids.append(got[places(first, count[g])].astype(np.uint32))
         if lone.any():
             newline = np.array(self.tok.encode("\n", add_special_tokens=False).ids, np.uint32)
             order, count[lone] = np.append(group, np.flatnonzero(lone)), len(newline)
@@ -219,17 +222,37 @@ class Encoder:
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of each text's); texts are UTF-8 bytes from off to off."""
         n = len(off) - 1
-        whole = self._whole(data, off)
-        begin = np.zeros(len(data), bool)
-        newline = data == 10
+        whole, total, found = self._whole(data, off), np.zeros(n, np.int64), [np.zeros(0, np.uint32)]
+        for lo, hi in _windows(data, off, BLANK, self.window):
+            edges = off[np.searchsorted(off, lo, "right") : np.searchsorted(off, hi)]
+            first = int(np.searchsorted(off, lo, "right")) - 1  # the text that holds the window's first byte
+            texts = np.concatenate([[lo], edges, [hi]]) - lo
+            own = np.searchsorted(off, texts[:-1] + lo, "right") - 1
+            ids, count = self._chunks(data[lo:hi], texts, whole[own])
+            found.append(ids)
+            total[first : first + 1 + int(own[-1]) - first] += np.bincount(own - first, count, int(own[-1]) - first + 1).astype(np.int64)
+        ids = np.concatenate(found)
+        if not whole.any():
+            return ids, total
+        where = np.flatnonzero(whole)
+        at, parts, last = np.append(0, np.cumsum(total)), [], 0
+        for i in where:
+            own = self._library(data[off[i] : off[i + 1]])
+            parts += [ids[at[last] : at[i]], own]
+            total[i], last = len(own), i
+        return np.concatenate([*parts, ids[at[last] :]]), total
+
+    def _chunks(self, data: np.ndarray, off: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a window, but for those to skip, by their chunks, and the number of each."""
+        begin, newline = np.zeros(len(data), bool), data == 10
         begin |= newline | (data == 32)
         begin[1:] |= newline[:-1] | (LETTER[data[:-1]] & MARK[data[1:]])
         begin[off[:-1][off[:-1] < off[1:]]] = True
         start = np.flatnonzero(begin)
         doc = np.searchsorted(off, start, "right") - 1
         length = np.diff(np.append(start, len(data)))
-        if whole.any():
-            on = ~whole[doc]
+        if skip.any():
+            on = ~skip[doc]
             start, doc, length = start[on], doc[on], length[on]
         key, head, end = _chunk_keys(data, start, length)
         place = self.known.find(key, head, end)
@@ -238,33 +261,31 @@ class Encoder:
             one = new[_first_of(key[new], head[new], end[new])]
             if self.known.n + len(one) > self.known.most:
                 self.known.clear()
-                if len(one) > self.known.most or len(start) > self.known.most:  # more chunks than fit: the library takes the texts whole
-                    return self._by_library(data, off)
-                return self.encode(data, off)
+                new = np.arange(len(key))
+                one = _first_of(key, head, end)
+                if len(one) > self.known.most:  # more chunks than fit: the library takes the texts
+                    got = [np.zeros(0, np.uint32) if s else self._library(data[a:b]) for a, b, s in zip(off[:-1], off[1:], skip, strict=True)]
+                    return np.concatenate(got), np.array([len(x) for x in got], np.int64)
             self._learn(data, key[one], head[one], end[one], start[one], length[one])
             place[new] = self.known.find(key[new], head[new], end[new])
         size = self.known.count[place].astype(np.int64)
-        ids = self.known.ids[_places(self.known.at[place], size)]
-        total = np.bincount(doc, size, n).astype(np.int64)
-        if not whole.any():
-            return ids, total
-        where = np.flatnonzero(whole)
-        got = self.tok.encode_batch_fast([data[off[i] : off[i + 1]].tobytes().decode() for i in where], add_special_tokens=False)
-        at, parts = np.append(0, np.cumsum(total)), [ids[:0]]
-        last = 0
-        for i, g in zip(where, got, strict=True):
-            parts += [ids[at[last] : at[i]], np.array(g.ids, np.uint32)]
-            total[i], last = len(g.ids), i
-        return np.concatenate([*parts, ids[at[last] :]]), total
-
-    def _by_library(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        got = self.tok.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:], strict=True)], add_special_tokens=False)
-        return np.concatenate([np.zeros(0, np.uint32), *[np.array(g.ids, np.uint32) for g in got]]), np.array([len(g.ids) for g in got], np.int64)
-
-
-def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... size[0] of them, then those of the next."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.known.ids[places(self.known.at[place], size)], np.bincount(doc, size, len(off) - 1).astype(np.int64)
+
+    def _library(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one text from the library, in windows that end before a space between two ASCII letters."""
+        parts, lo, n = [np.zeros(0, np.uint32)], 0, len(data)
+        while lo < n:
+            hi = lo + self.window
+            while hi < n:
+                x = data[hi - 1 : hi + self.window + 1]
+                some = np.flatnonzero((x[1:-1] == 32) & LETTER[x[:-2]] & LETTER[x[2:]]) if len(x) > 2 else np.zeros(0, int)
+                if len(some):
+                    hi += int(some[0])
+                    break
+                hi += self.window
+            parts.append(np.array(self.tok.encode(data[lo : min(hi, n)].tobytes().decode(), add_special_tokens=False).ids, np.uint32))
+            lo = min(hi, n)
+        return np.concatenate(parts)
 
 
 def _chunk_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,15 +315,16 @@ def _first_of(*cols: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, segment_ids: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, segment_ids: int = 1 << 20, in_order: bool = True) -> None:
     """Encode every whole text and write the segments, in ascending doc_id order, as rows of binary under path/segments.
 
-    Texts are dealt by ranges of doc_id; a task writes segments of about segment_ids ids (a longer document is one segment) with
-    the number of ids before them in the task. A row of path/segments: part, seq, before long, doc_ids array<long>, blob. The
+    Texts are dealt by ranges of doc_id and text; a task writes segments of about segment_ids ids (a longer document is one segment) with
+    the number of ids before them in the task. Without in_order rows are written in the order in which docs has them, so that
+    a shuffled table stays shuffled. A row of path/segments: part, seq, before long, doc_ids array<long>, blob. The
     only global figures are the totals of the tasks, under path/totals. A null text is empty; null doc_ids come first; repeated
-    doc_ids are ordered by text. An empty table writes no segment.
+    doc_ids are ordered by a hash of the text (identical rows stay in one task, which streams them). An empty table writes no segment.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def write(batches):
         from pyspark import TaskContext
@@ -317,7 +339,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             names = [i for x in held for i in x[2]]
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([blob], pa.binary())], ["part", "seq", "before", "n_tokens", "doc_ids", "blob"])
 
-        for b in pieces(batches, 1 << 20):
+        for b in pieces(batches):
             ids, n = enc.encode(*text_bytes(column(b, "text")))
             if end_id is not None:
                 ids, n = np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
@@ -335,8 +357,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if held:
             yield segment()
 
-    out = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, seq int, before long, n_tokens long, doc_ids array<long>, blob binary")
-    out.write.parquet(f"{path}/segments")
+    if in_order:
+        tie = F.xxhash64("text")
+        rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    out = rows.mapInArrow(write, "part int, seq int, before long, n_tokens long, doc_ids array<long>, blob binary")
+    with shuffles_go(docs.sparkSession):
+        out.write.parquet(f"{path}/segments")
     docs.sparkSession.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n")).write.parquet(f"{path}/totals")
 
 
@@ -371,8 +397,9 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int:
-    """The id at a position of the whole output: one segment is found by its start, and one code read from it."""
-    row = _segments(spark, path).where((F.col("start") <= position) & (F.col("start") + F.col("n_tokens") > position)).first()
+    """The id at a position of the whole output: the segment is found by narrow columns, and it alone is read, by a filter that reaches the scan."""
+    row = _segments(spark, path).where((F.col("start") <= position) & (F.col("start") + F.col("n_tokens") > position)).select("part", "seq", "start").first()
     if row is None:
         raise IndexError(position)
-    return Segment.read(bytes(row["blob"])).token(position - row["start"])
+    blob = spark.read.parquet(f"{path}/segments").where((F.col("part") == row["part"]) & (F.col("seq") == row["seq"])).select("blob").first()["blob"]
+    return Segment.read(bytes(blob)).token(position - row["start"])

@@ -30,6 +30,12 @@ def test_same_ids_as_the_library(texts, most):
     assert ids_of(texts, Encoder(PATH, most)) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES + ["big bird sang", " a b c "]), max_size=40).map("".join), max_size=5), st.integers(1, 40))
+def test_same_ids_in_windows(texts, window):
+    assert ids_of(texts, Encoder(PATH, 5000, window)) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=700), max_size=6))
 def test_codes_round_trip(docs):
@@ -74,6 +80,30 @@ def test_files(spark, tmp_path, segment, end):
         token_at(spark, path, len(flat))
 
 
+def test_rows_in_their_own_order(spark, tmp_path):
+    """Without in_order a shuffled table, with copies of documents, stays as it is."""
+    rows = [(i * 7 % 50, f"text number {i * 7 % 50}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    write_tokens(docs, str(tmp_path / "t"), PATH, in_order=False)
+    got = read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [i for i, _ in rows] and got[-1]["start"] + got[-1]["n_tokens"] == sum(r["n_tokens"] for r in got)
+
+
+def test_one_token_reads_one_segment(spark, tmp_path):
+    write_tokens(spark.range(100).selectExpr("id doc_id", "concat('text ', id) text"), str(tmp_path / "t"), PATH, segment_ids=20)
+    plan = spark.read.parquet(str(tmp_path / "t/segments")).where("part = 1 and seq = 2").select("blob")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(part,1)" in plan and "EqualTo(seq,2)" in plan
+
+
+def test_very_long_text(spark, tmp_path):
+    """A text of 20 MB beside a short one, in windows."""
+    text = " ".join(f"word{i % 9973}" for i in range(2_200_000))
+    write_tokens(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), str(tmp_path / "t"), PATH)
+    got = {r["doc_id"]: r for r in read_tokens(spark, str(tmp_path / "t"), with_ids=False).collect()}
+    want = LIBRARY.encode(text[:40_000], add_special_tokens=False).ids
+    assert got[2]["start"] == got[1]["n_tokens"] and [token_at(spark, str(tmp_path / "t"), k) for k in (0, 1, 9000)] == [want[0], want[1], want[9000]]
+
+
 def test_empty_table(spark, tmp_path):
     write_tokens(documents(spark).where("false"), str(tmp_path / "t"), PATH)
     assert read_tokens(spark, str(tmp_path / "t")).collect() == []
