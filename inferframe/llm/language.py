@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, documents, held_out, pieces, text_bytes
+from .common import bounded, column, documents, held_out, pieces, saved, text_bytes
 from .shingles import LOWER
 from .suffix_dedup import gram_hashes
 
@@ -43,31 +43,36 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+def features(data: np.ndarray, off: np.ndarray, window: int = 1 << 20) -> np.ndarray:
     """Square roots of the shares of hashed 2- and 3-byte grams of the lower-cased text, unit length, and a constant."""
-    n, low = len(off) - 1, LOWER[data]
+    n = len(off) - 1
     out = np.zeros((n, TERMS + 1), np.float32)
     for size in (2, 3):
-        if len(low) >= size:
-            h = (gram_hashes(low, (size,))[0] >> np.uint64(52)).astype(np.int64)
-            doc = np.repeat(np.arange(n), np.diff(off))[: len(h)]
-            ok = np.arange(len(h)) + size <= off[1:][doc]
-            out[:, :TERMS] += np.bincount(doc[ok] * TERMS + h[ok], minlength=n * TERMS).reshape(n, TERMS)
+        for lo in range(0, max(0, len(data) - size + 1), window):
+            part = LOWER[data[lo : lo + window + size - 1]]
+            if len(part) < size:
+                continue
+            h = (gram_hashes(part, (size,))[0] >> np.uint64(52)).astype(np.int64)
+            at = np.arange(lo, lo + len(h))
+            doc = np.searchsorted(off, at, "right") - 1
+            ok = at + size <= off[1:][doc]
+            first, last = int(doc[0]), int(doc[-1]) + 1
+            got = np.bincount((doc[ok] - first) * TERMS + h[ok], minlength=(last - first) * TERMS)
+            out[first:last, :TERMS] += got.reshape(-1, TERMS)
     total = out.sum(1, keepdims=True)
     out = np.sqrt(out / np.maximum(total, 1))
     out[:, TERMS] = 0.1
     return out
 
 
-def train(texts: list[str], langs: list[str], rounds: int = 150, l2: float = 1e-4) -> Model:
-    """One logistic classifier for each bit, all at once, by accelerated gradient steps; languages weigh the same."""
+def train(x: np.ndarray, langs: list[str], rounds: int = 150, l2: float = 1e-4) -> Model:
+    """One logistic classifier for each bit of the codewords, over rows of features, all at once, by accelerated gradient steps; languages weigh the same."""
     names = sorted(set(langs))
     code = codewords(len(names))
     if not names:
         return Model([], code, np.zeros((TERMS + 1, 1), np.float32))
-    y = np.array([names.index(x) for x in langs])
-    raw = [t.encode() for t in texts]
-    x = np.concatenate([features(np.frombuffer(b"".join(raw[i : i + 500]), np.uint8), np.append(0, np.cumsum([len(t) for t in raw[i : i + 500]]))) for i in range(0, len(raw), 500)])
+    place = {x: i for i, x in enumerate(names)}
+    y = np.array([place[x] for x in langs])
     target = code[y].astype(np.float32)
     share = (1 / np.bincount(y)[y] / len(names)).astype(np.float32)[:, None]
     w = np.zeros((TERMS + 1, code.shape[1]), np.float32)
@@ -81,19 +86,33 @@ def train(texts: list[str], langs: list[str], rounds: int = 150, l2: float = 1e-
 
 
 def fit(docs: DataFrame, per_language: int = 900, most: int = 6000) -> Model:
-    """Learn from at most about per_language documents of each language (the share of a hash) and most in all, of those that aren't held out."""
-    rows = docs.select("*").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    """Learn from a bounded sample of the documents that aren't held out: of each language at most per_language rows, and so many that
+    all languages together have about most, but at least one; so every language is learned. Rows are chosen by a hash.
+
+    Executors turn the whole texts into features; the driver gets at most 4,097 numbers of each row of the sample.
+    """
+    bounded(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"), 4, 2))
-    n = rows.groupBy("lang").count()
-    # shares by language, joined as a table of one row for each language
-    share = n.select(F.col("lang").alias("l"), (F.lit(float(per_language)) / F.col("count")).alias("share"))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = [(r["l"], r["share"]) for r in share.orderBy("share").limit(5000).collect()]
-    if not few:
-        return train([], [])
-    shares = F.create_map(*[F.lit(x) for pair in few for x in pair])
-    got = rows.where(unit < F.element_at(shares, F.col("lang"))).orderBy(F.xxhash64("doc_id")).limit(most).select("text", "lang").collect()
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    counted = saved(rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l"), "languages")
+    quota = min(per_language, max(1, most // max(1, counted.count())))
+    # a hash thins each language to about four times its quota before rows are ranked, so that no language is sorted whole
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    thin = rows.join(counted, F.col("lang") == F.col("l")).where(unit < F.lit(4.0 * quota + 30) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
+    chosen = thin.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota).select("text", "lang")
+
+    def turned(batches):
+        for b in pieces(batches, rows=512):
+            x = features(*text_bytes(column(b, "text")))
+            some = [np.flatnonzero(r) for r in x]
+            yield pa.RecordBatch.from_arrays([column(b, "lang"), pa.array([i.astype("<u2").tobytes() for i in some], pa.binary()), pa.array([r[i].tobytes() for i, r in zip(some, x, strict=True)], pa.binary())], ["lang", "terms", "values"])
+
+    got = sorted(chosen.mapInArrow(turned, "lang string, terms binary, values binary").collect())
+    x = np.zeros((len(got), TERMS + 1), np.float32)
+    for own, r in zip(x, got, strict=True):
+        own[np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["values"], np.float32)
+    return train(x, [r["lang"] for r in got])
 
 
 def identify(docs: DataFrame, model: Model, margin: float = 0.5) -> DataFrame:
@@ -106,10 +125,11 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.5) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
-        m, letter = Model(**given.value), re.compile(r"[^\W\d_]")
+        m = Model(**given.value)
         for b in pieces(batches, rows=1024):
             f = features(*text_bytes(column(b, "text"))) @ m.weights
-            known = np.array([bool(t and letter.search(t)) and bool(m.languages) for t in column(b, "text").to_pylist()])
+            # a letter is a character of the Unicode categories Lu, Ll, Lt, Lm and Lo
+            known = np.asarray(pc.fill_null(pc.match_substring_regex(column(b, "text"), r"\p{L}"), False).to_numpy(zero_copy_only=False), bool) & bool(m.languages)
             if m.languages:
                 loss = np.stack([np.logaddexp(0, -f * c).sum(1) for c in m.code], 1).astype(np.float64)
                 p = np.exp(loss.min(1, keepdims=True) - loss)

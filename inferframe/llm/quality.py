@@ -6,18 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, held_out, labelled_sample, pieces, text_bytes
-from .shingles import words
-from .suffix_dedup import gram_hashes
+from .common import column, documents, held_out, labelled_rows, pieces, text_bytes
+from .decontaminate import MARKS
+from .shingles import SPACE, words
 
-#: Hashed terms: 4096 of word shapes and letters, and 64 of repetition.
-TERMS, REPEATS = 4096, 64
-#: Letters by class, so that a gram shows case, digits and marks and not the word; bytes beyond ASCII are letters.
-SHAPE = np.arange(256, dtype=np.uint8)
-SHAPE[48:58], SHAPE[65:91], SHAPE[97:123], SHAPE[128:] = 48, 65, 97, 97
+#: Hashed terms: of words, of runs of marks, and of words that stood among the last few.
+WORDS, SIGNS, BACK = 4096, 256, 8
+TERMS = WORDS + SIGNS + BACK
 
 
 @dataclass(frozen=True)
@@ -31,33 +30,30 @@ class Model:
 
 
 def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Term counts of each text: shape trigrams, and by tenths of the text's words, how often a word repeats the last one or one of the last eight."""
+    """Term counts of each text: its words, its runs of ASCII marks, and, in place of a word that stood among the last eight, how far back."""
     n = len(off) - 1
-    out = np.zeros((n, TERMS + REPEATS), np.float32)
-    if len(data) >= 3:
-        h = (gram_hashes(SHAPE[data], (3,))[0] >> np.uint64(52)).astype(np.int64)
-        doc = np.repeat(np.arange(n), np.diff(off))[: len(h)]
-        ok = np.arange(len(h)) + 3 <= off[1:][doc]
-        out[:, :TERMS] = np.bincount(doc[ok] * TERMS + h[ok], minlength=n * TERMS).reshape(n, TERMS)
-    _, _, h, w = words(data, off)
-    if len(h):
-        size = np.diff(w)
-        doc = np.repeat(np.arange(n), size)
-        last, near = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        last[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-        for lag in range(2, 9):
-            near[lag:] |= (h[lag:] == h[:-lag]) & (doc[lag:] == doc[:-lag])
-        for k, mark in enumerate((last, near)):
-            share = np.bincount(doc, mark, n) / np.maximum(size, 1)
-            level = np.minimum((share * 16).astype(int), 15)
-            some = level > 0
-            out[np.flatnonzero(some), TERMS + 16 * k + level[some]] = size[some]
-            out[np.flatnonzero(some), TERMS + 32 + k] = size[some]
+    out = np.zeros((n, TERMS), np.float32)
+    _, _, h, w = words(data, off, MARKS)
+    doc = np.repeat(np.arange(n), np.diff(w))
+    term = (h >> np.uint64(52)).astype(np.int64)
+    for lag in range(BACK, 0, -1):
+        same = np.flatnonzero((h[lag:] == h[:-lag]) & (doc[lag:] == doc[:-lag])) + lag
+        term[same] = WORDS + SIGNS + lag - 1
+    _add(out, doc, term)
+    _, _, h, w = words(data, off, ~MARKS | SPACE)
+    _add(out, np.repeat(np.arange(n), np.diff(w)), WORDS + (h >> np.uint64(56)).astype(np.int64))
     return out
 
 
+def _add(out: np.ndarray, doc: np.ndarray, term: np.ndarray, rows: int = 256) -> None:
+    cut = np.searchsorted(doc, np.arange(0, len(out) + rows, rows))
+    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        own = out[k * rows : (k + 1) * rows]
+        own += np.bincount((doc[a:b] - k * rows) * TERMS + term[a:b], minlength=own.size).reshape(own.shape)
+
+
 def _weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return np.log1p(c) * idf
+    return np.sqrt(c / np.maximum(c.sum(1, keepdims=True), 1)) * idf
 
 
 def _latent(c: np.ndarray, idf: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -65,15 +61,12 @@ def _latent(c: np.ndarray, idf: np.ndarray, base: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
 
 
-def train(texts: list[str], y: np.ndarray, latent: int = 48, neighbours: int = 25) -> Model:
-    """TF-IDF and a randomised SVD (two power rounds) of the labelled texts."""
-    if not len(texts):
-        return Model(np.zeros(TERMS + REPEATS, np.float32), np.zeros((TERMS + REPEATS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), neighbours, 0.5)
-    raw = [t.encode() for t in texts]
-    c = np.concatenate([counts(np.frombuffer(b"".join(raw[i : i + 500]), np.uint8), np.append(0, np.cumsum([len(t) for t in raw[i : i + 500]]))) for i in range(0, len(raw), 500)])
+def train(c: np.ndarray, y: np.ndarray, latent: int = 48, neighbours: int = 25) -> Model:
+    """TF-IDF of term counts and a randomised SVD (two power rounds) of the labelled texts."""
+    if not len(c):
+        return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), neighbours, 0.5)
     idf = np.log((1 + len(c)) / (1 + (c > 0).sum(0))).astype(np.float32)
     a = _weighted(c, idf)
-    del c
     rng = np.random.default_rng(31)
     q = a.T @ rng.standard_normal((len(a), latent + 8)).astype(np.float32)
     for _ in range(2):
@@ -104,8 +97,29 @@ def vote(v: np.ndarray, m: Model, block: int = 512) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_good: int = 2500, most_bad: int = 1000) -> Model:
-    """Learn from a bounded sample of labelled documents that aren't held out (crc32 of the id mod 5 is 0)."""
-    return train(*labelled_sample(docs, labels, "quality", {1: most_good, 0: most_bad}, lambda i: ~held_out(i)))
+    """Learn from a bounded sample of labelled documents that aren't held out (crc32 of the id mod 5 is 0).
+
+    Executors count the terms of the whole texts; the driver gets at most TERMS counts of each row of the sample.
+    """
+
+    def count(batches):
+        for b in pieces(batches):
+            c = counts(*text_bytes(column(b, "text")))
+            some = [np.flatnonzero(r) for r in c]
+            yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "y"), pa.array([i.astype("<u2").tobytes() for i in some], pa.binary()), pa.array([r[i].tobytes() for i, r in zip(some, c, strict=True)], pa.binary())], ["id", "y", "terms", "counts"])
+
+    chosen = labelled_rows(docs, labels, "quality", {1: most_good, 0: most_bad}, lambda i: ~held_out(i))
+    if chosen is None:
+        return train(np.zeros((0, TERMS)), np.zeros(0))
+    rows = sorted(chosen.mapInArrow(count, "id long, y int, terms binary, counts binary").collect(), key=lambda r: r["id"])
+    c = np.zeros((len(rows), TERMS), np.float32)
+    for own, r in zip(c, rows, strict=True):
+        own[np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["counts"], np.float32)
+    return train(c, np.array([r["y"] for r in rows], np.float64))
+
+
+def _scores(texts, m: Model) -> np.ndarray:
+    return vote(_latent(counts(*text_bytes(texts)), m.idf, m.base), m)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -119,8 +133,23 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches):
         m = Model(**given.value)
         for b in pieces(batches, rows=1024):
-            s = vote(_latent(counts(*text_bytes(column(b, "text"))), m.idf, m.base), m)
+            s = _scores(column(b, "text"), m)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose own text scores at least threshold as score() has it: each row is judged by itself, without a join."""
+    given = documents(docs).sparkSession.sparkContext.broadcast(vars(model))
+    text = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        m = Model(**given.value)
+        for b in batches:
+            texts = pc.cast(b.column(text), pa.string())
+            one = pa.RecordBatch.from_arrays([texts], ["text"])
+            if b.num_rows:
+                yield b.filter(pa.array(np.concatenate([_scores(p.column(0), m) for p in pieces([one], rows=1024)]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

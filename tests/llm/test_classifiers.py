@@ -1,10 +1,13 @@
 """Held-out accuracy and odd cases of the three classifiers."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inferframe.llm import language, quality, toxicity
+from inferframe.llm.common import labelled_sample
 from inferframe.llm.queries import llm_queries
 from tests.llm.tables import crowded, documents
 
@@ -90,6 +93,87 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
+def test_held_out_rows_of_quality_and_language_are_not_read(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = quality.fit(docs, labels), quality.fit(docs, flipped)
+    assert len(a.y) and np.array_equal(a.vectors, b.vectors) and np.array_equal(a.y, b.y)
+    wrong = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit("xx")).otherwise(F.col("lang")))
+    c, d = language.fit(docs), language.fit(wrong)
+    assert "xx" not in d.languages and np.array_equal(c.weights, d.weights)
+
+
+def test_vote_by_brute_force():
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    v, w, y = unit(rng.normal(size=(70, 6))).astype(np.float32), unit(rng.normal(size=(40, 6))).astype(np.float32), rng.integers(0, 2, 40).astype(np.float32)
+    got = quality.vote(v, quality.Model(None, None, w, y, 7, 0.5), block=16)
+    for row, s in zip(v, got, strict=True):
+        near = sorted(((float(row @ u), float(label)) for u, label in zip(w, y, strict=True)), reverse=True)[:7]
+        weight = [max(c, 0) ** 8 for c, _ in near]
+        assert abs(s - sum(a * b for a, (_, b) in zip(weight, near, strict=True)) / sum(weight)) < 1e-4
+
+
+def test_terms_of_quality_by_brute_force():
+    texts = ["The cat, the cat!! sat.", "", "a a a b a", "$$$ x$$$ --", "É é"]
+    raw = [t.encode() for t in texts]
+    got = quality.counts(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+    assert got[:, -quality.BACK :].tolist() == [[0, 2, 0, 0, 0, 0, 0, 0], [0] * 8, [2, 1, 0, 0, 0, 0, 0, 0], [0] * 8, [0] * 8]
+    assert got[:, : quality.WORDS].sum(1).tolist() == [3, 0, 2, 1, 2] and got[:, quality.WORDS : -quality.BACK].sum(1).tolist() == [3, 0, 0, 3, 0]
+
+
+def test_decoding_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    model = language.fit(docs)
+    rows = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            continue
+        raw = r["text"].encode()
+        f = language.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), window=97)[0] @ model.weights
+        loss = [sum(np.log1p(np.exp(-f * word))) for word in model.code]
+        got = rows[r["doc_id"]]
+        assert got["lang_pred"] == model.languages[int(np.argmin(loss))]
+        assert abs(got["score"] - np.exp(-min(loss)) / sum(np.exp(-np.array(loss)))) < 1e-3
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3} word{i % 10} text", f"l{i % 10}") for i in range(400)] + [(1000 + i, f"zz{i} rare qq", f"r{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {r["lang"] for r in docs.where("crc32(cast(doc_id as string)) % 4 <> 2").collect()}
+    assert set(language.fit(docs, per_language=5, most=40).languages) == want
+
+
+def test_no_letter_is_und(spark):
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ ①"), (2, "12 _ 3"), (3, "ª"), (4, "日"), (5, "٣"), (6, "a")], "doc_id long, text string")
+    model = language.fit(spark.createDataFrame([(i, "some text", "en") for i in range(8)] + [(20 + i, "ein Satz", "de") for i in range(8)], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert [got[i] == "und" for i in range(1, 7)] == [True, True, False, False, True, False]
+
+
+def test_noisy_or_by_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    some = docs.limit(40)
+    rows = {r["doc_id"]: r for r in toxicity.score(some, model).collect()}
+    for r in some.collect():
+        raw, none = (r["text"] or "").encode().lower(), 1.0  # bytes.lower() treats A-Z only
+        at, h = toxicity.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for m in re.finditer(rb"[^\n!.?]*(?:[\n!.?]+|$)", raw):  # a gram belongs to the sentence in which it begins
+            known = {x for i, x in zip(at.tolist(), h.tolist(), strict=True) if m.start() <= i < m.end() and model.weights[x]}
+            if known:
+                none *= 1 - 1 / (1 + np.exp(-(sum(float(model.weights[x]) for x in known) + model.bias)))
+        assert abs(rows[r["doc_id"]]["score"] - (1 - none)) < 1e-6
+
+
+def test_a_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(1, 21)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id long, toxic int")
+    texts, y = labelled_sample(docs, labels, "toxic", {1: 50, 0: 50}, lambda i: i > 0, most_bytes=600)
+    assert sum(map(len, texts)) <= 600 and 0 < y.sum() < len(y) and max(map(len, texts)) < 200
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 9])
 def test_codewords_differ(n):
     c = language.codewords(n)
