@@ -1,4 +1,6 @@
+import hashlib
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -43,6 +45,35 @@ def test_large_rates(spark):
     assert n["a"] == 0 and abs(n["b"] - 3002) < 5 * math.sqrt(3002)
 
 
+def test_the_plan_does_not_grow_with_the_rate(spark):
+    """Rates of about 1, 15, 250 and 2,000,000: counts lie around them."""
+    rng = random.Random(3)
+    sizes = {"a": 1, "b": 300, "c": 5000}
+    docs = spark.createDataFrame([(rng.randrange(10**9), "t", s) for s in sizes for _ in range(20)], "doc_id long, text string, source string")
+    got = mix_sources(docs, {s: float(n) for s, n in sizes.items()}, rounds=sum(sizes.values()) / 60).groupBy("source", "doc_id", "n_copies", "rate").count().collect()
+    for s, n in sizes.items():
+        own = [r for r in got if r["source"] == s]
+        assert own and all(abs(r["n_copies"] - r["rate"]) < 6 * math.sqrt(r["rate"]) + 4 for r in own)
+    two = spark.createDataFrame([(1, "t", "a")], "doc_id long, text string, source string")
+    assert abs(mix_sources(two, rounds=2_000_000.0).count() - 2_000_000) < 6 * math.sqrt(2_000_000)
+
+
+@pytest.mark.parametrize("rate", [0.3, 7.0, 399.0, 401.0, 5000.0])
+def test_counts_invert_the_distribution(spark, rate):
+    docs = spark.createDataFrame([(i, "a") for i in range(40)], "doc_id long, source string")
+    got = {r["doc_id"]: r["n"] for r in mix_sources(docs, rounds=rate).groupBy("doc_id").agg({"*": "count"}).toDF("doc_id", "n").collect()}
+    for i in range(40):
+        u, k, p = int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
+        if rate < 700:
+            total = p
+            while total <= u:
+                k, p = k + 1, p * rate / (k + 1)
+                total += p
+            assert got.get(i, 0) == k
+        else:
+            assert abs(got[i] - rate) < 6 * math.sqrt(rate)
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     rows = mix_sources(crowded(docs), rounds=20.0)
