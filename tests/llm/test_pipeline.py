@@ -64,6 +64,36 @@ def test_stages_on_odd_rows(spark, sf):
     assert set(cp.near_dedup(spark, crowded(docs), sf).columns) == set(crowded(docs).columns)
 
 
+def test_stages_pass_on_clashing_columns_and_rows_without_an_id(spark, sf):
+    docs = crowded(documents(spark).select(*COLUMNS))
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        assert {r["rid"] for r in got.collect()} <= {"clash"}
+        if name in ("minhash near-dedup", "benchmark decontamination"):
+            assert got.where("doc_id is null").count() == 2, name
+    assert cp.tokens(spark, docs, sf).count() == docs.count()
+
+
+def test_quality_judges_each_row_by_its_text(spark, sf):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = {r["text"] for r in cp.quality_filter(spark, docs, sf).collect()}
+    good, bad = next(t for i, t in texts.items() if labels.get(i) == 1 and t in kept), next(t for i, t in texts.items() if labels.get(i) == 0 and t not in kept)
+    rows = [(-7, good), (-7, bad), (None, good), (None, bad), (-8, good), (-8, good)]
+    got = cp.quality_filter(spark, docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text")), sf)
+    n = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert n[None, good] == 1 and n[None, bad] == 0 and n[-7, bad] == 0 and n[-8, good] >= 2
+
+
+def test_tokens_keep_the_mixed_order(spark, sf):
+    docs = cp.mix(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).coalesce(1)
+    want = [r["doc_id"] for r in docs.collect()]
+    got = [r["doc_id"] for r in cp.tokens(spark, docs, sf).orderBy("start").collect()]
+    assert got == want and want != sorted(want)
+
+
 def test_near_dedup_keeps_rows_without_words(spark, sf):
     docs = documents(spark).select(*COLUMNS)
     left = {r["doc_id"] for r in cp.near_dedup(spark, docs, sf).collect()}
