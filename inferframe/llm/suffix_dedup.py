@@ -2,10 +2,11 @@
 
 Sorting every suffix of the corpus would shuffle each byte dozens of times. Instead every 50-byte window is represented by
 its anchor, the smallest k-gram hash inside it, so equal windows have equal anchors. Windows with the same anchor in a row
-form a run. (1) Runs are grouped by hash: a run that an earlier document holds in full is a copy. (2) Of the rest, only runs
-whose anchor several documents share can hold a copied window; their bytes are grouped by anchor, the windows are put in
-suffix order and the longest-previous-factor array tells which of them an earlier document has. Texts travel twice, runs as
-17 bytes each, and bytes only where a repeat begins or ends.
+form a run. (1) Runs are grouped by digest: a run that an earlier document holds in full is a copy. A digest is the 64-bit hash of the anchor's
+gram and that of the run's first window, last window (which cover all its bytes) and length. (2) Of the rest, only runs
+whose anchor several documents share can hold a copied window; their bytes are grouped by anchor, the suffixes are sorted, and their
+longest-previous-factor array, by previous and next smaller positions in suffix order, tells which windows an earlier document has. Texts travel
+twice, runs as 17 bytes each, and bytes only where a repeat begins or ends.
 
 A passage that very many documents hold doesn't gather in one task: a task sends a run once, for its smallest document, and settles its
 other documents itself; and an anchor with very many different runs is dealt by windows instead, again once for a task.
@@ -18,15 +19,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, distinct, in_groups, ints, pieces, places, saved, text_bytes
+from .common import column, discard, distinct, documents, in_groups, ints, pieces, places, saved, text_bytes
 from .shingles import BYTE, POWER, mix
 
 #: Bytes of text for each bucket and shard.
 SHARE = 4 << 20
 
 
-def gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """For each size, the hash of the size bytes from every position that has as many, by doubling."""
+#: Bytes that are hashed at a time; the arrays take some 100 bytes for each.
+WINDOW = 1 << 20
+
+
+def gram_hashes(data: np.ndarray, sizes: tuple[int, ...], window: int = WINDOW) -> list[np.ndarray]:
+    """For each size, the hash of the size bytes from every position that has as many."""
+    if len(data) <= 2 * window:
+        return _gram_hashes(data, sizes)
+    out = [[] for _ in sizes]
+    for lo in range(0, len(data), window):
+        part = _gram_hashes(data[lo : lo + window + max(sizes) - 1], sizes)
+        for own, h in zip(out, part, strict=True):
+            own.append(h[:window])
+    return [np.concatenate(h) for h in out]
+
+
+def _gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """By doubling."""
     n, out = len(data), []
     power, h = {1: POWER}, {1: BYTE[data]}
     step = 1
@@ -44,8 +61,22 @@ def gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-def runs(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with the same anchor: (text, first window, last window, anchor hash, run hash); windows never cross texts."""
+def runs(data: np.ndarray, off: np.ndarray, length: int, k: int, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Runs of windows with the same anchor: (text, first window, last window, anchor hash, run hash); windows never cross texts.
+
+    A very long text goes in parts; a run that is cut there has other hashes than the whole one, so that its windows are compared one by one.
+    """
+    found = []
+    for lo in range(0, max(1, len(data)), window):
+        part = data[lo : lo + window + length - 1]
+        inner = off[np.searchsorted(off, lo, "right") : np.searchsorted(off, lo + len(part))] - lo
+        _, first, last, a, w = _runs(part, np.concatenate([[0], inner, [len(part)]]), length, k)
+        first, last = first + lo, last + lo
+        found.append((np.searchsorted(off, first, "right") - 1, first, last, a, w))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _runs(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     n, width = len(data), length - k + 1
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if n < length:
@@ -74,41 +105,58 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.nda
     return np.searchsorted(off, first, "right") - 1, first, last, hk[q], whole
 
 
-def previous_factor(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """Longest-previous-factor array in suffix order: for each suffix the longest prefix that a suffix of a smaller document has.
+def _smaller_before(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix, what it has in common with the suffix at the previous position in order whose document is smaller; 0 without one.
+
+    All positions follow their links at once: that of the position before, if its document isn't smaller, leads to its own, and so on.
+    """
+    n = len(doc)
+    at, common = np.arange(n) - 1, lcp.copy()
+    common[:1] = 0
+    at[common == 0] = -1  # nothing in common with any before
+    done = (at < 0) | (doc[at] < doc)
+    while len(todo := np.flatnonzero(~done & done[at])):
+        to = at[todo]
+        common[todo] = np.minimum(common[todo], common[to])
+        at[todo] = np.where(common[todo] == 0, -1, at[to])
+        common[todo[at[todo] < 0]] = 0
+        done[todo] = (at[todo] < 0) | (doc[at[todo]] < doc[todo])
+    return common
+
+
+def previous_factor(doc: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest-previous-factor array in suffix order: for each suffix the longest prefix that a suffix of a smaller document has; 0 if that is under least.
 
     lcp[i] is what suffixes i - 1 and i have in common. The best match stands at the previous or the next position in suffix
-    order that holds a smaller document; a stack finds both with the smallest lcp in between.
+    order that holds a smaller document, with the smallest lcp in between.
     """
-    n, out = len(doc), np.zeros(len(doc), np.int64)
-    for order, gap in ((range(n), lambda i: lcp[i]), (range(n - 1, -1, -1), lambda i: lcp[i + 1] if i + 1 < n else 0)):
-        stack: list[list[int]] = []  # [document, smallest lcp to the entry below]
-        for i in order:
-            common = int(gap(i))
-            while stack and stack[-1][0] >= doc[i]:
-                common = min(common, stack.pop()[1])
-            if stack:
-                out[i] = max(out[i], common)
-            stack.append([int(doc[i]), common])
+    lcp = np.where(lcp >= least, lcp, 0)
+    lcp[:1] = 0
+    after = np.append(0, lcp[1:][::-1]) if len(lcp) else lcp
+    return np.maximum(_smaller_before(doc, lcp), _smaller_before(doc[::-1], after)[::-1])
+
+
+def _in_common(words: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """Bytes at the start that neighbours in a sorted list of suffixes have in common, given as big-endian words of so many bytes."""
+    n = len(words[0])
+    out, same = np.zeros(n, np.int64), np.append(False, np.ones(max(0, n - 1), bool))[:n]
+    for w, size in zip(words, sizes, strict=True):
+        x = np.zeros(n, np.uint64)
+        x[1:] = w[1:] ^ w[:-1]
+        equal = np.zeros(n, np.int64)
+        for k in range(1, size + 1):
+            equal += (x >> np.uint64(8 * (size - k))) == 0
+        out += np.where(same, equal, 0)
+        same &= x == 0
     return out
 
 
-def copied(doc: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """Windows, given as big-endian words, that a smaller document has too: whether the longest previous factor is a whole window.
-
-    Within the suffixes that share a window, ties are ordered by document, so the previous smaller position of one whose
-    document isn't the first is inside that range, and a next smaller one isn't needed.
-    """
+def copied(doc: np.ndarray, words: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """Suffixes of one length, given as big-endian words: whether the longest previous factor of each is the whole of it."""
     order = np.lexsort((doc, *reversed(words)))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for w in words:
-        x = w[order]
-        new[1:] |= x[1:] != x[:-1]
-    start = np.flatnonzero(new)
-    first = np.repeat(doc[order][start], np.diff(np.append(start, len(order))))
+    lcp = _in_common([w[order] for w in words], sizes)
     out = np.zeros(len(order), bool)
-    out[order] = doc[order] > first
+    out[order] = previous_factor(doc[order], lcp, sum(sizes)) >= sum(sizes)
     return out
 
 
@@ -163,11 +211,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65
     judged each on their own and never against each other. A null doc_id has no rank: its row stays whole and is no source.
     An empty table gives an empty result. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     ranked = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     total = ranked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = _prime(-(-total // SHARE))
+    tasks = -(-parts // 2)  # two parts a task, whatever the session's number of shuffle partitions
     tail = [8 * i for i in range(length // 8)]
 
     def anchors(batches):
@@ -224,7 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65
             yield _batch(2, _deal(d[several] % parts, lambda at: shared[at].tobytes()))  # noqa: B023
             yield _batch(5, _deal(d[many] % parts, lambda at: crowd[at].tobytes()))  # noqa: B023
 
-    held = saved(in_groups(ranked.select("doc_id", "text").mapInArrow(anchors, PART), ["part"], first_holder, PART), "held")
+    held = saved(in_groups(ranked.select("doc_id", "text").mapInArrow(anchors, PART), ["part"], first_holder, PART, parts=tasks), "held")
 
     # texts meet what was found about them: control rows sort before texts within a shard
     shard = F.pmod("doc_id", F.lit(parts).cast("long"))
@@ -284,7 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65
                 a, first, last, span = a[edge], first[edge], last[edge], span[edge]
                 yield _batch(4, _deal((a % np.uint64(parts)).astype(np.int64), context))
 
-    found = saved(in_groups(meet(held), ["part"], look, PART, order=["kind"]), "found")
+    found = saved(in_groups(meet(held), ["part"], look, PART, order=["kind"], parts=tasks), "found")
     discard(held)
 
     def suffixes(t, starts):
@@ -318,7 +367,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65
             words = [be[at + x] for x in tail]
             for x in range(len(tail) * 8, length):
                 words.append(padded[at + x])
-            hit = copied(span[which, 0], words)
+            hit = copied(span[which, 0], words, [8] * len(tail) + [1] * (length % 8))
             which, step = which[hit], step[hit]
             if not len(which):
                 continue
@@ -327,7 +376,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65
             out = np.stack([span[which[cut], 0], span[which[cut], 1], span[which[cut], 2] + step[cut], span[which[cut], 2] + step[end]], 1)
             yield _batch(3, _deal(out[:, 0] % parts, lambda at: out[at].tobytes()))  # noqa: B023
 
-    edges = saved(in_groups(found.where("kind = 4"), ["part"], suffixes, PART), "suffixes")
+    edges = saved(in_groups(found.where("kind = 4"), ["part"], suffixes, PART, parts=tasks), "suffixes")
 
     def remove(t, starts):
         for s, e in zip(starts[:-1], starts[1:], strict=True):
@@ -353,6 +402,6 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65
                 yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     shape = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    done = in_groups(meet(found.where("kind = 3").union(edges)), ["part"], remove, shape, order=["kind"])
+    done = in_groups(meet(found.where("kind = 3").union(edges)), ["part"], remove, shape, order=["kind"], parts=tasks)
     rest = rows.where(F.col("doc_id").isNull() | (F.octet_length("text") < length))
     return done.union(rest.select("doc_id", F.octet_length("text").cast("long"), F.lit(0).cast("long"), F.array().cast("array<struct<start:long,end:long>>"), F.encode("text", "utf-8")))

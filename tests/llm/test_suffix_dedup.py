@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from inferframe.llm.queries import llm_oracle_sql, llm_queries
-from inferframe.llm.suffix_dedup import copied, previous_factor, repeated_spans
+from inferframe.llm.suffix_dedup import _runs, copied, previous_factor, repeated_spans, runs
 from tests.comparing import connect, differences
 from tests.llm.tables import crowded, documents
 
@@ -94,7 +94,43 @@ def test_longest_previous_factors():
     want = [max([next((k for k in range(6) if t[k] != u[k]), 6) for u, e in zip(texts, doc, strict=True) if e < d], default=0) for t, d in zip(texts, doc, strict=True)]
     assert previous_factor(doc, lcp).tolist() == want
     words = [np.array([ord(t[k]) for t in texts], np.uint64) for k in range(6)]
-    assert copied(doc, words).tolist() == [w == 6 for w in want]
+    assert copied(doc, words, [1] * 6).tolist() == [w == 6 for w in want]
+    shuffled = np.array([rng.randrange(9) for _ in range(400)])
+    lcp = np.array([rng.randrange(4) for _ in shuffled])
+    lcp[0] = 0
+    for least in (1, 2):
+        cut = np.where(lcp >= least, lcp, 0)
+        best = [max([cut[min(i, j) + 1 : max(i, j) + 1].min() for j in range(400) if shuffled[j] < d], default=0) for i, d in enumerate(shuffled)]
+        assert previous_factor(shuffled, lcp, least).tolist() == best
+
+
+@pytest.mark.parametrize("window", [60, 97, 1 << 20])
+def test_runs_of_long_texts_in_parts(window):
+    """Each window of every text is in exactly one run, with the anchor that it has without parts."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("ab cd", k=n)).encode() for n in (0, 49, 50, 51, 400, 3, 120)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    want = {}
+    for d, first, last, a, _ in zip(*_runs(data, off, 50, 24), strict=True):
+        want.update({i: (d, a) for i in range(first, last + 1)})
+    got = {}
+    for d, first, last, a, _ in zip(*runs(data, off, 50, 24, window), strict=True):
+        for i in range(first, last + 1):
+            assert i not in got
+            got[i] = (d, a)
+    assert got == want
+
+
+def test_text_of_twenty_megabytes(spark):
+    passage = "a passage that two documents hold, far from the beginning of the longer one, over fifty bytes"
+    rng = random.Random(1)
+    unit = " ".join(f"w{rng.randrange(10**9)}" for _ in range(1000))
+    text = "".join(f"{i}{unit}" for i in range(2))
+    long = " ".join(str(i * 7919 % 10**9 + 10**8) for i in range(2_000_000))
+    rows = [(1, passage + text), (2, long[: len(long) // 2] + passage + long[len(long) // 2 :])]
+    got = {r["doc_id"]: r for r in repeated_spans(spark.createDataFrame(rows, SHAPE)).select("doc_id", "n_removed", "spans").collect()}
+    at = len(long) // 2
+    assert got[1]["n_removed"] == 0 and [(s["start"], s["end"]) for s in got[2]["spans"]] == [(at, at + len(passage))]
 
 
 def test_query_equals_sql(spark, sf):
