@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, ints, pieces, saved, text_bytes
+from .common import column, discard, documents, ints, pieces, saved, text_bytes
 from .shingles import SPACE, mix, words
 
 #: Marks that end a sentence; they don't count at the end of a unit.
 END = np.zeros(256, bool)
 END[[33, 46, 63]] = True
+SENTENCE = re.compile(rb"(?<=[.!?]) ")
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: A unit's place in its text: line * 2^31 + sentence + 1; sentence -1 is the whole line.
 LINE = 1 << 31
@@ -34,8 +37,9 @@ def _digests(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def units(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, two hashes) of the units of lower-cased texts that have min_words words.
 
-    Lines end at newlines, sentences also at ". ". A unit's normal form is its words, without the marks that end it; that
-    of a line is the words of its sentences, and a line counts as a unit of its own if two of its sentences have words.
+    Lines end at newlines, sentences also behind a mark (. ! ?) before a space. A unit's normal form is its words, without the marks that end it; that
+    of a line is the words of its sentences, and a line counts as a unit of its own if two of its sentences have words. A sentence of fewer words
+    is a unit together with the sentences before and behind it in its line (those that have words), if the three have min_words; its place is its own.
     """
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     if not len(data):
@@ -44,7 +48,7 @@ def units(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray
     text = np.zeros(len(data), bool)
     text[off[:-1][off[:-1] < off[1:]]] = True
     newline, dot = data == 10, np.zeros(len(data), bool)
-    dot[:-1] = (data[:-1] == 46) & (data[1:] == 32) & ~text[1:]
+    dot[:-1] = END[data[:-1]] & (data[1:] == 32) & ~text[1:]
     # blank the marks before each end
     first = text.copy()
     first[1:] |= newline[:-1]
@@ -81,25 +85,30 @@ def units(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray
             keep &= on
         h1, h2 = _digests(h, at)
         found.append((doc[at][keep], place[keep], h1[keep], h2[keep]))
+        if on is None:
+            size, line = np.diff(np.append(at, len(start))), lines[at]
+            mid = np.flatnonzero((size[1:-1] < min_words) & (line[1:-1] == line[:-2]) & (line[1:-1] == line[2:]) & (size[1:-1] + size[:-2] + size[2:] >= min_words)) + 1
+            three = [mix(mix(mix(x[mid - 1] ^ A) * B + x[mid]) * A + x[mid + 1]) for x in (h1, h2)]
+            found.append((doc[at][mid], place[mid], *three))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def without(raw: bytes, gone: set[int]) -> tuple[bytes, list[dict]]:
-    """A text without the units at these places, and their spans; a line of which nothing stays goes with its newline."""
+    """A text without the units at these places, and their spans; a line of which nothing stays goes with its newline, a sentence with the space before it."""
     kept, spans, at = [], [], 0
     for n, line in enumerate(raw.split(b"\n")):
         if n * LINE in gone:
             spans.append({"start": at, "end": at + len(line)})
         else:
-            parts, stay, x = line.split(b". "), [], at
+            parts, stay, x = SENTENCE.split(line), [], at
             for k, part in enumerate(parts):
                 if n * LINE + k + 1 in gone:
                     spans.append({"start": x, "end": x + len(part)})
                 else:
                     stay.append(part)
-                x += len(part) + 2
+                x += len(part) + 1
             if stay:
-                kept.append(b". ".join(stay))
+                kept.append(b" ".join(stay))
         at += len(line) + 1
     return b"\n".join(kept), spans
 
@@ -107,18 +116,19 @@ def without(raw: bytes, gone: set[int]) -> tuple[bytes, list[dict]]:
 def repeated_units(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """Drop lines, and sentences within lines, that occurred before, in rank order (doc_id, line, sentence; a line ranks before its sentences).
 
-    Units are lines; a line of several sentences also has each sentence as a unit, as shared passages often stand inside a line. A
+    Units are lines; a line of several sentences also has each sentence as a unit, as shared passages often stand inside a line, and a short
+    sentence goes where it stands between the same two sentences as before. A
     unit is normalised (lower case, white space and the marks at its end don't count) and hashed to 128 bits; units of fewer than
-    min_words words are never dropped. Digests are counted globally, with partial counts before the shuffle; only units whose digest repeats
+    min_words words are never dropped by themselves. Digests are counted globally, with partial counts before the shuffle; only units whose digest repeats
     are ranked, again by a pre-aggregated minimum, over joins that Spark may split where one unit is in very many documents.
 
     Returns, per row, doc_id, text, n_bytes, n_removed (bytes by which the text shrinks), spans array<struct<start long, end
-    long>> (removed units, offsets in the original UTF-8 bytes) and kept (what stays: lines joined by newlines, sentences by ". "). A null or empty text
+    long>> (removed units, offsets in the original UTF-8 bytes) and kept (what stays: lines joined by newlines, sentences by spaces). A null or empty text
     has no units. Repeated rows (same doc_id and text) share their ranks, so none of them loses the copy that is kept; rows with the same
     doc_id and different texts are ranked by a hash. A null doc_id has no rank: its row stays whole and is no source. An empty table gives
     an empty result. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents(docs)
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
 
     def found(batches):

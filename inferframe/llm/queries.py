@@ -113,12 +113,18 @@ FROM (SELECT documents.*, n.n_copies, unnest(range(1, n.n_copies + 1))::INT AS c
 
 OP7 = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-s AS (SELECT doc_id, i, line, string_split(line, '. ') AS parts,
-  list_transform(string_split(line, '. '), lambda x: rtrim(trim(regexp_replace(lower(x), '[\x09-\x0D\x20]+', ' ', 'g'), ' '), '.!? ')) AS norms FROM l),
-u AS (SELECT doc_id, i, -1 AS j, line AS part, array_to_string(list_filter(norms, lambda x: x <> ''), ' ') AS norm FROM s WHERE len(list_filter(norms, lambda x: x <> '')) > 1
-  UNION ALL SELECT doc_id, i, generate_subscripts(parts, 1) - 1 AS j, unnest(parts) AS part, unnest(norms) AS norm FROM s),
-r AS (SELECT *, len(norm) > 0 AND len(string_split(norm, ' ')) >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i, j) > 1 AS gone FROM u),
-g AS (SELECT doc_id, i, bool_or(gone AND j = -1) AS whole, string_agg(part, '. ' ORDER BY j) FILTER (WHERE j >= 0 AND NOT gone) AS kept, count(*) FILTER (WHERE gone AND j >= 0) AS n FROM r GROUP BY doc_id, i),
+s AS (SELECT doc_id, i, line, string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(1) || chr(2), 'g'), chr(1) || chr(2)) AS parts FROM l),
+v AS (SELECT *, list_transform(parts, lambda x: rtrim(trim(regexp_replace(lower(x), '[\x09-\x0D\x20]+', ' ', 'g'), ' '), '.!? ')) AS norms FROM s),
+p AS (SELECT doc_id, i, generate_subscripts(parts, 1) - 1 AS j, unnest(parts) AS part, unnest(norms) AS norm FROM v),
+w AS (SELECT *, len(string_split(norm, ' ')) AS n FROM p WHERE norm <> ''),
+m AS (SELECT *, lag(norm) OVER g AS before, lead(norm) OVER g AS behind, n + lag(n) OVER g + lead(n) OVER g AS three FROM w WINDOW g AS (PARTITION BY doc_id, i ORDER BY j)),
+u AS (SELECT doc_id, i, -1 AS j, array_to_string(list_filter(norms, lambda x: x <> ''), ' ') AS norm FROM v WHERE len(list_filter(norms, lambda x: x <> '')) > 1
+  UNION ALL SELECT doc_id, i, j, norm FROM w
+  UNION ALL SELECT doc_id, i, j, chr(3) || ' ' || before || ' ' || chr(3) || ' ' || norm || ' ' || chr(3) || ' ' || behind FROM m WHERE n < 5 AND three >= 5),
+r AS (SELECT doc_id, i, j, len(string_split(norm, ' ')) >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i, j) > 1 AS gone FROM u),
+o AS (SELECT doc_id, i, j, bool_or(gone) AS gone FROM r GROUP BY doc_id, i, j),
+g AS (SELECT p.doc_id, p.i, coalesce(bool_or(whole.gone), false) AS whole, string_agg(p.part, ' ' ORDER BY p.j) FILTER (WHERE NOT coalesce(o.gone, false)) AS kept, count(*) FILTER (WHERE o.gone) AS n
+  FROM p LEFT JOIN o ON p.doc_id = o.doc_id AND p.i = o.i AND p.j = o.j LEFT JOIN o AS whole ON p.doc_id = whole.doc_id AND p.i = whole.i AND whole.j = -1 GROUP BY p.doc_id, p.i),
 t AS (SELECT doc_id, coalesce(string_agg(kept, chr(10) ORDER BY i) FILTER (WHERE NOT whole AND kept IS NOT NULL), '') AS kept, sum(CASE WHEN whole THEN 1 ELSE n END) AS n FROM g GROUP BY doc_id)
 SELECT d.doc_id, octet_length(encode(coalesce(d.text, '')))::BIGINT AS n_bytes,
   (octet_length(encode(coalesce(d.text, ''))) - octet_length(encode(coalesce(t.kept, ''))))::BIGINT AS n_removed,

@@ -19,8 +19,8 @@ def brute(rows, least=5):
     """Kept texts of rows with distinct ids."""
     seen, out = set(), {}
 
-    def gone(x):
-        if len(x.split(" ")) < least or not x:
+    def gone(x, words):
+        if words < least:
             return False
         again = x in seen
         seen.add(x)
@@ -29,13 +29,18 @@ def brute(rows, least=5):
     for i, text in sorted(rows):
         lines = []
         for line in (text or "").split("\n"):
-            parts = line.split(". ")
+            parts = re.split(r"(?<=[.!?]) ", line)
             norms = [norm(p) for p in parts]
-            full = [x for x in norms if x]
-            whole = len(full) > 1 and gone(" ".join(full))
-            stay = [p for p, x in zip(parts, norms, strict=True) if not gone(x)]
+            full = [k for k, x in enumerate(norms) if x]
+            n = [len(x.split(" ")) if x else 0 for x in norms]
+            whole = len(full) > 1 and gone(" ".join(norms[k] for k in full), sum(n))
+            drop = {k for k in full if gone(norms[k], n[k])}
+            for a, k, b in zip(full, full[1:], full[2:], strict=False):
+                if n[k] < least and gone((norms[a], norms[k], norms[b]), n[a] + n[k] + n[b]):
+                    drop.add(k)
+            stay = [p for k, p in enumerate(parts) if k not in drop]
             if not whole and stay:
-                lines.append(". ".join(stay))
+                lines.append(" ".join(stay))
         out[i] = "\n".join(lines)
     return out
 
@@ -43,14 +48,14 @@ def brute(rows, least=5):
 def test_brute_force(spark):
     rng = random.Random(4)
     sentences = [" ".join(rng.choices(["a", "bb", "Ccc", "dd", "É", "e!", "f?"], k=rng.randint(1, 8))) + rng.choice(["", ".", "!?", " ..", "  "]) for _ in range(60)]
-    rows = [(i, "\n".join(rng.choice([". ", ".  ", " "]).join(rng.choices(sentences, k=rng.randint(0, 4))) for _ in range(rng.randint(0, 5)))) for i in rng.sample(range(1000), 80)]
+    rows = [(i, "\n".join(rng.choice([". ", ".  ", " ", "! ", "?! "]).join(rng.choices(sentences, k=rng.randint(0, 4))) for _ in range(rng.randint(0, 5)))) for i in rng.sample(range(1000), 80)]
     got = {r["doc_id"]: r for r in repeated_units(spark.createDataFrame(rows, SHAPE)).collect()}
     want = brute(rows)
     assert {i: r["kept"] for i, r in got.items()} == want
     assert all(r["n_removed"] == len(r["text"].encode()) - len(want[i].encode()) for i, r in got.items())
     for r in got.values():
         for s in r["spans"]:
-            assert 5 <= len(norm(r["text"].encode()[s["start"] : s["end"]].decode()).split(" "))
+            assert norm(r["text"].encode()[s["start"] : s["end"]].decode())
 
 
 def test_passage_inside_a_line(spark):
@@ -59,7 +64,14 @@ def test_passage_inside_a_line(spark):
     got = {r["doc_id"]: r for r in repeated_units(spark.createDataFrame(rows, SHAPE)).collect()}
     assert got[1]["n_removed"] == 0 and got[2]["kept"] == "Another one says that it began as a quiet day. They walked out on the stones and wept. The end."
     s = got[2]["spans"][0]
-    assert rows[1][1].encode()[s["start"] : s["end"]] == b"Nobody in the village had seen the river so low before"
+    assert rows[1][1].encode()[s["start"] : s["end"]] == b"Nobody in the village had seen the river so low before."
+
+
+def test_short_sentences_between_repeated_ones_go(spark):
+    passage = "Nobody in the village had seen it so low! Not once. They all walked out on the wet stones? Yes. The old bridge was dry for a week."
+    rows = [(1, "One begins. " + passage + " One ends."), (2, "Two begins. " + passage + " Two ends."), (3, "Not once. Yes.")]
+    got = {r["doc_id"]: r for r in repeated_units(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got[2]["kept"] == "Two begins. Two ends." and got[3]["n_removed"] == 0 == got[1]["n_removed"] and len(got[2]["spans"]) == 5
 
 
 def test_odd_rows(spark):
