@@ -7,9 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import column, distinct, held_out, labelled_sample, pieces, text_bytes
+from .common import column, distinct, documents, held_out, labelled_sample, pieces, text_bytes
 from .shingles import LOWER
 from .suffix_dedup import gram_hashes
 
@@ -47,13 +46,24 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _instances(data, off, weights):
-    """Sentence starts, the document of each, and the distinct (sentence, gram) pairs whose gram has a weight."""
+def _instances(data, off, weights, window: int = 1 << 20):
+    """Sentence starts, the document of each, and the distinct (sentence, gram) pairs whose gram has a weight.
+
+    Sentences are hashed in runs of about window bytes, so that only the pairs of a very long text take memory beside it.
+    """
     start = sentences(data, off)
-    at, h = grams(data, off)
-    hit = weights[h] != 0
-    s = np.searchsorted(start, at[hit], "right") - 1
-    pair = distinct((s << BITS) | h[hit])
+    pairs, lo = [np.zeros(0, np.int64)], 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + window)))
+        a, e = int(start[lo]), int(start[hi]) if hi < len(start) else len(data)
+        part = data[a : e + 4]  # a gram belongs to the sentence in which it begins
+        inner = off[np.searchsorted(off, a, "right") : np.searchsorted(off, a + len(part))] - a
+        at, h = grams(part, np.concatenate([[0], inner, [len(part)]]))
+        hit = (weights[h] != 0) & (at < e - a)
+        s = np.searchsorted(start, at[hit] + a, "right") - 1
+        pairs.append(distinct((s << BITS) | h[hit]))
+        lo = hi
+    pair = np.concatenate(pairs)
     return start, np.searchsorted(off, start, "right") - 1, pair >> BITS, pair & ((1 << BITS) - 1)
 
 
@@ -151,5 +161,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(total), pa.array((total >= threshold).astype(np.int32)), pa.array(found, kind)], ["doc_id", "score", "predicted", "sentences"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, sentences array<struct<start:long,end:long,score:double>>")
+    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int, sentences array<struct<start:long,end:long,score:double>>")

@@ -167,6 +167,16 @@ def test_noisy_or_by_brute_force(spark):
         assert abs(rows[r["doc_id"]]["score"] - (1 - none)) < 1e-6
 
 
+@pytest.mark.parametrize("window", [1, 9, 50])
+def test_sentences_in_windows(window):
+    rng = np.random.default_rng(2)
+    raw = ["".join(rng.choice(list("ab. !"), n)).encode() for n in (0, 3, 60, 0, 4, 5, 200)]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw]))
+    weights = np.ones(1 << toxicity.BITS, np.float32)
+    for got, want in zip(toxicity._instances(data, off, weights, window), toxicity._instances(data, off, weights), strict=True):
+        assert np.array_equal(got, want)
+
+
 def test_a_sample_is_bounded_by_bytes(spark):
     docs = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(1, 21)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id long, toxic int")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from inferframe.llm import common
 from inferframe.llm.minhash_dedup import Settings, fewest_matches, near_duplicates
 from inferframe.llm.queries import llm_oracle_sql, llm_queries
 from tests.comparing import connect, differences
@@ -77,6 +78,49 @@ def test_bounds_prune_only_the_improbable():
         assert 0 <= fewest < 0.8 * n
 
 
+def test_recall_of_planted_pairs_near_the_threshold(spark):
+    """1,000 pairs of similarity 0.80 to 0.82 among 2,000 documents: all are linked."""
+    rng, rows, want = random.Random(12), [], 0
+    for i in range(1000):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        b = list(a)
+        for k in rng.sample(range(0, 200, 10), rng.choice([9, 10])):  # each change takes five shingles of each side at most
+            b[k] = f"x{rng.randrange(10**6)}"
+        s, t = shingles(" ".join(a), 2), shingles(" ".join(b), 2)
+        for _ in range(20):
+            if len(s & t) / len(s | t) <= 0.82:
+                break
+            b[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+            t = shingles(" ".join(b), 2)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        want += 0.8 <= len(s & t) / len(s | t) <= 0.82
+    got = near_duplicates(spark.createDataFrame(rows, SHAPE), Settings(words=2)).where("not kept and component_id = doc_id - 1").count()
+    linked = sum(100 * len(a & b) >= 80 * len(a | b) for a, b in ((shingles(rows[i][1], 2), shingles(rows[i + 1][1], 2)) for i in range(0, 2000, 2)))
+    assert want > 300 and got == linked
+
+
+@pytest.mark.parametrize("n", [60, 400])
+def test_components_by_star_rounds(spark, monkeypatch, n):
+    """Beyond the bound for one task: the rounds on the cluster give what union-find gives."""
+    monkeypatch.setattr(common, "ONE_TASK_EDGES", 0)
+    rng = random.Random(n)
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n * 2 // 3)] + [(1000 + i, 1001 + i) for i in range(12)] + [(-5, 2000 + i) for i in range(30)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got.get(x, x) == c for x, c in low.items())
+
+
+def test_text_of_twenty_megabytes(spark):
+    text = " ".join(f"w{i * 7919 % 10**7}" for i in range(2_300_000))
+    rows = [(1, text), (2, text + " end"), (3, "short")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, SHAPE).repartition(3)).collect()}
+    n = len({tuple(x) for x in zip(*[text.split()[k:] for k in range(5)], strict=False)})
+    assert got == {1: (n, 1), 2: (n + 1, 1), 3: (1, 3)}
+
+
 def test_query_equals_sql(spark, sf):
     name = "op9_minhash_near_dedup"
     assert differences(llm_queries()[name](spark, sf), llm_oracle_sql()[name], connect(sf)) == ""
