@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,8 @@ from . import components, config, registry
 from .client import infer
 from .plans.pipeline import Pipeline
 from .sources import files, mock, servers
+from .streaming.progress import TaskProgress
+from .work import shared_dir
 
 log = logging.getLogger("inferframe")
 
@@ -50,7 +51,7 @@ def overrides(args: argparse.Namespace) -> dict:
 def pipeline(spark: SparkSession, c: config.Config, model: Callable[[DataFrame], DataFrame] | None = None) -> Pipeline:
     """The pipeline of a configuration; model stands in for the servers."""
     r = c.runner
-    requests = registry.get("source", c.loader["class"])(spark, c.loader["params"])
+    requests = registry.get("source", c.loader["class"])(spark, {"image_encode_workers": r.image_encode_workers} | c.loader["params"])
     sink = registry.get("sink", c.saver["class"])(c.saver["params"], c.loader["params"])
     options = dict(r.adapter_params)
     if key := options.pop("api_key", None):
@@ -67,8 +68,8 @@ def pipeline(spark: SparkSession, c: config.Config, model: Callable[[DataFrame],
 
     path = c.saver["params"].get("output_dir") or (components.output_path(c.saver["params"], c.loader["params"]) if "output_path" in c.saver["params"] else None)
     done = files.completed(spark, path, components.FORMATS[c.saver["class"]]) if r.resume and path and c.saver["class"] in components.FORMATS else None
-    work = r.work_dir or (f"{path}.work" if path else f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='inferframe-')}/{spark.sparkContext.applicationId}.work")
-    return Pipeline(requests, model, sink, work, done, r.resume)
+    work = r.work_dir or (f"{path}.work" if path else f"{shared_dir(spark)}/job.work")
+    return Pipeline(requests, model, sink, work, done, r.resume, backend=r.resume_backend)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -77,8 +78,10 @@ def main(argv: list[str] | None = None) -> int:
         c = config.load(args.config, overrides(args))
         config.set_up_logging(c.logging | ({"level": "DEBUG"} if args.verbose else {}))
         spark = SparkSession.builder.appName("inferframe").config("spark.speculation", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        s = pipeline(spark, c, (lambda df: mock.complete(df, c.runner.rollout_n)) if args.mock else None).run()
-        log.info("total %(total)s, completed %(completed)s, failed %(failed)s, retried %(retried)s, tokens %(total_tokens)s", s)
+        job = pipeline(spark, c, (lambda df: mock.complete(df, c.runner.rollout_n)) if args.mock else None)
+        with TaskProgress(spark, c.runner.progress_report_interval, lambda done, tasks: log.info("%s of %s tasks done", done, tasks)):
+            s = job.run()
+        log.info("total %(total)s, skipped %(skipped)s, completed %(completed)s, failed %(failed)s, retried %(retried)s, tokens %(total_tokens)s", s)
         return 0
     except Exception as e:  # the exit code is all that a caller sees
         log.error("%s: %s", type(e).__name__, e, exc_info=args.verbose)

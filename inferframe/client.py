@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import http.client
 import json
+import ssl
 import threading
 import time
-import urllib.error
+import urllib.parse
 import urllib.request
-from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -29,7 +30,11 @@ CARRIED = "additional_data string, source_file string, source_dir string, line_n
 
 @dataclass(frozen=True)
 class ClientSettings:
-    """concurrency counts requests in flight in one task; the limits of the policy hold for a task, too."""
+    """concurrency counts requests in flight in one task; the limits of the policy hold for a task, too.
+
+    prefetch: requests read ahead of those in flight; batch and flush: rows, and seconds without a further answer, after which answers go on to
+    the sink's side; connections and keepalive: open and idle connections of a task.
+    """
 
     concurrency: int = 10
     max_retries: int = 3
@@ -39,6 +44,77 @@ class ClientSettings:
     health_interval: float = 30.0
     health_timeout: float = 5.0
     policy: Policy = field(default_factory=Policy)
+    health_workers: int = 32
+    prefetch: int = 100
+    batch: int = 100
+    flush: float = 0.1
+    connections: int = 4096
+    keepalive: int = 1000
+
+
+class Connections:
+    """HTTP/1.1 connections of one task, kept open and shared by its threads: at most `most` open at once, at most `idle` of them kept."""
+
+    def __init__(self, most: int = 4096, idle: int = 1000):
+        self.most, self.idle = max(1, most), max(0, idle)
+        self.slots, self.lock, self.free = threading.BoundedSemaphore(self.most), threading.Lock(), {}
+        self.kept = self.opened = 0
+
+    def _take(self, key: tuple[str, str], timeout: float) -> tuple[http.client.HTTPConnection, bool]:
+        with self.lock:
+            if own := self.free.get(key):
+                self.kept -= 1
+                c = own.pop()
+                if c.sock is not None:
+                    c.sock.settimeout(timeout)
+                return c, True
+            self.opened += 1
+        if key[0] == "https":
+            return http.client.HTTPSConnection(key[1], timeout=timeout, context=ssl.create_default_context()), False
+        return http.client.HTTPConnection(key[1], timeout=timeout), False
+
+    def _give(self, key: tuple[str, str], c: http.client.HTTPConnection) -> None:
+        with self.lock:
+            if self.kept < self.idle:
+                self.free.setdefault(key, []).append(c)
+                self.kept += 1
+                return
+        c.close()
+
+    def post(self, url: str, body: bytes, timeout: float, headers: tuple[tuple[str, str], ...] = ()) -> dict:
+        """One POST of JSON; any status that isn't a success is an error. A kept connection that the server has closed meanwhile is replaced."""
+        u = urllib.parse.urlsplit(url)
+        key, target = (u.scheme, u.netloc), urllib.parse.urlunsplit(("", "", u.path or "/", u.query, ""))
+        with self.slots:
+            while True:
+                c, used = self._take(key, timeout)
+                try:
+                    c.request("POST", target, body, {"Content-Type": "application/json", **dict(headers)})
+                    r = c.getresponse()
+                    got = r.read()
+                except (http.client.RemoteDisconnected, ConnectionResetError, BrokenPipeError):
+                    c.close()
+                    if used:
+                        continue
+                    raise
+                except BaseException:
+                    c.close()
+                    raise
+                if r.will_close:
+                    c.close()
+                else:
+                    self._give(key, c)
+                if not 200 <= r.status < 300:
+                    raise OSError(f"HTTP Error {r.status}: {r.reason}")
+                return json.loads(got or b"{}")
+
+    def close(self) -> None:
+        with self.lock:
+            for own in self.free.values():
+                for c in own:
+                    c.close()
+            self.free.clear()
+            self.kept = 0
 
 
 def post(url: str, body: bytes, timeout: float, headers: tuple[tuple[str, str], ...] = ()) -> dict:
@@ -56,28 +132,41 @@ def probe(url: str, timeout: float = 5.0) -> bool:
         return False
 
 
-def check_all(servers: list[Server], adapter: Adapter, max_failures: int = 5, timeout: float = 5.0, workers: int = 32) -> list[str]:
-    """Probe all servers at once; names of those whose state changed."""
+#: What this process knows of servers: when each health URL was probed last, and how it answered. Tasks that follow each other in a worker share it.
+_probes: dict[str, tuple[float, bool]] = {}
+
+
+def probed(url: str, timeout: float, fresh: float) -> bool:
+    """The answer of a probe, or that of the last one if it isn't older than fresh seconds."""
+    known = _probes.get(url)
+    if known is None or time.monotonic() - known[0] >= fresh:
+        known = _probes[url] = (time.monotonic(), probe(url, timeout))
+    return known[1]
+
+
+def check_all(servers: list[Server], adapter: Adapter, max_failures: int = 5, timeout: float = 5.0, workers: int = 32, fresh: float = 0.0) -> list[str]:
+    """Probe all servers at once; names of those whose state changed. Answers younger than fresh seconds aren't asked for again."""
     with ThreadPoolExecutor(min(workers, max(1, len(servers)))) as pool:
-        results = list(pool.map(lambda s: probe(adapter.health_url(s.url), timeout), servers))
+        results = list(pool.map(lambda s: probed(adapter.health_url(s.url), timeout, fresh), servers))
     return [s.name for s, ok in zip(servers, results, strict=True) if s.probed(ok, max_failures)]
 
 
 class Session:
     """Requests of one task: a router behind a lock, and a thread that probes servers if an interval is set."""
 
-    def __init__(self, servers: list[tuple[str, str]], settings: ClientSettings, adapter: Adapter, send: Callable[..., dict] = post, sleep: Callable[[float], None] = time.sleep):
-        self.settings, self.adapter, self.send, self.sleep = settings, adapter, send, sleep
+    def __init__(self, servers: list[tuple[str, str]], settings: ClientSettings, adapter: Adapter, send: Callable[..., dict] | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.connections = Connections(settings.connections, settings.keepalive)
+        self.settings, self.adapter, self.send, self.sleep = settings, adapter, send or self.connections.post, sleep
         self.router, self.lock, self.stopped = Router([Server(n, u) for n, u in servers], settings.policy), threading.Lock(), threading.Event()
         if settings.health_interval > 0 and servers:
-            check_all(self.router.servers, adapter, settings.max_failures, settings.health_timeout)
+            check_all(self.router.servers, adapter, settings.max_failures, settings.health_timeout, settings.health_workers, settings.health_interval)
             threading.Thread(target=self._watch, daemon=True).start()
 
     def _watch(self) -> None:
         while not self.stopped.wait(self.settings.health_interval):
-            if check_all(self.router.servers, self.adapter, self.settings.max_failures, self.settings.health_timeout):
+            if check_all(self.router.servers, self.adapter, self.settings.max_failures, self.settings.health_timeout, self.settings.health_workers):
                 with self.lock:
-                    self.router.turn = 0
+                    self.router.changed()
 
     def ask(self, body: str, amount: float) -> tuple[str | None, str | None, list[dict]]:
         """(answer as JSON, error, tries): up to max_retries + 1 tries, each at a server not tried before while there is one."""
@@ -110,27 +199,39 @@ class Session:
 
     def close(self) -> None:
         self.stopped.set()
+        self.connections.close()
 
 
-def _in_flight(items: Iterator, work: Callable, n: int) -> Iterator:
-    """Results in the order of items, with n of them in work at a time and no more read ahead."""
+def _in_flight(items: Iterator, work: Callable, n: int, prefetch: int = 0, flush: float | None = None) -> Iterator:
+    """Results as they come, with n items in work at a time: a slot is filled again as soon as any of them is done. Up to prefetch more items
+    are read ahead. None stands for flush seconds without a result."""
     with ThreadPoolExecutor(n) as pool:
-        queue: deque = deque()
-        for x in items:
-            queue.append((x, pool.submit(work, x)))
-            if len(queue) >= n:
-                x, f = queue.popleft()
-                yield x, f.result()
-        while queue:
-            x, f = queue.popleft()
-            yield x, f.result()
-
-
-def infer(requests: DataFrame, servers: list[tuple[str, str]], settings: ClientSettings = ClientSettings(), adapter: Adapter = OpenAIAdapter(), model: str = "default", temperature: float = 0.7, max_tokens: int = 1000, rollout_n: int = 1, system_prompt: str = "", top_p: float = 1.0, frequency_penalty: float = 0.0, presence_penalty: float = 0.0, send: Callable[..., dict] = post) -> DataFrame:
+        running: dict[Future, object] = {}
+        ended = False
+        while True:
+            while not ended and len(running) < n + prefetch:  # the pool has n threads; those beyond wait in its queue
+                try:
+                    x = next(items)
+                except StopIteration:
+                    ended = True
+                    break
+                running[pool.submit(work, x)] = x
+                if any(f.done() for f in running) and len(running) >= n:
+                    break  # answers go on before more is read
+            if not running:
+                return
+            done = wait(running, flush, FIRST_COMPLETED).done
+            if not done:
+                yield None
+            for f in done:
+                yield running.pop(f), f.result()
+
+
+def infer(requests: DataFrame, servers: list[tuple[str, str]], settings: ClientSettings = ClientSettings(), adapter: Adapter = OpenAIAdapter(), model: str = "default", temperature: float = 0.7, max_tokens: int = 1000, rollout_n: int = 1, system_prompt: str = "", top_p: float = 1.0, frequency_penalty: float = 0.0, presence_penalty: float = 0.0, send: Callable[..., dict] | None = None) -> DataFrame:
     """Answers of model servers to schema.REQUEST rows: schema.RESULT, a row for each request, failed ones with an error.
 
     servers: (name, base URL) pairs. Payloads and costs are columns, built before the stage; only the exchange itself is
-    Python. A task keeps `concurrency` requests in flight. Spark may run a task again, so a request can be sent more than once;
+    Python. A task keeps `concurrency` requests in flight over kept connections, and passes answers on in batches, in the order in which they come. Spark may run a task again, so a request can be sent more than once;
     results are made durable by the sink and deduplicated by request_id. Speculation must be off for this stage.
     """
     if rollout_n < 1:
@@ -150,9 +251,10 @@ def infer(requests: DataFrame, servers: list[tuple[str, str]], settings: ClientS
                         yield r
 
             held = []
-            for r, (answer, error, log) in _in_flight(each(), lambda r: session.ask(r["payload"], r["amount"]), settings.concurrency):
-                held.append((r, answer, error, log))
-                if len(held) >= 100:
+            for got in _in_flight(each(), lambda r: session.ask(r["payload"], r["amount"]), settings.concurrency, settings.prefetch, settings.flush):
+                if got is not None:
+                    held.append((got[0], *got[1]))
+                if held and (got is None or len(held) >= settings.batch):
                     yield _batch(held)
                     held = []
             if held:

@@ -27,16 +27,20 @@ def _chunk(p: dict) -> dict:
     return {"num_chunks": p.get("num_chunks", 1), "chunk_index": p.get("chunk_index", 0)}
 
 
+def _parse(p: dict):
+    return p["hooks"].parse_line if p.get("hooks") else None
+
+
 def _built(items: DataFrame, p: dict, multimodal: bool = False, **more) -> DataFrame:
     f = _fields(p, multimodal, **more)
     requests = normalize.requests(items, f, p.get("hooks") or normalize.Hooks())
-    return images.encoded(requests, f.image_base) if f.encode_images else requests
+    return images.encoded(requests, f.image_base, p.get("image_encode_workers", 4)) if f.encode_images else requests
 
 
 @register_source("JSONLDataLoader")
 def jsonl(spark: SparkSession, p: dict, multimodal: bool = False) -> DataFrame:
     mode = "PERMISSIVE" if p.get("streaming", True) else "FAILFAST"
-    return _built(files.jsonl(spark, p["file_path"], mode, p.get("id_field", "id"), **_chunk(p)), p, multimodal)
+    return _built(files.jsonl(spark, p["file_path"], mode, p.get("id_field", "id"), _parse(p), **_chunk(p)), p, multimodal)
 
 
 @register_source("JSONDataLoader")
@@ -58,7 +62,12 @@ def prompt_list(spark: SparkSession, p: dict) -> DataFrame:
 
 @register_source("DirectoryJSONLDataLoader")
 def directory(spark: SparkSession, p: dict, multimodal: bool = False) -> DataFrame:
-    return _built(files.directory_jsonl(spark, p["input_dir"], p.get("file_pattern", "conv.jsonl"), p.get("recursive", True), p.get("id_field", "id"), **_chunk(p)), p | ({} if not multimodal or p.get("image_base_dir") else {"image_base_dir": None}), multimodal)
+    return _built(files.directory_jsonl(spark, p["input_dir"], p.get("file_pattern", "conv.jsonl"), p.get("recursive", True), p.get("id_field", "id"), _parse(p), **_chunk(p)), p | ({} if not multimodal or p.get("image_base_dir") else {"image_base_dir": None}), multimodal)
+
+
+@register_source("ChatHistoryLoader")
+def histories(spark: SparkSession, p: dict) -> DataFrame:
+    return files.histories(spark, p["file_path"], p.get("system_prompt"))
 
 
 @register_source("TextLinesLoader")
@@ -80,24 +89,24 @@ def multimodal_json(spark: SparkSession, p: dict) -> DataFrame:
 def multimodal_directory(spark: SparkSession, p: dict) -> DataFrame:
     from pyspark.sql import functions as F
 
-    items = files.directory_jsonl(spark, p["input_dir"], p.get("file_pattern", "conv.jsonl"), p.get("recursive", True), p.get("id_field", "id"), **_chunk(p))
+    items = files.directory_jsonl(spark, p["input_dir"], p.get("file_pattern", "conv.jsonl"), p.get("recursive", True), p.get("id_field", "id"), _parse(p), **_chunk(p))
     f = _fields(p, True)
     requests = normalize.requests(items, f, p.get("hooks") or normalize.Hooks())
     if not f.encode_images:
         return requests
     if f.image_base is not None:
-        return images.encoded(requests, f.image_base)
+        return images.encoded(requests, f.image_base, p.get("image_encode_workers", 4))
     # images lie beside the file of their row
     root = files.absolute(spark, p["input_dir"]).rstrip("/")
     placed = requests.withColumn("_dir", F.col("source_dir")).withColumn("source_dir", F.concat_ws("/", F.lit(root), F.nullif("source_dir", F.lit(""))))
-    return images.encoded(placed).withColumn("source_dir", F.col("_dir")).drop("_dir")
+    return images.encoded(placed, workers=p.get("image_encode_workers", 4)).withColumn("source_dir", F.col("_dir")).drop("_dir")
 
 
 Sink = Callable[[DataFrame], None]
 
 
 def _shape(p: dict) -> dict:
-    return {"projection": p.get("output_projection", "full"), "fields": p.get("output_fields"), "timestamp": p.get("include_timestamp")}
+    return {"projection": p.get("output_projection", "full"), "fields": p.get("output_fields"), "timestamp": p.get("include_timestamp"), "form": p.get("form")}
 
 
 def output_path(p: dict, loader: dict) -> str:

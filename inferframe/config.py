@@ -15,8 +15,11 @@ from .operators.routing import Policy
 
 @dataclass(frozen=True)
 class Runner:
-    """Settings of a run. Those of queues, workers and connections shape a single process elsewhere; here partitions and tasks
-    take their place, and they are accepted so that configurations stay valid."""
+    """Settings of a run. Names and defaults are fixed values, so that configurations stay valid.
+
+    Four have no effect, as Spark's tasks take their place: http2 (connections are HTTP/1.1, kept open), writer_queue_size, writer_workers
+    and streaming (a source is always read lazily; a JSONL source reads its own streaming parameter).
+    """
 
     max_concurrency: int = 10
     max_retries: int = 3
@@ -74,7 +77,8 @@ class Runner:
         p = self.policy()
         if tasks > 1:
             p = Policy(p.strategy, p.allow_fallback, p.threshold, p.window, -(-p.max_active // tasks) if p.max_active > 0 else 0, p.sample, p.max_cost / tasks)
-        return ClientSettings(-(-self.max_concurrency // tasks), self.max_retries, self.retry_delay, self.request_timeout, self.max_failures, self.health_check_interval, self.health_check_timeout, p)
+        return ClientSettings(-(-self.max_concurrency // tasks), self.max_retries, self.retry_delay, self.request_timeout, self.max_failures, self.health_check_interval, self.health_check_timeout, p,
+                              self.health_check_concurrency, -(-self.producer_prefetch // tasks), self.writer_batch_size, self.writer_flush_interval_ms / 1000, -(-self.http_max_connections // tasks), -(-self.http_max_keepalive_connections // tasks))
 
 
 @dataclass

@@ -20,6 +20,19 @@ def with_index(df: DataFrame, group: Column, order: list[str], name: str = "idx"
     return numbered.join(before, F.col("_group") == F.col("_g")).withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_group", "_g", "_before", "_at")
 
 
+def running_total(df: DataFrame, key: str, group: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Add the sum of value over the rows of the same key before each row (0 at the first), in the order of (group, order).
+
+    As in with_index, group cuts a key's rows into runs of bounded size, and only one row for each run enters the sums over all of them.
+    """
+    g = df.withColumn("_value", value).withColumn("_group", group)
+    sums = g.groupBy(F.col(key).alias("_k"), F.col("_group").alias("_g")).agg(F.sum("_value").alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy("_k").orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    own = F.coalesce(F.sum("_value").over(W.partitionBy(key, "_group").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = g.withColumn("_own", own).join(before, F.col(key).eqNullSafe(F.col("_k")) & F.col("_group").eqNullSafe(F.col("_g")))
+    return out.withColumn(name, F.col("_before") + F.col("_own")).drop("_value", "_group", "_k", "_g", "_before", "_own")
+
+
 def with_line_index(df: DataFrame, name: str = "idx") -> DataFrame:
     """Index of physical lines over all files in path order, from each row's line_num: no sort, one row for each file in the running sum.
 

@@ -16,7 +16,7 @@ Expr = Callable[[Column], Column]
 @dataclass(frozen=True)
 class Hooks:
     """Column functions that replace a step. They get the item, a map<string, variant>; transform_prompt also the prompt,
-    build_messages the prompt and the item."""
+    build_messages the prompt and the item; parse_line, before all of these, gets a line's text and gives JSON text (null drops the line)."""
 
     skip: Expr | None = None
     request_id: Expr | None = None
@@ -27,6 +27,7 @@ class Hooks:
     images: Expr | None = None
     valid_image: Expr | None = None
     dispatch_cost: Callable[[Column, Column], Column] | None = None
+    parse_line: Expr | None = None
 
 
 @dataclass(frozen=True)
@@ -122,6 +123,25 @@ def fan_out(lines: DataFrame, id_field: str = "id") -> DataFrame:
     return rows.where(F.col("raw").rlike(r"^\s*\{"))
 
 
+def combined(lines: DataFrame, names: tuple[str, ...] = ("text", "prompt"), by: str = " ", prompt: str = "prompt", ident: str = "id") -> DataFrame:
+    """Lines whose value is a JSON list, rewritten as one object each: a list of one object is that object, any other becomes {items, id, prompt}.
+
+    The id is {source_file}:{line_num}, the prompt joins the first of the fields names that each entry has as text (an entry without one, or with null, counts as
+    empty; one that isn't an object gives nothing). Other lines, empty lists among them, stay as they are but for an empty list, whose prompt is empty.
+    """
+    listed = F.col("value").rlike(r"^\s*\[")
+    entries = F.from_json(F.when(listed, F.col("value")), "array<string>")
+
+    def said(raw: Column) -> Column:
+        item = F.from_json(raw, "map<string,string>")
+        return F.when(raw.rlike(r"^\s*\{"), F.coalesce(*[F.try_element_at(item, F.lit(n)) for n in names], F.lit("")))
+
+    body = F.to_json(F.struct(F.concat_ws(":", "source_file", F.col("line_num").cast("string")).alias(ident), F.array_join(F.transform(entries, said), by).alias(prompt)))
+    whole = F.concat(F.lit('{"items":'), F.col("value"), F.lit(","), F.substring(body, F.lit(2), F.length(body)))
+    one = (F.size(entries) == 1) & F.get(entries, F.lit(0)).rlike(r"^\s*\{")
+    return lines.withColumn("value", F.when(entries.isNull(), F.col("value")).when(one, F.get(entries, F.lit(0))).otherwise(whole))
+
+
 def explode_field(items: DataFrame, name: str, prompt: str = "prompt", ident: str = "id", index: str = "_variation_index") -> DataFrame:
     """Fan out over a list field of each item: an entry becomes the prompt, the id gets _var_{i}, other fields stay."""
     item = parsed_item("raw")

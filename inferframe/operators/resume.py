@@ -22,11 +22,22 @@ def pending_by_key(requests: DataFrame, done: DataFrame, key: tuple[str, ...] =
 
 
 def pending(requests: DataFrame, done: DataFrame, ident: str = "request_id", key: tuple[str, ...] = KEY, done_id: str = "request_id") -> DataFrame:
-    """By position where a request has one, else by id."""
-    has = F.lit(True)
+    """By position where a request has one, else by id: one pass over the requests, one join on a key that is either. Null ids are never completed."""
+
+    def keys(name: str) -> tuple[Column, Column]:
+        place = F.lit(True)
+        for k in key:
+            place = place & F.col(k).isNotNull()
+        at = F.when(place, F.to_json(F.struct(F.lit(1).alias("kind"), *[F.col(k).cast("string").alias(k) for k in key])))
+        by_id = F.when(F.col(name).isNotNull(), F.to_json(F.struct(F.lit(2).alias("kind"), F.col(name).cast("string").alias("id"))))
+        return at, by_id
+
+    at, by_id = keys(ident)
+    place = F.lit(True)
     for k in key:
-        has = has & F.col(k).isNotNull()
-    return pending_by_key(requests.where(has), done, key).unionByName(pending_by_id(requests.where(~has), done, ident, done_id))
+        place = place & F.col(k).isNotNull()
+    d = done.select(F.explode(F.array(*keys(done_id))).alias("_done")).where("_done is not null")
+    return requests.withColumn("_key", F.when(place, at).otherwise(by_id)).join(d, F.col("_key") == F.col("_done"), "left_anti").drop("_key")
 
 
 def bitmaps(done: DataFrame, group: list[str] = ["source_file", "item_idx"], line: str = "line_num") -> DataFrame:  # noqa: B006

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,31 @@ def call(fn: Callable[[], T], max_retries: int = 3, delay: float = 1.0, base: fl
     raise AssertionError
 
 
+class Attempts:
+    """call() as a context: for attempt in Attempts(...): with attempt: ...
+
+    An error of the body is kept back and the body entered again after a growing wait, until it ends without one or the tries are used up; the last error goes on.
+    """
+
+    def __init__(self, max_retries: int = 3, delay: float = 1.0, base: float = 2.0, most: float = 60.0, errors: tuple[type[BaseException], ...] = (Exception,), sleep: Callable[[float], None] = time.sleep):
+        self.max_retries, self.delay, self.base, self.most, self.errors, self.sleep = max_retries, delay, base, most, errors, sleep
+        self.number, self.done = 0, False
+
+    def __iter__(self) -> Iterator[Attempts]:
+        for self.number in range(self.max_retries + 1):
+            yield self
+            if self.done:
+                return
+            self.sleep(min(self.delay * self.base**self.number, self.most))
+
+    def __enter__(self) -> Attempts:
+        return self
+
+    def __exit__(self, kind, error, trace) -> bool:
+        self.done = kind is None
+        return kind is not None and issubclass(kind, self.errors) and self.number < self.max_retries
+
+
 def backoff(delay: float, attempt: Column, base: float = 2.0, most: float | None = None) -> Column:
     """Seconds to wait after the attempt (0-based)."""
     wait = F.lit(float(delay)) * F.pow(F.lit(float(base)), attempt)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -115,7 +117,7 @@ def route(servers: DataFrame, by: list[str], p: Policy, start: str | None = None
     if p.strategy == "round_robin":
         df, order = distance(df), [F.col("_far")]
     elif p.strategy == "random":  # by a hash that reruns repeat
-        order = [F.xxhash64(F.lit("random"), *[F.col(c) for c in by], F.col("server")), F.col("pos")]
+        order = [_draw("random", by), F.col("pos")]
     elif p.strategy == "least_connections":
         df, order = distance(preferred(flag(df))), [load, F.col("active"), F.col("_far")]
     elif p.strategy == "adaptive_round_robin":
@@ -141,9 +143,14 @@ def route(servers: DataFrame, by: list[str], p: Policy, start: str | None = None
     return best.select(*by, "server", F.col("active"), load.alias("effective_load"), score.alias("cost_score"))
 
 
+def _draw(seed: str, by: list[str]):
+    """A server's number in the lottery of a snapshot: md5 of the seed, the snapshot and the server, which any engine repeats."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], F.col("server").cast("string")))
+
+
 def hash_sample(servers: DataFrame, by: list[str], k: int, seed: int = 0) -> DataFrame:
     """A boolean column sampled: k servers of each snapshot without replacement, by a hash that reruns repeat."""
-    w = W.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in by], F.col("server")), "server")
+    w = W.partitionBy(*by).orderBy(_draw(str(seed), by), "server")
     return servers.withColumn("sampled", F.row_number().over(w) <= k)
 
 
@@ -204,6 +211,23 @@ class Router:
     policy: Policy = field(default_factory=Policy)
     turn: int = 0
     rng: random.Random = field(default_factory=lambda: random.Random(0))
+    watchers: list[Callable[[list[Server]], None]] = field(default_factory=list)
+
+    def subscribe(self, call: Callable[[list[Server]], None]) -> None:
+        """call gets the servers whenever the health of any has changed; its errors are logged."""
+        self.watchers.append(call)
+
+    def healthy(self) -> list[Server]:
+        return [s for s in self.servers if s.healthy]
+
+    def changed(self) -> None:
+        """The health of servers has changed: the turn starts over and the watchers are told."""
+        self.turn = 0
+        for call in self.watchers:
+            try:
+                call(list(self.servers))
+            except Exception:
+                logging.getLogger(__name__).exception("health watcher")
 
     def pick(self, excluded: frozenset[str] | set[str] = frozenset()) -> Server | None:
         pool = [s for s in self.servers if s.healthy] or (list(self.servers) if self.policy.allow_fallback else [])
@@ -217,9 +241,10 @@ class Router:
 
     def update(self, servers: list[Server]) -> None:
         """A new list; the turn starts over if the number of healthy servers changed."""
-        if sum(s.healthy for s in servers) != sum(s.healthy for s in self.servers):
-            self.turn = 0
+        moved = sum(s.healthy for s in servers) != sum(s.healthy for s in self.servers)
         self.servers = servers
+        if moved:
+            self.changed()
 
     def stats(self) -> dict:
         up = sum(s.healthy for s in self.servers)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cost, ids, images, messages
@@ -87,6 +86,13 @@ def q_composite_id(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ids.composite_id("source", "lang", "doc_id").alias("request_id"), ids.file_id(path, "doc_id").alias("file_request_id"))
 
 
+@query("""SELECT doc_id, sha256('{"data": {"lang": "' || lang || '", "n": ' || n_chars || '}, "prompt": "' || source || '/' || doc_id || '"}') AS request_id FROM documents""")
+def q_canonical_id(spark, sf):
+    """The id of a request without one: a digest of its canonical JSON."""
+    raw = F.to_json(F.struct(F.concat_ws("/", "source", "doc_id").alias("prompt"), F.col("n_chars").alias("n"), "lang"))
+    return table(spark, sf, "documents").select("doc_id", ids.content_hash(raw).alias("request_id"))
+
+
 @query("SELECT doc_id, sha256(coalesce(text, '') || '|' || coalesce(lang, '') || '|' || coalesce(source, '')) AS request_id FROM documents")
 def q_content_hash_id(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ids.column_hash("text", "lang", "source").alias("request_id"))
@@ -219,14 +225,16 @@ def q_fanout_variations(spark, sf):
 
 
 @query("""
-SELECT conv_id, CASE WHEN count(*) = 1 THEN 'single' ELSE 'combined' END AS kind, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS prompt, count(*)::BIGINT AS n_items
+SELECT conv_id, CASE WHEN count(*) = 1 THEN min(conv_id * 1000 + turn)::VARCHAR ELSE 'conv.jsonl:' || conv_id END AS request_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS prompt, count(*)::BIGINT AS n_items
 FROM conversations GROUP BY conv_id""")
 def q_list_combine(spark, sf):
-    m = F.col("messages")
-    return _conversations(spark, sf).select(
-        "conv_id", F.when(F.size(m) == 1, "single").otherwise("combined").alias("kind"),
-        F.array_join(F.transform(m, lambda x: F.coalesce(x["content"], F.lit(""))), " ").alias("prompt"), F.size(m).cast("bigint").alias("n_items"),
-    )
+    """Lines that are lists, one item each: a single entry is itself, several are joined."""
+    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.expr(TURNS).alias("t"))
+    entry = F.transform("t", lambda m: F.struct((F.col("conv_id") * 1000 + m["turn"]).alias("id"), F.coalesce(m["text"], F.lit("")).alias("prompt")))
+    lines = t.select(F.lit("conv.jsonl").alias("source_file"), F.lit("").alias("source_dir"), F.col("conv_id").alias("line_num"), F.to_json(entry).alias("value"))
+    r = normalize.requests(normalize.fan_out(normalize.combined(lines)))
+    n = F.coalesce(F.size(F.from_json(F.get_json_object("additional_data", "$.items"), "array<string>")), F.lit(-1))
+    return r.select(F.col("line_num").alias("conv_id"), "request_id", "prompt", F.when(n < 0, 1).otherwise(n).cast("bigint").alias("n_items"))
 
 
 # ---------------------------------------------------------------- messages and payloads
@@ -238,18 +246,18 @@ def q_messages_user(spark, sf):
     return table(spark, sf, "documents").select("doc_id", messages.messages_json(messages.user_message(prompt)).alias("messages"))
 
 
-@query("SELECT conv_id, (count(*) + 1)::BIGINT AS n_messages, 'system' AS first_role, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
+_SAID = """string_agg('{"role":' || to_json(role) || ',"content":' || coalesce(to_json(text), 'null') || '}', ',' ORDER BY turn)"""
+
+
+@query("""SELECT conv_id, '[{"role":"system","content":"Answer briefly."},' || """ + _SAID + """ || ']' AS messages FROM conversations GROUP BY conv_id""")
 def q_messages_system(spark, sf):
-    m = messages.with_system("messages", "Answer briefly.")
-    return _conversations(spark, sf).select("conv_id", m.alias("m")).select("conv_id", F.size("m").cast("bigint").alias("n_messages"), F.col("m")[0]["role"].alias("first_role"), F.element_at("m", -1)["role"].alias("last_role"))
+    return _conversations(spark, sf).select("conv_id", messages.messages_json(messages.with_system("messages", "Answer briefly.")).alias("messages"))
 
 
-@query("SELECT conv_id, (count(*) + 2)::BIGINT AS n_messages, 'Go on.' AS last_content, (10 + sum(length(role)) + 1)::BIGINT AS role_chars FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id, '[{"role":"system","content":"You help."},' || """ + _SAID + """ || ',{"role":"user","content":"Go on."}]' AS messages FROM conversations GROUP BY conv_id""")
 def q_messages_history(spark, sf):
     past = F.transform("messages", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    m = _conversations(spark, sf).select("conv_id", messages.with_history(F.lit("Go on."), past, "You help.").alias("m"))
-    chars = F.aggregate("m", F.lit(0), lambda a, x: a + F.length(x["role"]))
-    return m.select("conv_id", F.size("m").cast("bigint").alias("n_messages"), F.element_at("m", -1)["content"].alias("last_content"), (chars + 1).cast("bigint").alias("role_chars"))
+    return _conversations(spark, sf).select("conv_id", messages.messages_json(messages.with_history(F.lit("Go on."), past, "You help.")).alias("messages"))
 
 
 @query("SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS prompt FROM conversations GROUP BY conv_id")
@@ -287,7 +295,7 @@ def q_openai_payload_n(spark, sf):
 SELECT doc_id, (1 + (lang IS NOT NULL)::INT + (source IS NOT NULL)::INT)::BIGINT AS n_fields, lang, source, n_chars FROM documents WHERE text IS NOT NULL""")
 def q_additional_data(spark, sf):
     docs = table(spark, sf, "documents").where("text is not null")
-    item = F.from_json(F.to_json(F.struct(F.col("doc_id").alias("id"), F.substring("text", 1, 10).alias("prompt"), "lang", "source", "n_chars")), "map<string,variant>")
+    item = F.from_json(F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("prompt"), "lang", "source", "n_chars")), "map<string,variant>")
     rest = F.from_json(normalize.additional(item, normalize.Fields()), "map<string,string>")
     return docs.select("doc_id", rest.alias("r")).select("doc_id", F.size("r").cast("bigint").alias("n_fields"), F.col("r")["lang"].alias("lang"), F.col("r")["source"].alias("source"), F.col("r")["n_chars"].cast("bigint").alias("n_chars"))
 
@@ -339,11 +347,13 @@ def q_data_uri(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", images.data_uri(F.col("text").cast("binary"), F.lit("image/png")).alias("uri"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))::BIGINT + 1 AS n_parts, 'text' AS last_type, url AS last_text FROM pages")
+@query("""
+WITH l AS (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]+)"', 1) AS links FROM pages)
+SELECT page_id, '[' || array_to_string(list_transform(links, lambda x: '{"type":"image_url","image_url":{"url":' || to_json(x) || '}}') || ['{"type":"text","text":' || to_json(url) || '}'], ',') || ']' AS parts FROM l""")
 def q_content_parts(spark, sf):
+    """Every part: the images in their order, then the text."""
     links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
-    p = table(spark, sf, "pages").select("page_id", images.content_parts("url", links).alias("p"))
-    return p.select("page_id", F.size("p").cast("bigint").alias("n_parts"), F.element_at("p", -1)["type"].alias("last_type"), F.element_at("p", -1)["text"].alias("last_text"))
+    return table(spark, sf, "pages").select("page_id", F.to_json(images.content_parts("url", links)).alias("parts"))
 
 
 # ---------------------------------------------------------------- names and paths
@@ -464,8 +474,8 @@ def q_completed_distinct(spark, sf):
 SELECT source_dir, count(*)::BIGINT AS n, min(idx)::BIGINT AS first_idx, max(idx)::BIGINT AS last_idx FROM (
   SELECT source AS source_dir, rank() OVER (ORDER BY source, doc_id) - 1 AS idx FROM documents) GROUP BY 1""")
 def q_line_index(spark, sf):
-    """Global line numbers over files, from sizes of files alone."""
+    """Global line numbers over files, from sizes of files alone; lines are numbered within ranges of a file."""
     d = table(spark, sf, "documents").select(F.col("source").alias("source_file"), "doc_id")
-    d = d.withColumn("line_num", F.row_number().over(W.partitionBy("source_file").orderBy("doc_id")))
+    d = chunks.running_total(d, "source_file", F.floor(F.col("doc_id") / 1_000_000), ["doc_id"], F.lit(1), "line_num").withColumn("line_num", F.col("line_num") + 1)
     i = chunks.with_line_index(d)
     return i.groupBy(F.col("source_file").alias("source_dir")).agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))

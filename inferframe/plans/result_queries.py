@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cost, response
@@ -34,10 +33,23 @@ def q_minimal_projection(spark, sf):
     return m.select("request_id", "content", text.alias("contents"), "finish_reason", F.array_join("finish_reasons", "|").alias("finish_reasons"), F.col("usage.total_tokens").alias("total_tokens"), "error")
 
 
-@query(_RESULTS + "SELECT request_id, error, total_tokens, NULL::VARCHAR AS additional_data FROM r")
+@query("""
+WITH c AS (SELECT conv_id, string_agg('{"index":' || turn || ',"message":{"role":"assistant"' || CASE WHEN text IS NULL THEN '' ELSE ',"content":' || to_json(text) END || '},"finish_reason":' || to_json(role) || '}', ',' ORDER BY turn) AS cs,
+  sum(length(text)) % 50 AS used FROM conversations GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS request_id, '{"choices":[' || cs || '],"usage":{"prompt_tokens":' || used || ',"completion_tokens":7,"total_tokens":' || (used + 7) || '}}' AS model_output,
+  '{"conv":' || conv_id || '}' AS additional_data, CASE WHEN conv_id % 10 = 0 THEN 'timeout' END AS error FROM c""")
 def q_full_projection(spark, sf):
-    f = project.full(_responses(spark, sf), timestamp=False)
-    return f.select("request_id", "error", response.total_tokens(response.output("model_output")).alias("total_tokens"), "additional_data")
+    """Every column of the full projection, the model's output as it came."""
+    r = _responses(spark, sf).withColumn("additional_data", F.to_json(F.struct(F.col("request_id").cast("bigint").alias("conv"))))
+    return project.full(r, timestamp=False)
+
+
+@query(_RESULTS + "SELECT request_id, TRUE AS iso, TRUE AS recent FROM r")
+def q_result_timestamp(spark, sf):
+    """The timestamp of results: ISO form, and the query's time."""
+    f = project.full(_responses(spark, sf))
+    stamp = F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return f.select("request_id", F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$").alias("iso"), (F.abs(F.unix_seconds(F.current_timestamp()) - F.unix_seconds(stamp)) < 60).alias("recent"))
 
 
 @query(_RESULTS + "SELECT request_id, finish_reason FROM r")
@@ -166,5 +178,5 @@ def q_writer_batches(spark, sf):
 @query(LOG + """
 SELECT event_id, srv::BIGINT AS srv, round(coalesce(sum(cost) OVER (PARTITION BY srv ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE, 2) AS before_cost FROM e""")
 def q_inflight_cost(spark, sf):
-    w = W.partitionBy("srv").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    return _log(spark, sf).select("event_id", "srv", F.round(F.coalesce(F.sum("cost").over(w), F.lit(0)).cast("double"), 2).alias("before_cost"))
+    r = chunks.running_total(_log(spark, sf), "srv", F.date_trunc("hour", "ts"), ["ts", "event_id"], F.col("cost"), "before")
+    return r.select("event_id", "srv", F.round(F.col("before").cast("double"), 2).alias("before_cost"))

@@ -158,7 +158,11 @@ def q_p2c(spark, sf):
     return routing.route(s, BY, p, sampled="sampled").withColumn("cost_score", F.round("cost_score", 6))
 
 
-@query()
+_HASHED = _P2C.replace("FROM s WHERE server = (start * 31) % 8 OR server = (start * 31 + 17) % 8", """FROM (SELECT *, row_number() OVER (PARTITION BY snap ORDER BY md5('0:' || snap || ':' || start || ':' || server), server) AS draw
+  FROM (SELECT *, max(healthy::INT) OVER (PARTITION BY snap) AS up FROM (SELECT *, (success + error) % 7 <> 0 AS healthy FROM s)) WHERE healthy OR up = 0) WHERE draw <= 2""")
+
+
+@query(_HASHED + _OUT.format("SELECT *, row_number() OVER (PARTITION BY snap ORDER BY score, active, server) AS rn FROM v WHERE NOT under OR all_under = 1"))
 def q_p2c_hashed(spark, sf):
     """Power of two choices with the seeded sample; tests hold it against the live router's rule."""
     s = routing.hash_sample(routing.candidates(_snapshots(spark, sf), BY, True), BY, 2)
@@ -166,7 +170,7 @@ def q_p2c_hashed(spark, sf):
     return routing.route(s, BY, p, sampled="sampled").withColumn("cost_score", F.round("cost_score", 6))
 
 
-@query()
+@query(SNAP + _OUT.format("SELECT *, row_number() OVER (PARTITION BY snap ORDER BY md5('random:' || snap || ':' || start || ':' || server), server) AS rn FROM k"))
 def q_random(spark, sf):
     return _decide(spark, sf, "random")
 
@@ -185,11 +189,11 @@ z AS (SELECT *, sum(bad) OVER (PARTITION BY srv, g ORDER BY ts, event_id ROWS UN
 
 @query(_HEALTH + "SELECT event_id, srv::BIGINT AS srv, streak::BIGINT AS streak, streak < 2 AS healthy FROM z")
 def q_health_state(spark, sf):
-    return health.health_states(_log(spark, sf), "srv", ["ts", "event_id"], F.col("ok"), 2).select("event_id", "srv", "streak", "healthy")
+    return health.health_states(_log(spark, sf), "srv", ["ts", "event_id"], F.col("ok"), 2, F.date_trunc("hour", "ts")).select("event_id", "srv", "streak", "healthy")
 
 
 @query(_HEALTH + """, t AS (SELECT *, streak < 2 AS healthy, lag(streak < 2, 1, TRUE) OVER (PARTITION BY srv ORDER BY ts, event_id) AS before FROM z)
 SELECT event_id, srv::BIGINT AS srv, healthy FROM t WHERE healthy <> before""")
 def q_health_transitions(spark, sf):
-    states = health.health_states(_log(spark, sf), "srv", ["ts", "event_id"], F.col("ok"), 2)
-    return health.transitions(states, "srv", ["ts", "event_id"]).select("event_id", "srv", "healthy")
+    states = health.health_states(_log(spark, sf), "srv", ["ts", "event_id"], F.col("ok"), 2, F.date_trunc("hour", "ts"))
+    return health.transitions(states).select("event_id", "srv", "healthy")

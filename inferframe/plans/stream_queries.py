@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import health, windows
+from ..work import exists, new_path
 from .catalogue import query, table
 from .result_queries import LOG
 
@@ -24,14 +22,18 @@ def _events(spark: SparkSession, sf: str, trigger_files: int = 1) -> DataFrame:
 
 
 def finished(out: DataFrame, mode: str) -> DataFrame:
-    """What a stream has written once it has read all that is there."""
-    spark, name = out.sparkSession, f"stream_{uuid.uuid4().hex[:12]}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inferframe-")
-    q = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    """What a stream has written once it has read all that is there: files below the shared folder. In complete mode each micro-batch replaces them."""
+    spark, path = out.sparkSession, new_path(out.sparkSession, "stream")
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={batch_id}")
+
+    q = out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.table(name)
+    rows = spark.read.schema(out.schema).parquet(f"{path}/rows") if exists(spark, f"{path}/rows") else spark.createDataFrame([], out.schema)
+    return rows.select(*out.columns)
 
 
 @query(LOG + "SELECT (floor(epoch(ts))::BIGINT // 3600) * 3600 AS start_s, count(*)::BIGINT AS attempts, count(*) FILTER (WHERE NOT ok)::BIGINT AS failures FROM e GROUP BY 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import logging
+import re
 from collections.abc import Callable
 
 _kinds: dict[str, dict[str, Callable]] = {"source": {}, "sink": {}, "adapter": {}}
@@ -33,11 +34,21 @@ def register_adapter(name: str | None = None) -> Callable:
     return register("adapter", name)
 
 
+def snake(name: str) -> str:
+    """MyJSONLoader to my_json_loader."""
+    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.sub(r"(.)([A-Z][a-z]+)", r"\1_\2", name)).lower()
+
+
 def get(kind: str, name: str) -> Callable:
-    try:
+    """What is registered under a name; else package.module.Name is imported, and Name from the module whose name is Name in snake case."""
+    if name in _kinds[kind]:
         return _kinds[kind][name]
-    except KeyError:
-        raise ValueError(f"unknown {kind} {name}: one of {', '.join(sorted(_kinds[kind]))}") from None
+    module, dot, own = name.rpartition(".")
+    try:
+        loaded = importlib.import_module(module if dot else snake(name))
+        return _kinds[kind].get(own) or getattr(loaded, own)
+    except (ImportError, AttributeError) as e:
+        raise ValueError(f"unknown {kind} {name}: one of {', '.join(sorted(_kinds[kind]))}, or a module's ({e})") from None
 
 
 def names(kind: str) -> list[str]:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import project
+from ..operators import chunks, project
+from ..work import exists
 from .paths import mirrored
 
 JSON = {"ignoreNullFields": "false"}
@@ -33,8 +35,10 @@ def json_lines(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return df.select(line.alias("value"), *carry)
 
 
-def shaped(results: DataFrame, projection: str = "full", fields: list[str] | None = None, timestamp: bool | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The projection that a sink writes; a timestamp by default only in the full one."""
+def shaped(results: DataFrame, projection: str = "full", fields: list[str] | None = None, timestamp: bool | None = None, carry: tuple[str, ...] = (), form: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The projection that a sink writes; a timestamp by default only in the full one. form, a user's own shape, takes its place; it keeps the columns that start with _."""
+    if form is not None:
+        return form(results)
     if projection not in ("full", "minimal"):
         raise ValueError(f"unknown projection {projection}")
     stamp = projection == "full" if timestamp is None else timestamp
@@ -49,6 +53,28 @@ def write_jsonl(results: DataFrame, path: str, append: bool = True, **shape) ->
     json_lines(shaped(results, **shape)).write.mode("append" if append else "overwrite").text(path)
 
 
+def batch_jsonl(path: str, **shape) -> Callable[[DataFrame, int], None]:
+    """A sink for streams: each micro-batch has its own folder below path, which a repeated batch replaces."""
+    return lambda df, batch_id: json_lines(shaped(df, **shape)).write.mode("overwrite").text(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def chunk_lines(spark: SparkSession, path: str, num_chunks: int) -> DataFrame:
+    """Lines (value) of the outputs of all chunks of a path, in the order of the chunks (chunk); a chunk that hasn't run yet is an error."""
+    out = None
+    for i in range(num_chunks):
+        p = chunks.chunk_path(path, num_chunks, i)
+        if not exists(spark, p):
+            raise FileNotFoundError(f"no output of chunk {i} at {p}")
+        one = spark.read.text(p).select(F.lit(i).alias("chunk"), "value")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def merge_chunks(spark: SparkSession, path: str, num_chunks: int, append: bool = False) -> None:
+    """One output under path from those of all chunks."""
+    chunk_lines(spark, path, num_chunks).select("value").write.mode("append" if append else "overwrite").text(path)
+
+
 def write_csv(results: DataFrame, path: str, fields: list[str] | None = None, append: bool = True, encoding: str = "UTF-8") -> None:
     """CSV part files with headers; earlier results stay."""
     rows = project.csv_rows(results, fields)
@@ -83,8 +109,8 @@ def show(results: DataFrame, details: bool = False, separator: str = "-" * 60) -
         print(f"{separator}\n{r['value']}\n{separator}\n")
 
 
-def write_mirrored(results: DataFrame, output_dir: str, filename: str | None = None, pattern: str = "result.jsonl", preserve: bool = True, **shape) -> None:
-    """JSONL files below output_dir in folders like those of the sources.
+def write_mirrored(results: DataFrame, output_dir: str, filename: str | None = None, pattern: str = "result.jsonl", preserve: bool = True, place: Column | None = None, **shape) -> None:
+    """JSONL files below output_dir in folders like those of the sources, or at place, a column of paths below output_dir.
 
     Rows of a path are brought together by a rebalance, which splits a path that holds very many rows over several tasks. Spark's own
     writer and committer write to a staging folder by path; the driver then renames files, which moves no data. The first file of a path
@@ -93,6 +119,8 @@ def write_mirrored(results: DataFrame, output_dir: str, filename: str | None = N
     spark = results.sparkSession
     known = F.col("source_file").isNotNull() & (F.col("source_file") != "")
     path = F.when(known, mirrored("", F.col("source_file"), F.coalesce(F.col("source_dir"), F.lit("")), filename, pattern, preserve)).otherwise(F.lit(f"/{pattern}"))
+    if place is not None:
+        path = F.coalesce(F.concat(F.lit("/"), F.ltrim(place, F.lit("/"))), path)
     lines = json_lines(shaped(results.withColumn("_path", path), carry=("_path",), **shape), ("_path",))
     stage = f"{output_dir.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
     lines.hint("rebalance", "_path").write.partitionBy("_path").text(stage)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cost, messages
 from ..functions.text import file_name, parent_dir, strip
 from ..operators import chunks, normalize
 
@@ -90,9 +91,14 @@ def malformed(lines_: DataFrame) -> DataFrame:
     return lines_.where(v.isNull() & ~F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False)))
 
 
-def jsonl(spark: SparkSession, path: str, mode: str = "PERMISSIVE", id_field: str = "id", **chunk) -> DataFrame:
+def rewritten(found: DataFrame, parse_line: Callable[[Column], Column] | None) -> DataFrame:
+    """Lines through a hook that turns their text into JSON; those that it makes null go."""
+    return found if parse_line is None else found.withColumn("value", parse_line(F.col("value"))).where("value is not null")
+
+
+def jsonl(spark: SparkSession, path: str, mode: str = "PERMISSIVE", id_field: str = "id", parse_line: Callable[[Column], Column] | None = None, **chunk) -> DataFrame:
     """Items of a JSONL file. Lines that aren't JSON are left out, or are an error (FAILFAST), as is a file without items then."""
-    found = lines(spark, path, **chunk)
+    found = rewritten(lines(spark, path, **chunk), parse_line)
     items = normalize.fan_out(found, id_field)
     if mode == "FAILFAST":
         bad = malformed(found).select("source_file", "line_num").first()
@@ -103,9 +109,33 @@ def jsonl(spark: SparkSession, path: str, mode: str = "PERMISSIVE", id_field: st
     return items
 
 
-def directory_jsonl(spark: SparkSession, input_dir: str, file_pattern: str = "conv.jsonl", recursive: bool = True, id_field: str = "id", **chunk) -> DataFrame:
+def directory_jsonl(spark: SparkSession, input_dir: str, file_pattern: str = "conv.jsonl", recursive: bool = True, id_field: str = "id", parse_line: Callable[[Column], Column] | None = None, **chunk) -> DataFrame:
     """Items of all JSONL files below a folder."""
-    return normalize.fan_out(lines(spark, input_dir, file_pattern, recursive, **chunk), id_field)
+    return normalize.fan_out(rewritten(lines(spark, input_dir, file_pattern, recursive, **chunk), parse_line), id_field)
+
+
+def row_count(items: DataFrame) -> int:
+    """Rows of a source, counted on demand; 0, for unknown, of a stream."""
+    return 0 if items.isStreaming else items.count()
+
+
+def histories(spark: SparkSession, path: str, system: str | None = None) -> DataFrame:
+    """REQUEST rows of a JSON array of conversations: {prompt or input, history?: [{role, content}], id?, ...}.
+
+    The id is the entry's own, else conv_{place from 1}; messages are the system prompt, the history and the prompt; additional_data is {history, metadata}, metadata
+    all fields but prompt, input and history. A missing prompt is empty.
+    """
+    items = json_array(spark, path).withColumn("item", normalize.parsed_item("raw"))
+    item = F.col("item")
+    past = F.coalesce(F.from_json(normalize.text_of(item, "history"), "array<struct<role:string,content:string>>"), F.array().cast("array<struct<role:string,content:string>>"))
+    rest = F.map_filter(item, lambda k, v: ~k.isin("prompt", "input", "history"))
+    extra = F.concat(F.lit('{"history":'), F.coalesce(normalize.text_of(item, "history"), F.lit("[]")), F.lit(',"metadata":'), F.to_json(rest), F.lit("}"))
+    prompt = F.when(F.map_contains_key(item, F.lit("prompt")), normalize.text_of(item, "prompt")).otherwise(normalize.text_of(item, "input"))
+    df = items.withColumn("prompt", F.coalesce(prompt, F.lit("")))
+    return df.select(
+        F.coalesce(normalize.text_of(item, "id"), F.concat(F.lit("conv_"), F.col("line_num").cast("string"))).alias("request_id"), "prompt", messages.with_history("prompt", past, system).alias("messages"),
+        F.lit(None).cast("array<string>").alias("images"), extra.alias("additional_data"), "source_file", "source_dir", "line_num", "item_idx", cost.dispatch_cost("prompt").cast("double").alias("dispatch_cost"),
+    )
 
 
 def json_array(spark: SparkSession, path: str, num_chunks: int = 1, chunk_index: int = 0) -> DataFrame:

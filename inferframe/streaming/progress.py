@@ -1,10 +1,12 @@
-"""Progress of streams as it happens."""
+"""Progress of streams and of batch runs as it happens."""
 
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable
 
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming.listener import QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 
 log = logging.getLogger(__name__)
@@ -37,3 +39,26 @@ class Progress(StreamingQueryListener):
 
     def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
         self._tell(self.on_end, event.exception)
+
+
+class TaskProgress:
+    """Calls back every interval seconds while its block runs: tasks done and tasks of the stages that are active. Nothing is called for an interval of 0."""
+
+    def __init__(self, spark: SparkSession, interval: float, report: Callable[[int, int], None]):
+        self.tracker, self.interval, self.report, self.stopped = spark.sparkContext.statusTracker(), interval, report, threading.Event()
+
+    def now(self) -> tuple[int, int]:
+        stages = [self.tracker.getStageInfo(i) for i in self.tracker.getActiveStageIds()]
+        return sum(s.numCompletedTasks for s in stages if s), sum(s.numTasks for s in stages if s)
+
+    def _run(self) -> None:
+        while not self.stopped.wait(self.interval):
+            Progress._tell(lambda: self.report(*self.now()))
+
+    def __enter__(self) -> TaskProgress:
+        if self.interval > 0:
+            threading.Thread(target=self._run, daemon=True).start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stopped.set()

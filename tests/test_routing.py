@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inferframe.operators import health, retry, routing
+from inferframe.operators import chunks, health, retry, routing
 from inferframe.operators.routing import Policy, Router, Server
 
 
@@ -125,7 +125,26 @@ def test_health_log(spark):
     log = spark.createDataFrame([("a", i, ok) for i, ok in enumerate([True, False, False, False, True, False])] + [("b", 0, False)], "s string, t int, ok boolean")
     h = health.health_states(log, "s", ["t"], F.col("ok"), 2)
     assert [(r["streak"], r["healthy"]) for r in h.where("s = 'a'").orderBy("t").collect()] == [(0, True), (1, True), (2, False), (3, False), (0, True), (1, True)]
-    assert [(r["t"], r["healthy"]) for r in health.transitions(h, "s", ["t"]).orderBy("t").collect()] == [(2, False), (4, True)]
+    assert [(r["t"], r["healthy"]) for r in health.transitions(h.where("s = 'a'")).orderBy("t").collect()] == [(2, False), (4, True)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 100])
+def test_health_and_running_sums_by_buckets(spark, width):
+    """Pieces of any width give what one pass over each server gives."""
+    rng = random.Random(width)
+    rows = [(s, t, rng.random() < 0.4) for s in "ab" for t in range(60)]
+    df = spark.createDataFrame(rows, "s string, t int, ok boolean")
+    bucket = F.floor(F.col("t") / width)
+    got = {(r["s"], r["t"]): r for r in health.health_states(df, "s", ["t"], F.col("ok"), 2, bucket).collect()}
+    sums = {(r["s"], r["t"]): r["before"] for r in chunks.running_total(df, "s", bucket, ["t"], F.col("t"), "before").collect()}
+    for s in "ab":
+        streak, healthy, total = 0, True, 0
+        for _, t, ok in (r for r in rows if r[0] == s):
+            before, streak = healthy, 0 if ok else streak + 1
+            healthy = streak < 2
+            assert (got[s, t]["streak"], got[s, t]["healthy"], got[s, t]["healthy_before"]) == (streak, healthy, before)
+            assert sums[s, t] == total
+            total += t
 
 
 def test_attempts_stop_at_success_or_limit(spark):
