@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import pipeline_queries, request_queries, result_queries, routing_queries, stream_queries  # noqa: F401
+    from . import io_queries, pipeline_queries, request_queries, result_queries, routing_queries, stream_queries  # noqa: F401
 
     return dict(_queries)
 
