@@ -341,3 +341,171 @@ def test_registry(tmp_path, monkeypatch):
         registry.get("source", "Mine")
     with pytest.raises(TypeError):
         registry.register("sink")(3)
+
+
+def test_slots_are_filled_again_as_they_come_free():
+    """One slow request doesn't keep the others from being replaced; no more than n run at once."""
+    import time
+
+    running, most, order, lock = 0, 0, [], threading.Lock()
+
+    def work(x):
+        nonlocal running, most
+        with lock:
+            running += 1
+            most = max(most, running)
+        time.sleep(0.5 if x == 0 else 0.01)
+        with lock:
+            running -= 1
+            order.append(x)
+        return x
+
+    pulled = []
+
+    def source():
+        for x in range(30):
+            pulled.append(x)
+            yield x
+
+    got = [r for r in client._in_flight(source(), work, 3) if r is not None]
+    assert sorted(x for x, _ in got) == list(range(30)) and most <= 3
+    assert order.index(0) > 15  # the others went on meanwhile
+
+
+def test_answers_go_on_when_nothing_more_comes():
+    gate = threading.Event()
+    out = client._in_flight(iter([1, 2]), lambda x: (x == 1 or gate.wait(5)) and x, 2, flush=0.05)
+    seen = [next(out), next(out)]
+    gate.set()
+    assert seen[0] == (1, 1) and seen[1] is None and [x for x in out if x is not None] == [(2, 2)]
+
+
+class KeepAlive(BaseHTTPRequestHandler):
+    protocol_version = "HTTP/1.1"
+    connections: set = set()
+    closing = False
+
+    def do_POST(self):
+        self.connections.add(self.client_address)
+        body = self.rfile.read(int(self.headers["Content-Length"]))
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(body)))
+        if self.closing:
+            self.send_header("Connection", "close")
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_connections_are_kept_and_limited():
+    from concurrent.futures import ThreadPoolExecutor
+
+    class Handler(KeepAlive):
+        connections: set = set()
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/x?y=1"
+    c = client.Connections(2, 1)
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(lambda i: c.post(url, json.dumps({"i": i}).encode(), 5), range(40))) == [{"i": i} for i in range(40)]
+    assert c.kept == 1 and c.opened == len(Handler.connections) < 40
+    for own in c.free.values():  # a server that has closed a kept connection meanwhile
+        for x in own:
+            x.sock.close()
+            x.sock = None
+    assert c.post(url, b"{}", 5) == {}
+    Handler.closing = True
+    c.post(url, b"{}", 5), c.close()
+    assert c.kept == 0
+
+
+def test_fresh_probes_are_shared(monkeypatch):
+    asked = []
+    monkeypatch.setattr(client, "probe", lambda url, timeout: asked.append(url) or True)
+    monkeypatch.setattr(client, "_probes", {})
+    assert client.probed("u", 1, 10) and client.probed("u", 1, 10) and len(asked) == 1
+    assert client.probed("u", 1, 0) and len(asked) == 2
+
+
+def test_bitmap_backend_leaves_rows_without_a_position_in_the_log(spark, tmp_path):
+    from inferframe.plans.pipeline import Pipeline, compacted
+    from inferframe.sources import mock
+
+    lines = spark.createDataFrame([("a", "", i, json.dumps({"id": i, "prompt": f"p{i}"})) for i in range(1, 5)], "source_file string, source_dir string, line_num long, value string")
+    rows = normalize.requests(normalize.fan_out(lines)).union(normalize.requests(files.prompt_list(spark, ["x", "y"])))
+    seen = []
+    job = Pipeline(rows, mock.complete, lambda df: seen.append(df.count()), str(tmp_path / "w"), backend="bitmap")
+    first, second = job.run(), job.run()
+    assert (first["total"], first["skipped"]) == (6, 0) and (second["total"], second["skipped"]) == (0, 6) and seen == [6, 0]
+    assert spark.read.parquet(job.log_path()).count() == 2 and compacted(spark, job.work).count() == 1
+    with pytest.raises(ValueError):
+        Pipeline(rows, mock.complete, print, "w", backend="other")
+
+
+def test_lifecycle_of_a_run_that_fails(spark, tmp_path):
+    from inferframe.plans.pipeline import Lifecycle, Pipeline
+    from inferframe.sources import mock
+
+    told = []
+    life = Lifecycle(on_start=lambda w: told.append("start"), on_complete=lambda s: told.append("end"), on_error=lambda e: told.append(str(e)))
+
+    def sink(df):
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        Pipeline(requests(spark), mock.complete, sink, str(tmp_path / "w"), lifecycle=life).run()
+    assert told == ["start", "disk full"]
+    boom = Lifecycle(on_start=lambda w: 1 / 0)  # a hook's own error is only logged
+    assert Pipeline(requests(spark), mock.complete, lambda df: None, str(tmp_path / "v"), lifecycle=boom).run()["total"] == 5
+
+
+def test_a_repeated_micro_batch_replaces_its_output(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "{}", None, None)], "request_id string, model_output string, additional_data string, error string")
+    sink = sinks.batch_jsonl(str(tmp_path / "out"), projection="minimal", timestamp=False)
+    sink(rows, 3), sink(rows, 3), sink(rows, 4)
+    assert spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out")).count() == 2
+
+
+def test_task_progress(spark):
+    import time
+
+    from inferframe.streaming.progress import TaskProgress
+
+    told = []
+    with TaskProgress(spark, 0.02, lambda *x: told.append(x)):
+        spark.range(4).repartition(3).count()
+        time.sleep(0.1)
+    n = len(told)
+    time.sleep(0.1)
+    assert told and len(told) <= n + 1 and all(a <= b for a, b in told)
+    with TaskProgress(spark, 0, lambda *x: told.append(None)):
+        time.sleep(0.05)
+    assert None not in told
+
+
+def test_classes_of_modules(tmp_path, monkeypatch):
+    (tmp_path / "my_json_loader.py").write_text("class MyJSONLoader:\n    pass\n\ndef make(spark, p):\n    return 1\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert registry.snake("MyJSONLoader") == "my_json_loader" and registry.get("source", "MyJSONLoader").__name__ == "MyJSONLoader"
+    assert registry.get("source", "my_json_loader.make")(None, {}) == 1
+    for name in ("NoSuchLoader", "my_json_loader.absent", "no.such.Thing"):
+        with pytest.raises(ValueError):
+            registry.get("source", name)
+
+
+def test_example_configurations(spark):
+    from pathlib import Path
+
+    found = sorted((Path(__file__).parent.parent / "examples").glob("*.json"))
+    assert len(found) >= 6
+    for p in found:
+        c = config.load(str(p))
+        assert registry.get("source", c.loader["class"]) and registry.get("sink", c.saver["class"]) and c.runner.client(4).concurrency >= 1
+
+
+def test_settings_of_a_task():
+    c = config.Runner(max_concurrency=64, producer_prefetch=40, writer_batch_size=7, writer_flush_interval_ms=250, http_max_connections=100, http_max_keepalive_connections=10, health_check_concurrency=5).client(4)
+    assert (c.concurrency, c.prefetch, c.batch, c.flush, c.connections, c.keepalive, c.health_workers) == (16, 10, 7, 0.25, 25, 3, 5)

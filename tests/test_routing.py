@@ -174,3 +174,32 @@ def test_calls_are_tried_again():
         retry.call(lambda: 1 // 0, 1, errors=(ZeroDivisionError,), sleep=waits.append)
     with pytest.raises(ZeroDivisionError):
         retry.call(lambda: 1 // 0, 5, errors=(KeyError,), sleep=lambda _: pytest.fail("waited"))
+
+
+def test_attempts_as_a_context():
+    waits, tries = [], []
+    for attempt in retry.Attempts(3, 1.0, 3.0, 5.0, sleep=waits.append):
+        with attempt:
+            tries.append(attempt.number)
+            if len(tries) < 3:
+                raise ValueError
+    assert tries == [0, 1, 2] and waits == [1.0, 3.0]
+    with pytest.raises(ZeroDivisionError):
+        for attempt in retry.Attempts(1, sleep=waits.append):
+            with attempt:
+                1 // 0
+    with pytest.raises(KeyError):
+        for attempt in retry.Attempts(5, errors=(ValueError,), sleep=lambda _: pytest.fail("waited")):
+            with attempt:
+                raise KeyError
+
+
+def test_watchers_are_told_of_changed_health():
+    told = []
+    r = Router([Server("a"), Server("b")], turn=1)
+    r.subscribe(lambda servers: 1 / 0)  # an error of a watcher is only logged
+    r.subscribe(lambda servers: told.append([s.healthy for s in servers]))
+    r.update([Server("a"), Server("b")])
+    assert told == [] and r.turn == 1
+    r.update([Server("a"), Server("b", healthy=False)])
+    assert told == [[True, False]] and r.turn == 0 and [s.name for s in r.healthy()] == ["a"]
