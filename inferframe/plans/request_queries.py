@@ -212,13 +212,13 @@ def q_fanout_lists(spark, sf):
 
 
 @query(r"""
-WITH v AS (SELECT conv_id, string_split(text, '. ') AS parts FROM conversations WHERE turn = 0 AND text IS NOT NULL),
-e AS (SELECT conv_id, unnest(parts) AS prompt, generate_subscripts(parts, 1) - 1 AS i FROM v)
-SELECT conv_id::VARCHAR || '_var_' || i AS request_id, prompt, i::BIGINT AS variation FROM e""")
+WITH v AS (SELECT conv_id * 1000 + turn AS k, string_split(text, '. ') AS parts FROM conversations WHERE text IS NOT NULL),
+e AS (SELECT k, unnest(parts) AS prompt, generate_subscripts(parts, 1) - 1 AS i FROM v)
+SELECT k || '_var_' || i AS request_id, prompt, i::BIGINT AS variation FROM e""")
 def q_fanout_variations(spark, sf):
     """A list field of JSON items becomes one request for each entry."""
-    c = table(spark, sf, "conversations").where("turn = 0 and text is not null")
-    raw = F.to_json(F.struct(F.col("conv_id").alias("id"), F.split("text", r"\. ").alias("variations")))
+    c = table(spark, sf, "conversations").where("text is not null")
+    raw = F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.split("text", r"\. ").alias("variations")))
     items = c.select(F.lit("conversations").alias("source_file"), F.lit("").alias("source_dir"), F.col("conv_id").alias("line_num"), F.lit(0).alias("item_idx"), F.lit(1).alias("n_same"), raw.alias("raw"))
     r = normalize.requests(normalize.explode_field(items, "variations"))
     return r.select("request_id", "prompt", F.col("item_idx").cast("bigint").alias("variation"))

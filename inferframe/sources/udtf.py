@@ -1,4 +1,7 @@
-"""SQL form of the fan-out: SELECT ... FROM lines, LATERAL fan_out(value)."""
+"""SQL form of the fan-out: SELECT ... FROM lines, LATERAL fan_out(value).
+
+It runs a row at a time in Python, for those who write SQL only; operators.normalize.fan_out does the same in the JVM.
+"""
 
 from __future__ import annotations
 
