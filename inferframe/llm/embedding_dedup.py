@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, in_groups, ints, saved
+from .common import column, components, in_groups, ints, saved, trimmed
 
 
 def _matrix(col, dim: int) -> np.ndarray:
@@ -23,23 +23,37 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+def _linked(x: np.ndarray, y: np.ndarray, least: float, rows: int = 256) -> np.ndarray:
     """Pairs of unit rows with cosine >= least; sums that a blocked product leaves within rounding are summed again exactly."""
-    c = x @ y.T
-    out = c >= least
-    for i, j in zip(*np.nonzero(np.abs(c - least) < 1e-13), strict=True):
-        out[i, j] = math.fsum(x[i] * y[j]) >= least
+    out = np.empty((len(x), len(y)), bool)
+    for lo in range(0, len(x), rows):
+        c = x[lo : lo + rows] @ y.T
+        out[lo : lo + rows] = c >= least
+        for i, j in zip(*np.nonzero(np.abs(c - least) < 1e-13), strict=True):
+            out[lo + i, j] = math.fsum(x[lo + i] * y[j]) >= least
     return out
 
 
-def embedding_components(vectors: DataFrame, least: float = 0.98, cell_rows: int = 1000, max_pivots: int = 4096, same_label: bool = True) -> DataFrame:
+def _dot(m: np.ndarray, c: np.ndarray, rows: int = 256) -> np.ndarray:
+    """Sums of c over the columns that are set in each row of m."""
+    return np.concatenate([m[k : k + rows] @ c for k in range(0, len(m), rows)] or [np.zeros(0, np.int64)])
+
+
+def _lowest(m: np.ndarray, low: np.ndarray, rows: int = 256) -> np.ndarray:
+    """For each row of m the smallest of low over its columns that are set."""
+    big = np.iinfo(np.int64).max
+    return np.concatenate([np.where(m[k : k + rows], low[None, :], big).min(1, initial=big) for k in range(0, len(m), rows)] or [np.zeros(0, np.int64)])
+
+
+def embedding_components(vectors: DataFrame, least: float = 0.98, cell_rows: int = 1000, max_pivots: int = 4096, same_label: bool = True, block_numbers: int = 1 << 19) -> DataFrame:
     """Vectors linked by cosine >= least, in double precision, and the components of the links.
 
     vectors has vec_id long, embedding array<float|double> and label. Equal vectors are one class with a count. Each
     (label, dimension) gets one pivot for every cell_rows classes, max_pivots in all. A class lives in the cell of its
     nearest pivot; by the triangle inequality, and by the distance to the plane halfway between two pivots, only classes
-    near a boundary are also sent to higher-numbered cells, so each pair is compared in exactly one cell. Cells above
-    cell_rows are split into blocks, and block pairs are independent tasks.
+    near a boundary are also sent to higher-numbered cells, so each pair is compared in exactly one cell. Cells with more than block_numbers
+    components of vectors are split into blocks, and block pairs are independent tasks. Beyond max_pivots * cell_rows classes cells grow
+    with the table: a class is then sent to as many block pairs as its cell has blocks.
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included) and
     kept. A vector that is null, empty, zero, or holds a null or non-finite component, or whose label is null, links with
@@ -92,9 +106,9 @@ def embedding_components(vectors: DataFrame, least: float = 0.98, cell_rows: int
                 ["label", "dim", "pivot", "home", "rep", "cid", "copies", "x"],
             )
 
-    dealt = classes.select("label", "dim", "rep", "cid", "copies", "x").mapInArrow(deal, "label string, dim int, pivot long, home boolean, rep long, cid long, copies long, x array<double>")
+    dealt = classes.select("label", "dim", "rep", "cid", "copies", "x").mapInArrow(trimmed(deal), "label string, dim int, pivot long, home boolean, rep long, cid long, copies long, x array<double>")
     dealt = saved(dealt.withColumn("cell", F.xxhash64("label", "dim", "pivot")), "dealt")
-    sizes = saved(dealt.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks")), "sizes")
+    sizes = saved(dealt.groupBy("cell").agg(F.ceil(F.count("*") * F.max("dim") / block_numbers).cast("int").alias("blocks")), "sizes")
     rows = dealt.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     rows = rows.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "home", "rep", "cid", "copies", "dim", "label", "pivot", "x")
@@ -111,19 +125,19 @@ def embedding_components(vectors: DataFrame, least: float = 0.98, cell_rows: int
                 h, left, c, r, ids = home[at], blocks[at] == first[s], copies[at], reps[at], cids[at]
                 within = bool(left.all())
                 a, o = (np.arange(len(at)), np.arange(len(at))) if within else (np.flatnonzero(left), np.flatnonzero(~left))
-                m = _linked(u[a], u[o], least) & (h[a][:, None] | h[o][None, :])
+                m = _linked(u[a], u[o], least)
+                m &= h[a][:, None] | h[o][None, :]
                 if within:
                     np.fill_diagonal(m, False)
                 links = np.zeros(len(at), np.int64)
-                links[a] += m @ c[o]
+                links[a] += _dot(m, c[o])
                 if not within:
-                    links[o] += c[a] @ m
+                    links[o] += _dot(m.T, c[a])
                 low = r.copy()
                 while True:  # smallest id reachable inside this block pair
                     old = low.copy()
-                    big = np.iinfo(np.int64).max
-                    low[a] = np.minimum(low[a], np.where(m, low[o][None, :], big).min(1, initial=big))
-                    low[o] = np.minimum(low[o], np.where(m, low[a][:, None], big).min(0, initial=big))
+                    low[a] = np.minimum(low[a], _lowest(m, low[o]))
+                    low[o] = np.minimum(low[o], _lowest(m.T, low[a]))
                     if (low == old).all():
                         break
                 for k, x in zip(got, (r, ids, links, low), strict=True):

@@ -47,7 +47,8 @@ def clustered(n, dim, seed):
 def test_brute_force(spark, cell, pivots):
     rows = clustered(240, 8, 1)
     df = spark.createDataFrame(rows, SHAPE)
-    assert sorted_rows(embedding_components(df, cell_rows=cell, max_pivots=pivots)) == brute(rows)
+    for numbers in (1 << 19, 150):  # one block for a cell, and blocks of some 19 vectors
+        assert sorted_rows(embedding_components(df, cell_rows=cell, max_pivots=pivots, block_numbers=numbers)) == brute(rows)
 
 
 def test_odd_rows(spark):
