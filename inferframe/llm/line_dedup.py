@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, documents, ints, pieces, saved, text_bytes
-from .shingles import SPACE, mix, words
+from .common import column, discard, documents, ints, pieces, saved, text_bytes, trimmed
+from .shingles import SPACE, _windows, mix, words
 
 #: Marks that end a sentence; they don't count at the end of a unit.
 END = np.zeros(256, bool)
@@ -34,7 +34,28 @@ def _digests(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def units(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+NEWLINE = np.zeros(256, bool)
+NEWLINE[10] = True
+
+
+def units(data: np.ndarray, off: np.ndarray, min_words: int, window: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_units() of texts, a very long one in windows of whole lines."""
+    if len(data) <= 2 * window:
+        return _units(data, off, min_words)
+    found, last, lines, at = [], -1, 0, 0
+    for lo, hi in _windows(data, off, NEWLINE, window):
+        inner = off[np.searchsorted(off, lo, "right") : np.searchsorted(off, hi)]
+        texts = np.concatenate([[lo], inner, [hi]])
+        own = np.searchsorted(off, texts[:-1], "right") - 1
+        # lines of the window's first text that lie before it
+        lines = (lines if own[0] == last else 0) + int(np.count_nonzero(data[max(at, int(off[own[0]])) : lo] == 10))
+        last, at = own[0], lo
+        doc, place, h1, h2 = _units(data[lo:hi], texts - lo, min_words)
+        found.append((own[doc], place + np.where(doc == 0, lines * LINE, 0), h1, h2))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _units(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, two hashes) of the units of lower-cased texts that have min_words words.
 
     Lines end at newlines, sentences also behind a mark (. ! ?) before a space. A unit's normal form is its words, without the marks that end it; that
@@ -138,7 +159,7 @@ def repeated_units(docs: DataFrame, min_words: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[doc], rids[doc], place, h1.view(np.int64), h2.view(np.int64))], ["doc_id", "rid", "place", "h1", "h2"])
 
     ranked = rows.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    every = saved(ranked.mapInArrow(found, "doc_id long, rid long, place long, h1 long, h2 long"), "units")
+    every = saved(ranked.mapInArrow(trimmed(found), "doc_id long, rid long, place long, h1 long, h2 long"), "units")
     again = saved(every.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2")), "again")
     twice = saved(every.join(again, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).drop("g1", "g2"), "twice")
     discard(every)
@@ -160,4 +181,4 @@ def repeated_units(docs: DataFrame, min_words: int = 5) -> DataFrame:
             before, size = np.diff(off), np.array([len(x) for x in kept], np.int64)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "text"), pa.array(before), pa.array(before - size), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "text", "n_bytes", "n_removed", "spans", "kept"])
 
-    return rows.join(gone, F.col("rid") == F.col("r"), "left").select("doc_id", "text", "gone").mapInArrow(rebuild, "doc_id long, text string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return rows.join(gone, F.col("rid") == F.col("r"), "left").select("doc_id", "text", "gone").mapInArrow(trimmed(rebuild), "doc_id long, text string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept string")

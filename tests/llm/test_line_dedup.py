@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from inferframe.llm.line_dedup import repeated_units
+from inferframe.llm.line_dedup import _units, repeated_units, units
 from inferframe.llm.queries import llm_oracle_sql, llm_queries
 from tests.comparing import connect, differences
 from tests.llm.tables import SHARED, crowded, documents
@@ -96,6 +97,15 @@ def test_minimum_of_words(spark, n):
     assert got == brute(rows, n)
 
 
+@pytest.mark.parametrize("window", [1, 7, 60])
+def test_units_of_long_texts_in_windows(window):
+    rng = random.Random(window)
+    raw = ["".join(rng.choices(["aa ", "b ", ". ", "! ", "\n", "\n\n", "cc"], k=n)).encode() for n in (0, 40, 3, 0, 200, 1, 90)]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw]))
+    want = sorted(zip(*(x.tolist() for x in _units(data, off, 3)), strict=True))
+    assert sorted(zip(*(x.tolist() for x in units(data, off, 3, window)), strict=True)) == want and len(want) > 10
+
+
 def test_query_equals_sql(spark, sf):
     name = "op7_line_dedup"
     assert differences(llm_queries()[name](spark, sf), llm_oracle_sql()[name], connect(sf)) == ""
