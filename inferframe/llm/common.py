@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -21,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of text that Spark hands to a Python worker at a time (one longer row is a batch of its own).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -135,6 +137,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
+    give_back()
     return out
 
 
@@ -147,6 +150,26 @@ def discard(*tables: DataFrame) -> None:
 # ---------------------------------------------------------------- Arrow helpers
 
 
+def trimmed(fn):
+    """fn for mapInArrow; when a task ends, its Python worker, which lives on, gives freed memory back to the system."""
+
+    def run(batches):
+        yield from fn(batches)
+        gc.collect()
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Memory that this process has freed, back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, all rows in one array, and the n + 1 offsets; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -247,7 +270,7 @@ def in_groups(df: DataFrame, keys: list[str], fn, schema: str, order: list[str]
             yield from flush(pa.Table.from_batches(held).combine_chunks())
 
     dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(trimmed(run), schema)
 
 
 # ---------------------------------------------------------------- components
@@ -293,7 +316,7 @@ def components(edges: DataFrame) -> DataFrame:
                     nodes = np.concatenate([node, np.unique(root)])
                     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([root, np.unique(root)]))], ["node", "component"])
 
-            return saved(e.repartition(1).mapInArrow(contract, "node long, component long"), "components")
+            return saved(e.repartition(1).mapInArrow(trimmed(contract), "node long, component long"), "components")
         if (n, h) == state:
             return saved(e.select(a.alias("node"), b.alias("component")).union(e.select(b, b).distinct()), "components")
         state = (n, h)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, column, documents, held_out, pieces, saved, text_bytes
+from .common import bounded, column, documents, held_out, pieces, saved, text_bytes, trimmed
 from .shingles import LOWER
 from .suffix_dedup import gram_hashes
 
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, per_language: int = 900, most: int = 6000) -> Model:
             some = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_arrays([column(b, "lang"), pa.array([i.astype("<u2").tobytes() for i in some], pa.binary()), pa.array([r[i].tobytes() for i, r in zip(some, x, strict=True)], pa.binary())], ["lang", "terms", "values"])
 
-    got = sorted(chosen.mapInArrow(turned, "lang string, terms binary, values binary").collect())
+    got = sorted(chosen.mapInArrow(trimmed(turned), "lang string, terms binary, values binary").collect())
     x = np.zeros((len(got), TERMS + 1), np.float32)
     for own, r in zip(x, got, strict=True):
         own[np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["values"], np.float32)
@@ -143,4 +143,4 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.5) -> DataFrame:
             names = [x if k else "und" for x, k in zip(names, known, strict=True)]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(names, pa.string()), pa.array(np.where(known, s, 0.0)), pa.array(~known | (gap < margin))], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return documents(docs).mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double, ambiguous boolean")

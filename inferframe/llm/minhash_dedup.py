@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, discard, documents, forest, in_groups, ints, pieces, places, saved, text_bytes
+from .common import column, components, discard, documents, forest, in_groups, ints, pieces, places, saved, text_bytes, trimmed
 from .shingles import shingle_sets
 
 
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
                 sigs.append((signature(x, given) & np.uint32(255)).astype(np.uint8).tobytes() if len(x) else None)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "key", "sig"])
 
-    every = saved(docs.mapInArrow(hashed, "doc_id long, n_shingles long, key binary, sig binary"), "signatures")
+    every = saved(docs.mapInArrow(trimmed(hashed), "doc_id long, n_shingles long, key binary, sig binary"), "signatures")
     known = every.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = saved(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"), F.max("n_shingles").alias("size")), "classes")
     # rows that share a doc_id and differ in text: their classes are joined through it
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     # the sets of all classes that any band proposes; a merge join at every size, as the texts are what weighs
     proposed = members.select(F.col("rep").alias("w")).distinct()
-    sets = saved(texts.join(proposed.hint("merge"), F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(sets_of, "node long, shingles binary"), "sets")
+    sets = saved(texts.join(proposed.hint("merge"), F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(trimmed(sets_of), "node long, shingles binary"), "sets")
 
     def both(batches):
         for b in pieces(batches, 4 << 20, column="sa"):
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             yield b.select(["a", "b"]).take(pa.array(on))
 
     one, two = sets.select(F.col("node").alias("na"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("nb"), F.col("shingles").alias("sb"))
-    first_links = saved(pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb").mapInArrow(both, "a long, b long").union(same_id), "links")
+    first_links = saved(pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb").mapInArrow(trimmed(both), "a long, b long").union(same_id), "links")
     discard(pairs)
     joined = components(first_links)
 

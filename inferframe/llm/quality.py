@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, documents, held_out, labelled_rows, pieces, text_bytes
+from .common import column, documents, held_out, labelled_rows, pieces, text_bytes, trimmed
 from .decontaminate import MARKS
 from .shingles import SPACE, words
 
@@ -53,7 +53,11 @@ def _add(out: np.ndarray, doc: np.ndarray, term: np.ndarray, rows: int = 256) ->
 
 
 def _weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return np.sqrt(c / np.maximum(c.sum(1, keepdims=True), 1)) * idf
+    """Square roots of shares times inverse frequencies, in place of the counts."""
+    c /= np.maximum(c.sum(1, keepdims=True), 1)
+    np.sqrt(c, out=c)
+    c *= idf
+    return c
 
 
 def _latent(c: np.ndarray, idf: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -111,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_good: int = 2500, most_bad: int
     chosen = labelled_rows(docs, labels, "quality", {1: most_good, 0: most_bad}, lambda i: ~held_out(i))
     if chosen is None:
         return train(np.zeros((0, TERMS)), np.zeros(0))
-    rows = sorted(chosen.mapInArrow(count, "id long, y int, terms binary, counts binary").collect(), key=lambda r: r["id"])
+    rows = sorted(chosen.mapInArrow(trimmed(count), "id long, y int, terms binary, counts binary").collect(), key=lambda r: r["id"])
     c = np.zeros((len(rows), TERMS), np.float32)
     for own, r in zip(c, rows, strict=True):
         own[np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["counts"], np.float32)
@@ -136,7 +140,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             s = _scores(column(b, "text"), m)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return documents(docs).mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -152,4 +156,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             if b.num_rows:
                 yield b.filter(pa.array(np.concatenate([_scores(p.column(0), m) for p in pieces([one], rows=1024)]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

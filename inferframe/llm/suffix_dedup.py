@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, distinct, documents, in_groups, ints, pieces, places, saved, text_bytes
+from .common import column, discard, distinct, documents, in_groups, ints, pieces, places, saved, text_bytes, trimmed
 from .shingles import BYTE, POWER, mix
 
 #: Bytes of text for each bucket and shard.
@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 24, hot: int = 65
             yield _batch(2, _deal(d[several] % parts, lambda at: shared[at].tobytes()))  # noqa: B023
             yield _batch(5, _deal(d[many] % parts, lambda at: crowd[at].tobytes()))  # noqa: B023
 
-    held = saved(in_groups(ranked.select("doc_id", "text").mapInArrow(anchors, PART), ["part"], first_holder, PART, parts=tasks), "held")
+    held = saved(in_groups(ranked.select("doc_id", "text").mapInArrow(trimmed(anchors), PART), ["part"], first_holder, PART, parts=tasks), "held")
 
     # texts meet what was found about them: control rows sort before texts within a shard
     shard = F.pmod("doc_id", F.lit(parts).cast("long"))

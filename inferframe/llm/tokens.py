@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, documents, ints, pieces, places, shuffles_go, text_bytes
+from .common import column, documents, ints, pieces, places, shuffles_go, text_bytes, trimmed
 from .shingles import _windows, mix
 
 MAGIC = b"DAC1"
@@ -360,7 +360,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     if in_order:
         tie = F.xxhash64("text")
         rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    out = rows.mapInArrow(write, "part int, seq int, before long, n_tokens long, doc_ids array<long>, blob binary")
+    out = rows.mapInArrow(trimmed(write), "part int, seq int, before long, n_tokens long, doc_ids array<long>, blob binary")
     with shuffles_go(docs.sparkSession):
         out.write.parquet(f"{path}/segments")
     docs.sparkSession.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n")).write.parquet(f"{path}/totals")
@@ -393,7 +393,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                     cols.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return _segments(spark, path).select("start", "doc_ids", "blob").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return _segments(spark, path).select("start", "doc_ids", "blob").mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, distinct, documents, held_out, labelled_sample, pieces, text_bytes
+from .common import column, distinct, documents, held_out, labelled_sample, pieces, text_bytes, trimmed
 from .shingles import LOWER
 from .suffix_dedup import gram_hashes
 
@@ -161,4 +161,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(total), pa.array((total >= threshold).astype(np.int32)), pa.array(found, kind)], ["doc_id", "score", "predicted", "sentences"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int, sentences array<struct<start:long,end:long,score:double>>")
+    return documents(docs).mapInArrow(trimmed(run), "doc_id long, score double, predicted int, sentences array<struct<start:long,end:long,score:double>>")
