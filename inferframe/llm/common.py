@@ -129,12 +129,24 @@ def shuffles_go(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+#: Bytes of input for a file of an intermediate table, where these are more files than four for each core.
+FILE_INPUT = 64 << 20
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """df in as many partitions as its plan has, but no more than four for each core or one for each FILE_INPUT bytes that it scans: many
+    shuffle partitions of a small table would each be a file. Partitions are joined within tasks, nothing is shuffled."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.coalesce(min(1 << 20, max(4 * df.sparkSession.sparkContext.defaultParallelism, scanned // FILE_INPUT)))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, a lost executor costs no recomputation and the shuffles go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     with shuffles_go(spark):
-        df.write.parquet(path)
+        few_files(df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     give_back()
