@@ -166,8 +166,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     bands, plus settings.miss; every link that is used was verified on the full sets (as 64-bit hashes).
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable, itself included), kept. A null or empty text, or
-    one without words, has n_shingles 0 and links with nothing. Repeated rows are returned as often as they come; rows
-    that share a doc_id are one node, with the links of all of their texts. A null doc_id keeps its row, with null component_id and
+    one without words, has n_shingles 0 and links with nothing. Repeated rows are returned as often as they come. Of rows that share
+    a doc_id and differ in text each has the component of its own text; texts whose smallest holder is the same document are one node. A null doc_id keeps its row, with null component_id and
     kept, and links with nothing. An empty table gives an empty result. Other columns are ignored.
     """
     s = settings
@@ -187,10 +187,6 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     every = saved(docs.mapInArrow(trimmed(hashed), "doc_id long, n_shingles long, key binary, sig binary"), "signatures")
     known = every.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = saved(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"), F.max("n_shingles").alias("size")), "classes")
-    # rows that share a doc_id and differ in text: their classes are joined through it
-    twice = known.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select(F.col("doc_id").alias("d"))
-    same_id = known.join(twice, F.col("doc_id") == F.col("d"), "left_semi").join(classes.select(F.col("key").alias("k"), "rep"), F.col("key") == F.col("k")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
     number = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * s.rows + 1, F.lit(s.rows))))).alias("number", "band")
     band = classes.select("rep", number)
     buckets = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("of"), "n")
@@ -233,7 +229,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             yield b.select(["a", "b"]).take(pa.array(on))
 
     one, two = sets.select(F.col("node").alias("na"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("nb"), F.col("shingles").alias("sb"))
-    first_links = saved(pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb").mapInArrow(trimmed(both), "a long, b long").union(same_id), "links")
+    first_links = saved(pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb").mapInArrow(trimmed(both), "a long, b long"), "links")
     discard(pairs)
     joined = components(first_links)
 
