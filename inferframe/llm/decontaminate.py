@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, distinct, documents, ints, pieces, places, saved, text_bytes, trimmed
+from .common import column, discard, distinct, documents, ints, pieces, places, saved, shuffles_go, text_bytes, trimmed
 from .shingles import SPACE, words
 
 MARKS = SPACE.copy()
@@ -22,21 +22,22 @@ PASS_WORDS = 2_000_000
 #: Hashed terms of the passages' vocabulary.
 BITS = 13
 TERMS = 1 << BITS
-#: Tasks that share the products of the SVD's bounded sample.
-FIT_TASKS = 8
+#: Words that a task of the SVD's products reads, where these are more tasks than two for each core.
+FIT_WORDS = 1 << 25
+#: Parts, by term, in which the tasks' products are summed.
+FIT_PARTS = 8
 
 
 @dataclass(frozen=True)
 class Settings:
     """half: words of half a passage; part: words of an item in one query; rank: latent dimensions, after the skip leading ones, which tell
-    languages and styles apart and not passages; sample: passages, about, that the SVD is fitted on; rounds: of its power iteration; cosine: least for a candidate; lcs: share of an item's words in order that makes a match, or near
+    languages and styles apart and not passages; rounds: of the SVD's power iteration; cosine: least for a candidate; lcs: share of an item's words in order that makes a match, or near
     with the whole answer."""
 
     half: int = 32
     part: int = 48
     rank: int = 64
     skip: int = 32
-    sample: int = 100_000
     rounds: int = 2
     cosine: float = 0.9
     lcs: float = 0.75
@@ -124,7 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
 
     1. Latent semantic retrieval. A passage (two halves of settings.half words, each half in two passages) is the TF-IDF vector of its
        words, hashed to 2^13 terms; inverse frequencies count all halves of the corpus. A randomised SVD with power rounds, summed over the cluster, is fitted
-       on about settings.sample passages, chosen by hash; each passage is projected to settings.rank dimensions and compared with the parts of all items by
+       on all passages; each passage is projected to settings.rank dimensions and compared with the parts of all items by
        cosine. A candidate counts on if the text around it has as many of the item's words as a match needs.
     2. An exact rule, as a latent space of few dimensions can't tell rare words apart: a match needs so many words of an item that it has some of the
        item's rarest words; every stretch of text that has them is a candidate. No match is missed, whatever its cosine.
@@ -180,6 +181,28 @@ def _terms(b) -> np.ndarray:
     return text_bytes(column(b, "terms"))[0].view(np.uint16)
 
 
+def _sums(x: np.ndarray, rows: np.ndarray, size: np.ndarray, run: int = 32, block: int = 256) -> np.ndarray:
+    """Sums of x[rows] over the first size[0] rows, the next size[1] and so on (sizes above 0): many runs side by side, the longest first, which is
+    several times as fast as add.reduceat; then the sums of runs likewise."""
+    while True:
+        runs = -(-size // run)
+        begin = places(np.zeros(len(runs), np.int64), runs) * run
+        at, length = begin + np.repeat(np.cumsum(size) - size, runs), np.minimum(np.repeat(size, runs) - begin, run)
+        order = np.argsort((run - length).astype(np.uint16), kind="stable")
+        out, (total, part) = np.empty((len(at), x.shape[1]), x.dtype), np.empty((2, block, x.shape[1]), x.dtype)
+        for lo in range(0, len(at), block):
+            some = order[lo : lo + block]
+            first, n = at[some], length[some]
+            to = np.take(x, rows[first], axis=0, out=total[: len(some)], mode="clip")
+            longer = len(some) - np.searchsorted(n[::-1], np.arange(n[0]), "right")
+            for k, m in enumerate(longer[1:].tolist(), 1):
+                to[:m] += np.take(x, rows[first[:m] + k], axis=0, out=part[:m], mode="clip")
+            out[some] = to
+        if len(out) == len(size):
+            return out
+        x, rows, size = out, np.arange(len(out)), runs
+
+
 def _search(docs: DataFrame, items: Items, s: Settings) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     given = sc.broadcast(items.vocabulary)
@@ -212,9 +235,9 @@ def _search(docs: DataFrame, items: Items, s: Settings) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["word", "n"])
 
     count = np.zeros(len(items.vocabulary))
-    for r in table.mapInArrow(trimmed(often), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # bounded by the vocabulary
+    for r in table.select("ids").mapInArrow(trimmed(often), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # bounded by the vocabulary
         count[r["word"]] = r["n"]
-    base = _fit(_sample(table, s, n), idf, s)
+    base = _fit(_all_terms(table, s, n), idf, s)
     scaled = (base * idf[:, None]).astype(np.float32)
     latent = np.add.reduceat(scaled[items.queries], items.cuts[:-1], axis=0)
     latent /= np.maximum(np.sqrt((latent * latent).sum(1, keepdims=True)), 1e-9)
@@ -237,7 +260,7 @@ def _frequencies(table: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["term", "n"])
 
-    df = {r["term"]: r["n"] for r in table.mapInArrow(trimmed(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most TERMS rows
+    df = {r["term"]: r["n"] for r in table.select("n_words", "terms").mapInArrow(trimmed(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most TERMS rows
     n = df.pop(-1, 0)
     out = np.full(TERMS, math.log(n + 1.0))
     for t, d in df.items():
@@ -245,59 +268,64 @@ def _frequencies(table: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
     return np.maximum(out, 0.01), n
 
 
-def _sample(table: DataFrame, s: Settings, halves: int) -> DataFrame:
-    """About s.sample passages, chosen by a hash of their document and place: their terms, 2 bytes a word."""
-    least = (1 << 32) * min(1.0, s.sample / max(1, halves))
+def _all_terms(table: DataFrame, s: Settings, halves: int) -> DataFrame:
+    """The terms of every text, 2 bytes a word, in few partitions, as each makes a matrix."""
+    return table.select("terms").coalesce(min(1 << 20, max(2 * table.sparkSession.sparkContext.defaultParallelism, halves * s.half // FIT_WORDS)))
 
-    def run(batches):
-        for b in pieces(batches, column="terms"):
-            base, start = _halves(ints(b, "n_words"), s.half)
-            first, last = _passages(base)
-            row = np.searchsorted(base, first, "right") - 1
-            h = ints(b, "doc_id")[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (first - base[row]).astype(np.uint64)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            on = (h >> np.uint64(32)).astype(np.float64) < least
-            t = _terms(b)
-            yield pa.RecordBatch.from_arrays([pa.array([t[start[x] : start[y + 1]].tobytes() for x, y in zip(first[on], last[on], strict=True)], pa.binary())], ["terms"])
 
-    return saved(table.mapInArrow(trimmed(run), "terms binary").repartition(FIT_TASKS, F.xxhash64("terms")), "sample")
+_sample = _all_terms  # the name from when the SVD was fitted on a sample; tests use it
 
 
-def _fit(sample: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the sample's TF-IDF matrix A: power rounds of A^T A on a random start, then Ritz vectors.
+def _fit(texts: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
+    """The leading right singular vectors (terms x rank) of the TF-IDF matrix A of all passages of texts: power rounds of A^T A on a random start, then Ritz vectors.
 
-    Each of the sample's few tasks makes one matrix of terms x (skip + rank + 16) floats a round; the driver gets their sum.
+    A round reads every text once: halves are summed first, then passages. Each task makes one matrix of terms x (skip + rank + 16) floats; a few
+    tasks sum a part of its terms each, and the driver gets the sums.
     """
-    width = s.skip + s.rank + 16
+    spark, width, weight = texts.sparkSession, s.skip + s.rank + 16, idf.astype(np.float32)[:, None]
+    tall = TERMS // FIT_PARTS
     q = np.random.default_rng(5).standard_normal((TERMS, width)).astype(np.float32)
     for turn in range(s.rounds + 1):
         q = np.linalg.qr(q)[0].astype(np.float32)
-        given = sample.sparkSession.sparkContext.broadcast((q, idf.astype(np.float32)))
+        given = spark.sparkContext.broadcast(q * weight)
 
         def product(batches):
-            q, w = given.value  # noqa: B023
             total = None
-            for b in pieces(batches, 1 << 17, column="terms"):
-                total = np.zeros((TERMS, q.shape[1]), np.float32) if total is None else total
+            for b in pieces(batches, column="terms"):
                 data, off = text_bytes(column(b, "terms"))
-                t, row = data.view(np.uint16), np.repeat(np.arange(b.num_rows), np.diff(off) // 2)
-                z = np.add.reduceat(q[t] * w[t, None], off[:-1] // 2, axis=0)
-                order = np.argsort(t, kind="stable")
-                t, cut = t[order], np.flatnonzero(np.append(True, np.diff(t[order]) != 0))
-                total[t[cut]] += np.add.reduceat(z[row[order]], cut, axis=0) * w[t[cut], None]
+                if not len(data):
+                    continue
+                total = np.zeros((TERMS, width)) if total is None else total
+                t = data.view(np.uint16)
+                base, start = _halves(np.diff(off) // 2, s.half)
+                z, (first, last) = _sums(given.value, t, np.diff(start)), _passages(base)  # noqa: B023
+                both = z[first]
+                both[last > first] += z[last[last > first]]
+                z[:] = 0
+                z[first] = both
+                z[last[last > first]] += both[last > first]
+                count = np.bincount(t, minlength=TERMS)
+                some = np.flatnonzero(count)
+                total[some] += _sums(z, np.repeat(np.arange(len(z)), np.diff(start))[np.argsort(t, kind="stable")], count[some])
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
+                parts = [x.tobytes() for x in np.split(total.astype(np.float32), FIT_PARTS)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(FIT_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "sum"])
 
         def add(batches):
-            total = np.zeros(TERMS * width, np.float32)
+            total: dict[int, np.ndarray] = {}
             for b in batches:
-                for x in b.column(0):
-                    total += np.frombuffer(x.as_buffer(), np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
+                for part, x in zip(ints(b, "part").tolist(), column(b, "sum"), strict=True):
+                    total[part] = total.get(part, 0) + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["part", "sum"])
 
-        got = sample.coalesce(FIT_TASKS).mapInArrow(trimmed(product), "sum binary").repartition(1).mapInArrow(trimmed(add), "sum binary").collect()
-        y = np.frombuffer(got[0]["sum"], np.float32).reshape(TERMS, width) if got else np.zeros((TERMS, width), np.float32)
+        shape = "part int, sum binary"
+        with shuffles_go(spark):
+            got = texts.mapInArrow(trimmed(product), shape).repartition(FIT_PARTS, "part").mapInArrow(trimmed(add), shape).collect()
         given.destroy()
+        y = np.zeros((TERMS, width), np.float32)
+        for r in got:
+            y[r["part"] * tall : (r["part"] + 1) * tall] = np.frombuffer(r["sum"], np.float32).reshape(tall, width)
+        y *= weight
         if turn < s.rounds:
             q = y
     _, u = np.linalg.eigh(q.T.astype(np.float64) @ y)
@@ -307,7 +335,7 @@ def _fit(sample: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
 def _latent(b, scaled: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit latent vectors of the passages of a batch, first half of each, first half of each row)."""
     base, start = _halves(ints(b, "n_words"), s.half)
-    z = np.add.reduceat(scaled[_terms(b)], start[:-1], axis=0)
+    z = _sums(scaled, _terms(b), np.diff(start))
     first, last = _passages(base)
     both = z[first] + np.where((last > first)[:, None], z[last], 0)
     return both / np.maximum(np.sqrt((both * both).sum(1, keepdims=True)), 1e-9), first, base
