@@ -8,6 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from inferframe.llm import decontaminate
 from inferframe.llm.minhash_dedup import Settings, near_duplicates
 from tests.llm.tables import crowded, documents
 from tests.llm.test_minhash_dedup import shingles
@@ -105,3 +106,15 @@ def test_near_dedup_keeps_rows_without_an_id(spark, sf):
     rows = [(None, "a text without an id"), (None, None), (3, "one text that two documents hold"), (5, "one text that two documents hold"), (5, "another text that one alone holds"), (7, "one text that two documents hold")]
     got = cp.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
     assert Counter(r["doc_id"] for r in got) == {None: 2, 3: 1, 5: 2}  # an id stays if one of its texts does
+
+
+def test_decontamination_fits_its_vectors_on_every_passage(spark, sf, monkeypatch):
+    """120,000 passages of a word each."""
+    docs, fit, seen = spark.range(120_000).selectExpr("id AS doc_id", "concat('w', id % 50) AS text"), decontaminate._fit, []
+
+    def spied(texts, *rest):
+        seen.append(texts.selectExpr("sum(length(terms)) / 2").first()[0])
+        return fit(texts, *rest)
+
+    monkeypatch.setattr(decontaminate, "_fit", spied)
+    assert cp.decontaminate(spark, docs, sf).count() == 120_000 and seen == [120_000]
