@@ -14,7 +14,7 @@ from .client import infer
 from .plans.pipeline import Pipeline
 from .sources import files, mock, servers
 from .streaming.progress import TaskProgress
-from .work import shared_dir
+from .work import exists, shared_dir
 
 log = logging.getLogger("inferframe")
 
@@ -67,7 +67,7 @@ def pipeline(spark: SparkSession, c: config.Config, model: Callable[[DataFrame],
             return infer(df, pool, settings, adapter, r.model_name, r.temperature, r.max_tokens, r.rollout_n, r.system_prompt, r.top_p, r.frequency_penalty, r.presence_penalty)
 
     path = c.saver["params"].get("output_dir") or (components.output_path(c.saver["params"], c.loader["params"]) if "output_path" in c.saver["params"] else None)
-    done = files.completed(spark, path, components.FORMATS[c.saver["class"]]) if r.resume and path and c.saver["class"] in components.FORMATS else None
+    done = files.completed(spark, path, components.FORMATS[c.saver["class"]]) if r.resume and path and c.saver["class"] in components.FORMATS and exists(spark, path) else None
     work = r.work_dir or (f"{path}.work" if path else f"{shared_dir(spark)}/job.work")
     return Pipeline(requests, model, sink, work, done, r.resume, backend=r.resume_backend)
 

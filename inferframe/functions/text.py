@@ -12,7 +12,10 @@ def col(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Without white space at either end, by Unicode's definition."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    c = col(c)
+    # the pattern tries every run of white space in a text, so that only texts with some at an end go through it
+    edge = F.substring(c, 1, 1).rlike(r"(?U)\s") | F.substring(c, -1, 1).rlike(r"(?U)\s")
+    return F.when(edge, F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
 
 
 def truncated(c: str | Column, most: int = 200) -> Column:

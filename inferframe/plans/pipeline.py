@@ -101,7 +101,7 @@ class Pipeline:
 
     def run(self) -> dict:
         """Returns the summary: total (queued for the model), completed, failed, retried, success_rate, total_tokens, skipped (done before, or
-        null without resume) and results, the path of the results table. The skipped are counted by one more scan of the source."""
+        null without resume) and results, the path of the results table. The skipped are counted by one more scan of the source, if anything was done before."""
         tell(self.lifecycle.on_start, self.work)
         try:
             out = self._run()
@@ -114,7 +114,8 @@ class Pipeline:
     def _run(self) -> dict:
         spark = self.requests.sparkSession
         path = f"{self.work.rstrip('/')}/results-{uuid.uuid4().hex[:12]}"
-        answered = self.model(self.pending())
+        pending = self.pending()
+        answered = self.model(pending)
         answered.write.parquet(path)
         results = spark.read.schema(answered.schema).parquet(path)
         good = results.where("error is null")
@@ -125,7 +126,8 @@ class Pipeline:
             for r in results.groupBy("source_file").agg(F.count("*").alias("n"), failed.alias("failed")).toLocalIterator():
                 tell(self.lifecycle.on_source_complete, r["source_file"], r["n"] - r["failed"], r["failed"])
         out = summary(results)
-        return out | {"skipped": self.requests.count() - out["total"] if self.resume else None, "results": path}
+        skipped = 0 if pending is self.requests else self.requests.count() - out["total"]
+        return out | {"skipped": skipped if self.resume else None, "results": path}
 
 
 LOG = "request_id string, source_file string, line_num bigint, item_idx int"

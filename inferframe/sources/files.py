@@ -32,22 +32,33 @@ def relative(spark: SparkSession, root: str) -> Column:
     return F.substring(_plain(F.col("_file")), len(base) + 2, 1 << 20)
 
 
-def numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, index_by: Column | None = None, few: bool = False) -> DataFrame:
     """Add line_num to rows of value, _file and _block (from numbered_scan).
 
     A scan keeps the lines of a block of a file together and in order, so a line's number is the number of lines in earlier blocks
     plus its distance from the block's first row. Only one row for each block is aggregated; the lines aren't shuffled or sorted.
+    index_by, a file's name: also add idx, the 0-based index of physical lines over all files in the order of their names, from the same
+    counts. few: the table of blocks is small enough to go to every task, so that the lines aren't shuffled for the join either.
     """
     rows = rows.withColumn("_id", F.monotonically_increasing_id())
     blocks = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     from pyspark.sql import Window as W
 
     before = F.sum("_n").over(W.partitionBy("_file").orderBy("_block")) - F.col("_n")
-    places = blocks.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first", before.alias("_before"))
-    out = rows.join(places, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    places = blocks.withColumn("_before", before)
+    if index_by is not None:
+        places = places.withColumn("_name", index_by).withColumn("_start", F.sum("_n").over(W.orderBy("_name", "_file", "_block")) - F.col("_n"))
+    places = places.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first", "_before", *(["_start"] if index_by is not None else []))
+    out = rows.join(F.broadcast(places) if few else places, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    if index_by is not None:
+        out = out.withColumn("idx", F.col("_start") + F.col("_id") - F.col("_first")).drop("_start")
     return out.withColumn("line_num", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_id", "_first", "_before", "_f", "_b", "_block")
 
 
+#: Up to so many files, the table of their blocks goes to every task.
+FEW_FILES = 50_000
+
+
 def scan(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, stream: bool = False) -> DataFrame:
     """value, _file and _block of every physical line; \\n, \\r and \\r\\n end lines, blank ones count."""
     r = spark.readStream if stream else spark.read
@@ -67,19 +78,24 @@ def lines(spark: SparkSession, path: str, pattern: str | None = None, recursive:
     opened, and don't count.
     """
     rows = scan(spark, path, pattern)
+    few = len(rows._jdf.inputFiles()) <= FEW_FILES
     if skip_source is not None:
         rows = rows.where(~skip_source(F.col("_file")))
-    return placed(spark, numbered(rows), path, pattern is not None, recursive, num_chunks, chunk_index)
+    chunks.checked(num_chunks, chunk_index)
+    if num_chunks == 1:
+        return placed(spark, numbered(rows, few=few), path, pattern is not None, recursive)
+    name = relative(spark, path) if pattern is not None else F.lit(path)
+    if pattern is not None and not recursive:
+        rows = rows.where(parent_dir(name) == "")
+    own = numbered(rows, name, few).where(chunks.in_chunk(F.col("idx"), num_chunks, chunk_index)).drop("idx")
+    return placed(spark, own, path, pattern is not None, recursive)
 
 
-def placed(spark: SparkSession, rows: DataFrame, path: str, folder: bool, recursive: bool = True, num_chunks: int = 1, chunk_index: int = 0) -> DataFrame:
+def placed(spark: SparkSession, rows: DataFrame, path: str, folder: bool, recursive: bool = True) -> DataFrame:
     rows = rows.withColumn("source_file", relative(spark, path) if folder else F.lit(path))
     rows = rows.withColumn("source_dir", parent_dir("source_file") if folder else parent_dir(F.lit(path)))
     if folder and not recursive:
         rows = rows.where("source_dir = ''")
-    chunks.checked(num_chunks, chunk_index)
-    if num_chunks > 1:
-        rows = chunks.with_line_index(rows).where(chunks.in_chunk(F.col("idx"), num_chunks, chunk_index))
     rows = rows.withColumn("value", strip("value"))
     return rows.where(F.length("value") > 0).select("source_file", "source_dir", "line_num", "value")
 

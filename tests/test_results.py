@@ -445,6 +445,25 @@ def test_bitmap_backend_leaves_rows_without_a_position_in_the_log(spark, tmp_pat
         Pipeline(rows, mock.complete, print, "w", backend="other")
 
 
+def test_a_first_run_reads_its_source_once(spark, tmp_path):
+    """With nothing done before, no scan counts what was skipped."""
+    from inferframe.plans.pipeline import Pipeline
+    from inferframe.sources import mock
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = normalize.requests(files.prompt_list(spark, ["x", "y", "z"]))
+    rows = rows.mapInArrow(seen, rows.schema)
+    job = Pipeline(rows, mock.complete, lambda df: None, str(tmp_path / "w"))
+    assert job.run()["skipped"] == 0 and read.value == 3
+    assert job.run()["skipped"] == 3
+
+
 def test_lifecycle_of_a_run_that_fails(spark, tmp_path):
     from inferframe.plans.pipeline import Lifecycle, Pipeline
     from inferframe.sources import mock

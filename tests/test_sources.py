@@ -121,6 +121,34 @@ def test_chunks_of_a_directory_are_disjoint_and_complete(spark, tmp_path):
         load(spark, "DirectoryJSONLDataLoader", input_dir=str(tmp_path), num_chunks=2, chunk_index=2)
 
 
+def test_a_chunk_reads_its_folder_twice_and_shuffles_no_line(spark, tmp_path):
+    """Once to count lines by block, once for the lines; the table of blocks goes to the tasks."""
+    for f in "abc":
+        write(tmp_path / f / "conv.jsonl", "\n" + jl(*[{"id": f"{f}{i}", "prompt": "p"} for i in range(4)]) + "  \n")
+    one = files.lines(spark, str(tmp_path), "conv.jsonl", num_chunks=4, chunk_index=1)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 2 and "SortMergeJoin" not in plan
+    assert {(r["source_file"], r["line_num"]) for r in one.collect()} == {("a/conv.jsonl", 2), ("b/conv.jsonl", 4), ("c/conv.jsonl", 2)}
+    deep = files.lines(spark, str(tmp_path), "conv.jsonl", recursive=False, num_chunks=2, chunk_index=0)
+    assert deep.count() == 0
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:  # blocks of a file
+        p = write(tmp_path / "big.jsonl", "".join(f"line {i}\n" for i in range(5000)))
+        for k in range(3):
+            assert sorted(int(r["value"][5:]) for r in files.lines(spark, p, num_chunks=3, chunk_index=k).collect()) == list(range(k, 5000, 3))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_strip(spark):
+    from inferframe.functions.text import strip
+
+    texts = ["", " ", "a", " a", "a\t\n", "\u2003a b\u0085", "\u200ba", "\u2028x\ny\u2029", None, "\x1f b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(strip("t")).collect()
+    assert [r[0] for r in got] == ["", "", "a", "a", "a", "a b", "\u200ba", "x\ny", None, "\x1f b"]
+
+
 def test_line_numbers_over_split_files(spark, tmp_path):
     p = write(tmp_path / "big.jsonl", "".join(f"line {i} {'x' * (i % 37)}\n" for i in range(1, 5001)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
