@@ -82,11 +82,13 @@ def write_csv(results: DataFrame, path: str, fields: list[str] | None = None, ap
 
 
 def write_json(results: DataFrame, path: str, pretty: bool = True, **shape) -> None:
-    """One JSON array in one file under path, for results that must be one document: the array streams through a single task. JSONL is for large results."""
-    rows = json_lines(shaped(results, **shape))
+    """One JSON array in one file under path, for results that must be one document. JSONL is for large results.
+
+    Tasks write the entries as text, in parallel; the driver then puts the parts' bytes behind one another through a small buffer, and parses nothing.
+    Each entry begins on a line of its own, so that sources.files.completed can split the file.
+    """
 
     def run(batches):
-        first = True
         for b in batches:
             out = []
             for v in b.column(0).to_pylist():
@@ -94,13 +96,51 @@ def write_json(results: DataFrame, path: str, pretty: bool = True, **shape) -> N
                     continue
                 if pretty:
                     v = "\n".join("  " + x for x in json.dumps(json.loads(v), indent=2, ensure_ascii=False).split("\n"))
-                out.append(("[" if first else ",") + ("\n" if pretty else "") + v)
-                first = False
+                out.append(",\n" + v)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
 
-    mark = results.sparkSession.createDataFrame([(None,)], "value string")  # so that an empty result has a partition, too
-    rows.union(mark).coalesce(1).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+    spark, path = results.sparkSession, path.rstrip("/")
+    folder, slash, _ = path.rpartition("/")
+    stage = f"{folder}{slash}_staging-{uuid.uuid4().hex[:12]}"
+    json_lines(shaped(results, **shape)).mapInArrow(run, "value string").write.option("compression", "none").text(stage)
+    _as_one(spark, stage, path)
+
+
+def _as_one(spark: SparkSession, stage: str, root: str) -> None:
+    """The parts below stage, each entry after a comma, as one array in the one file under root; takes the place of what is there."""
+    jvm = spark.sparkContext._jvm
+    path, copy = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    fs = path(stage).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(((p.getPath().getName(), p.getLen()) for p in fs.listStatus(path(stage))), key=lambda p: (len(p[0]), p[0]))
+    whole, first = path(f"{stage}/_whole"), True
+    out = fs.create(whole, True)
+    try:
+        out.write(b"[")
+        for name, length in parts:
+            if length == 0 or not name.startswith("part-"):
+                continue
+            part = fs.open(path(f"{stage}/{name}"))
+            try:
+                if first:
+                    part.read()  # its first comma
+                copy(part, out, 1 << 20, False)
+            finally:
+                part.close()
+            first = False
+        out.write(b"]\n")
+    finally:
+        out.close()
+    if fs.exists(path(root)) and not fs.getFileStatus(path(root)).isDirectory():
+        fs.delete(path(root), False)
+    fs.mkdirs(path(root))
+    old = [p.getPath() for p in fs.listStatus(path(root))]
+    to = path(f"{root}/part-00000-{uuid.uuid4()}.txt")
+    if not fs.rename(whole, to):
+        raise OSError(f"can't rename {whole.toString()} to {to.toString()}")
+    for p in old:
+        fs.delete(p, True)
+    fs.create(path(f"{root}/_SUCCESS"), True).close()
+    fs.delete(path(stage), True)
 
 
 def show(results: DataFrame, details: bool = False, separator: str = "-" * 60) -> None:

@@ -212,6 +212,40 @@ def _unplaced(raw: DataFrame, source: str | None = None) -> DataFrame:
 # ---------------------------------------------------------------- what earlier runs wrote
 
 DONE = "request_id string, source_file string, line_num bigint, item_idx int"
+_IDS = "array<struct<request_id:string>>"
+
+
+def _head(spark: SparkSession, path: str, most: int = 8) -> str:
+    """The first bytes of the first file below a path that has any; empty if there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in sorted(fs.listStatus(p), key=lambda s: s.getPath().getName()):
+        if s.isFile() and s.getLen() > 0 and s.getPath().getName()[0] not in "_.":
+            f = fs.open(s.getPath())
+            try:
+                read = (f.read() for _ in range(min(most, s.getLen())))
+                return bytes(b for b in read if b >= 0).decode("latin-1")
+            finally:
+                f.close()
+    return ""
+
+
+def _array_ids(spark: SparkSession, path: str) -> DataFrame:
+    """request_id of the entries of JSON arrays below a path.
+
+    A file whose entries begin on lines of their own ({ at the margin, or after two spaces and alone) is split there over tasks. That holds only if
+    each piece is a list of whole entries, which one pass over the pieces makes sure of: pieces that are whole between such lines make up the array.
+    Any other layout streams through one task a file.
+    """
+    head = _head(spark, path)
+    mark = next((m for m in ("\n{", "\n  {\n") if head.startswith("[" + m)), None)
+    if mark is not None:
+        text = F.rtrim("value", F.lit(" \n\r\t"))
+        piece = F.when(F.substring(text, -1, 1).isin(",", "]"), F.concat(F.lit("[{"), F.substring(text, F.lit(1), F.length(text) - 1), F.lit("]")))
+        found = spark.read.option("lineSep", mark).text(path).where(F.col("value") != "[").select(F.from_json(piece, _IDS).alias("ids"))
+        if found.agg(F.count_if(F.col("ids").isNull())).first()[0] == 0:
+            return found.select(F.explode("ids").alias("r")).select("r.request_id")
+    return spark.read.schema("request_id string").option("multiLine", "true").json(path)
 
 
 def completed(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
@@ -223,8 +257,7 @@ def completed(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
         found = spark.read.csv(path, header=True, multiLine=True, escape='"')
         found = found.select("request_id") if "request_id" in found.columns else spark.createDataFrame([], "request_id string")
     elif fmt == "json":
-        text = spark.read.text(path, wholetext=True)
-        found = text.select(F.explode(F.from_json("value", "array<struct<request_id:string>>")).alias("r")).select("r.request_id")
+        found = _array_ids(spark, path)
     else:
         found = spark.read.option("recursiveFileLookup", "true").schema("request_id string").json(path)
     return found.where("request_id is not null").distinct()

@@ -445,6 +445,43 @@ def test_bitmap_backend_leaves_rows_without_a_position_in_the_log(spark, tmp_pat
         Pipeline(rows, mock.complete, print, "w", backend="other")
 
 
+def test_a_json_array_is_written_and_read_by_many_tasks(spark, tmp_path):
+    """One document in one file, in the order of the rows; the scan of its ids splits it, whatever entries hold."""
+    body = {"choices": [{"message": {"content": 'a\n  {\n"request_id": 7}, [\n{ é'}}], "nested": {"request_id": "no", "x": [{}, {"y": None}]}}
+    rows = results(spark, *[(f"r{i:03}", body, None, None, None, None, None) for i in range(300)]).repartitionByRange(5, "request_id").sortWithinPartitions("request_id")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for pretty in (True, False):
+        sinks.write_json(rows.limit(2), str(tmp_path / "j"), pretty)
+        sinks.write_json(rows, str(tmp_path / "j"), pretty, timestamp=False)
+        (file,) = (tmp_path / "j").glob("*.txt")
+        got = json.loads(file.read_text())
+        assert [x["request_id"] for x in got] == [f"r{i:03}" for i in range(300)] and got[7]["model_output"] == body
+        assert not list(tmp_path.glob("_staging*"))
+        for size in (997, 4001):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            try:
+                ids = files.completed(spark, str(tmp_path / "j"), "json")
+                found = files._array_ids(spark, str(tmp_path / "j"))
+                assert found.rdd.getNumPartitions() > 5 and found.count() == 300 and ids.count() == 300
+            finally:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("text, want", [
+    (json.dumps([{"request_id": "a"}, {"request_id": 2}, {"x": 1}]), {"a", "2"}),
+    (json.dumps([{"request_id": "a", "x": [{"request_id": "n"}]}, {}, {"request_id": "b"}, None, {"request_id": "c"}], indent=2), {"a", "b", "c"}),
+    ('[\n{"request_id": "a"},\n{"request_id": "b"}, {"request_id": "c"}\n]', {"a", "b", "c"}),
+    ('[\n  {\n "request_id": "a", "x": [1,\n  {\n "request_id": "n"}]},\n  {\n "request_id": "b"}]', {"a", "b"}),
+    ('[\n{"request_id": "a", "x": [\n{"request_id": "n"}\n]},\n{"request_id": "b"}\n]', {"a", "b"}),
+    ('[\r\n  {\r\n    "request_id": "a"\r\n  }\r\n]\r\n', {"a"}),
+    ("[]", set()), ("", set()), ("[\n{", set()),
+])
+def test_finished_ids_of_arrays_in_other_layouts(spark, tmp_path, text, want):
+    (tmp_path / "a.json").write_bytes(text.encode())
+    assert {r[0] for r in files.completed(spark, str(tmp_path / "a.json"), "json").collect()} == want
+    assert {r[0] for r in files.completed(spark, str(tmp_path), "json").collect()} == want
+
+
 def test_a_first_run_reads_its_source_once(spark, tmp_path):
     """With nothing done before, no scan counts what was skipped."""
     from inferframe.plans.pipeline import Pipeline
