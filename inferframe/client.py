@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 import http.client
+import itertools
 import json
+import queue
 import ssl
 import threading
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from collections.abc import Callable, Generator, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,9 +33,9 @@ CARRIED = "additional_data string, source_file string, source_dir string, line_n
 
 @dataclass(frozen=True)
 class ClientSettings:
-    """concurrency counts requests in flight in one task; the limits of the policy hold for a task, too.
+    """concurrency counts requests in flight in one task; one that waits for its next try isn't in flight. The limits of the policy hold for a task, too.
 
-    prefetch: requests read ahead of those in flight; batch and flush: rows, and seconds without a further answer, after which answers go on to
+    prefetch: requests that are read ahead of those in flight, or wait for their next try; batch and flush: rows, and seconds without a further answer, after which answers go on to
     the sink's side; connections and keepalive: open and idle connections of a task.
     """
 
@@ -169,7 +172,16 @@ class Session:
                     self.router.changed()
 
     def ask(self, body: str, amount: float) -> tuple[str | None, str | None, list[dict]]:
-        """(answer as JSON, error, tries): up to max_retries + 1 tries, each at a server not tried before while there is one."""
+        """The end of tries(), after its waits."""
+        steps = self.tries(body, amount)
+        while True:
+            try:
+                self.sleep(next(steps))
+            except StopIteration as e:
+                return e.value
+
+    def tries(self, body: str, amount: float) -> Generator[float, None, tuple[str | None, str | None, list[dict]]]:
+        """(answer as JSON, error, tries): up to max_retries + 1 tries, each at a server not tried before while there is one. Yields the seconds to wait between them."""
         s, tried, log, wait = self.settings, set(), [], 0.0
         error = None
         for attempt in range(s.max_retries + 1):
@@ -194,7 +206,7 @@ class Session:
                 return answer, None, log
             tried.add(server.name)
             if not last:
-                self.sleep(wait)
+                yield wait
         return None, error, log
 
     def close(self) -> None:
@@ -202,29 +214,110 @@ class Session:
         self.connections.close()
 
 
+@dataclass(frozen=True)
+class Later:
+    """What work returns in place of a result if it goes on, by then(), after so many seconds."""
+
+    seconds: float
+    then: Callable
+
+
+def _step(steps: Generator) -> object:
+    try:
+        seconds = next(steps)
+    except StopIteration as e:
+        return e.value
+    return Later(seconds, lambda: _step(steps))
+
+
+class _Pool:
+    """At most n threads for work in the order in which it is due. A wait takes no thread; done gets (item, result, error)."""
+
+    def __init__(self, n: int):
+        self.n, self.due, self.changed, self.done = n, [], threading.Condition(), queue.SimpleQueue()
+        self.threads, self.idle, self.number, self.first, self.closed = [], 0, itertools.count(), None, False
+
+    def put(self, item: object, work: Callable, after: float = 0.0) -> None:
+        with self.changed:
+            heapq.heappush(self.due, one := (time.monotonic() + after, next(self.number), item, work))
+            if self.idle < len(self.due) and len(self.threads) < self.n and not self.closed:
+                self.threads.append(t := threading.Thread(target=self._run, daemon=True))
+                t.start()
+            elif self.due[0] is one:
+                self.first = None
+                self.changed.notify()
+
+    def _take(self) -> tuple | None:
+        with self.changed:
+            self.idle += 1
+            try:
+                while not self.closed:
+                    left = self.due[0][0] - time.monotonic() if self.due else None
+                    if left is not None and left <= 0:
+                        return heapq.heappop(self.due)
+                    if left is None or self.first is not None:
+                        self.changed.wait()
+                        continue
+                    self.first = me = threading.get_ident()  # one thread waits for what is due next
+                    self.changed.wait(left)
+                    if self.first == me:
+                        self.first = None
+                return None
+            finally:
+                self.idle -= 1
+                if self.due and self.first is None:
+                    self.changed.notify()
+
+    def _run(self) -> None:
+        while (one := self._take()) is not None:
+            _, _, item, work = one
+            try:
+                got = work()
+            except BaseException as e:  # goes on where results are read
+                self.done.put((item, None, e))
+                continue
+            if isinstance(got, Later):
+                self.put(item, got.then, got.seconds)
+            else:
+                self.done.put((item, got, None))
+
+    def close(self) -> None:
+        with self.changed:
+            self.closed = True
+            self.changed.notify_all()
+        for t in self.threads:
+            t.join()
+
+
 def _in_flight(items: Iterator, work: Callable, n: int, prefetch: int = 0, flush: float | None = None) -> Iterator:
-    """Results as they come, with n items in work at a time: a slot is filled again as soon as any of them is done. Up to prefetch more items
-    are read ahead. None stands for flush seconds without a result."""
-    with ThreadPoolExecutor(n) as pool:
-        running: dict[Future, object] = {}
-        ended = False
+    """Results as they come, with n items in work at a time: a slot is filled again as soon as any of them is done, or waits (Later). Up to prefetch more
+    items are read ahead or wait. None stands for flush seconds without a result."""
+    pool, held, ended = _Pool(n), 0, False
+    try:
         while True:
-            while not ended and len(running) < n + prefetch:  # the pool has n threads; those beyond wait in its queue
+            while not ended and held < n + prefetch:
                 try:
                     x = next(items)
                 except StopIteration:
                     ended = True
                     break
-                running[pool.submit(work, x)] = x
-                if any(f.done() for f in running) and len(running) >= n:
+                pool.put(x, lambda x=x: work(x))
+                held += 1
+                if held >= n and not pool.done.empty():
                     break  # answers go on before more is read
-            if not running:
+            if not held:
                 return
-            done = wait(running, flush, FIRST_COMPLETED).done
-            if not done:
+            try:
+                x, got, error = pool.done.get(timeout=flush)
+            except queue.Empty:
                 yield None
-            for f in done:
-                yield running.pop(f), f.result()
+                continue
+            held -= 1
+            if error is not None:
+                raise error
+            yield x, got
+    finally:
+        pool.close()
 
 
 def infer(requests: DataFrame, servers: list[tuple[str, str]], settings: ClientSettings = ClientSettings(), adapter: Adapter = OpenAIAdapter(), model: str = "default", temperature: float = 0.7, max_tokens: int = 1000, rollout_n: int = 1, system_prompt: str = "", top_p: float = 1.0, frequency_penalty: float = 0.0, presence_penalty: float = 0.0, send: Callable[..., dict] | None = None) -> DataFrame:
@@ -251,7 +344,7 @@ def infer(requests: DataFrame, servers: list[tuple[str, str]], settings: ClientS
                         yield r
 
             held = []
-            for got in _in_flight(each(), lambda r: session.ask(r["payload"], r["amount"]), settings.concurrency, settings.prefetch, settings.flush):
+            for got in _in_flight(each(), lambda r: _step(session.tries(r["payload"], r["amount"])), settings.concurrency, settings.prefetch, settings.flush):
                 if got is not None:
                     held.append((got[0], *got[1]))
                 if held and (got is None or len(held) >= settings.batch):

@@ -380,6 +380,59 @@ def test_answers_go_on_when_nothing_more_comes():
     assert seen[0] == (1, 1) and seen[1] is None and [x for x in out if x is not None] == [(2, 2)]
 
 
+def test_a_wait_for_the_next_try_takes_no_slot():
+    """40 requests that wait 0.3 s each, two at a time: 6 s if they waited in their slots. Never more than two are at the server, nor more held than are read ahead."""
+    import time
+
+    now, most, ahead, lock = [0], [0], [0, 0], threading.Lock()
+
+    def send(url, *_):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.005)
+        with lock:
+            now[0] -= 1
+        raise OSError("down")
+
+    def source():
+        for i in range(40):
+            ahead[0] += 1
+            ahead[1] = max(ahead[1], ahead[0])
+            yield i
+
+    s = client.Session([("a", "http://a")], client.ClientSettings(max_retries=2, retry_delay=0.1, health_interval=0), OpenAIAdapter(), send)
+    began, got = time.monotonic(), []
+    for x in client._in_flight(source(), lambda i: client._step(s.tries("{}", 1.0)), 2, 18):
+        ahead[0] -= 1
+        got.append(x)
+    took = time.monotonic() - began
+    assert sorted(i for i, _ in got) == list(range(40)) and all(len(log) == 3 and [t["backoff_s"] for t in log] == [0.1, 0.2, 0.0] for _, (_, _, log) in got)
+    assert 0.6 <= took < 4 and most[0] == 2 and ahead[1] <= 20
+
+
+def test_retries_go_on_while_the_source_is_slow_and_errors_come_through():
+    gate = threading.Event()
+
+    def source():
+        yield 1
+        yield 2
+        assert gate.wait(5)  # set by the second step of 1, before more is read
+        yield 3
+
+    def work(x):
+        return client.Later(0.02, lambda: gate.set() or x) if x == 1 else x
+
+    assert sorted(r[0] for r in client._in_flight(source(), work, 2, 5) if r is not None) == [1, 2, 3]
+    with pytest.raises(ZeroDivisionError):
+        list(client._in_flight(iter([1, 0]), lambda x: 1 / x, 2))
+    before = threading.active_count()
+    out = client._in_flight(iter(range(100)), lambda x: x, 4, 10)
+    next(out)
+    out.close()
+    assert threading.active_count() <= before
+
+
 class KeepAlive(BaseHTTPRequestHandler):
     protocol_version = "HTTP/1.1"
     connections: set = set()
